@@ -31,6 +31,23 @@ def join_national_median(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     return facts.where(F.col("costoDirecto") > 0).join(medians, "codigo")
 
 
+def semi_comparable_items(facts: DataFrame, catalog: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Catalog items each province is compared with, per chapter.
+
+    ``comparables`` counts the items priced in the province (a left-semi of the
+    catalog); without any, the base falls back to the whole catalog chapter.
+    """
+    priced = facts.where(F.col("costoDirecto") > 0).select("slug", "codigo")
+    coded = join_chapter_map(catalog.select("codigo", "capitulo"), mapping).select("codigo", "numero")
+    matched = priced.join(coded, "codigo").groupBy("slug", "numero").agg(F.count(F.lit(1)).alias("comparables"))
+    present = join_chapter_map(facts.select("slug", "capitulo").distinct(), mapping).select("slug", "numero").distinct()
+    whole = coded.groupBy("numero").agg(F.count(F.lit(1)).alias("todos"))
+    joined = present.join(matched, ["slug", "numero"], "left").join(whole, "numero", "left")
+    comparables = F.coalesce("comparables", F.lit(0))
+    base = F.when(comparables > 0, comparables).otherwise(F.coalesce("todos", F.lit(0)))
+    return joined.select("slug", "numero", comparables.alias("comparables"), base.alias("base"))
+
+
 def join_featured(featured: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalog rows of the featured codes, with their place in the list."""
     return featured.select("posicion", "codigo").join(catalog, "codigo")
