@@ -29,7 +29,7 @@ def chapter_prefix(codigo: Column) -> Column:
 
 def chapter_label(texto: Column) -> Column:
     """``"Capitulo 2\\nExplanaciones"`` as struct(numero, nombre), else null."""
-    pattern = r"(?is)^cap[íi]tulo\s+(\d+)\s*(.*)$"
+    pattern = r"(?isu)^cap[íi]tulo\s+(\d+)\s*(.*)$"
     plain = F.regexp_replace(texto, r"^\s+|\s+$", "")
     nombre = F.trim(F.regexp_replace(F.regexp_extract(plain, pattern, 2), r"\s+", " "))
     numero = F.nullif(F.regexp_extract(plain, pattern, 1), F.lit("")).try_cast("int")

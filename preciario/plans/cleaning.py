@@ -78,10 +78,10 @@ CLEANED = (
 
 
 def _dirty_text():
-    value = F.replace("text", F.lit(" "), F.lit(" \t "))
+    value = F.replace("text", F.lit(" "), F.lit(" \t\u00a0"))
     value = F.replace(value, F.lit("\n"), F.lit(" \r\n "))
-    value = F.replace(value, F.lit("é"), F.lit("é"))
-    return F.concat(F.lit("\r\n  "), value, F.lit("  "))
+    value = F.replace(value, F.lit("\u00e9"), F.lit("e\u0301"))
+    return F.concat(F.lit("\r\n  "), value, F.lit("\u00a0 "))
 
 
 @query("clean_text", f"SELECT doc_id, {CLEANED.format(x=DIRTY)} AS texto FROM documents")
