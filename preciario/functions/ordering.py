@@ -51,7 +51,7 @@ def positions(
     return joined.select(*df.columns, position.alias(name))
 
 
-def _bucket(value: Column, per_octave: int) -> Column:
+def value_bucket(value: Column, per_octave: int = 128) -> Column:
     """Monotone bucket of a number: a fixed count of buckets per power of two."""
     return (
         F.when(value > 0, F.floor(F.log2(value) * per_octave))
@@ -79,7 +79,7 @@ def group_median(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", _bucket(F.col("_v"), per_octave))
+        .withColumn("_b", value_bucket(F.col("_v"), per_octave))
     )
     running = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     histogram = (

@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from preciario.constants import CONECTORES, PATRON_M3_KM, UNIDAD_M3_KM
 
@@ -20,7 +21,7 @@ _NOT_NFC = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFC")
 

@@ -258,39 +258,47 @@ def item_index_xref(headers: DataFrame, index: DataFrame) -> DataFrame:
     ).drop("_d", "_u")
 
 
-def layout_violations(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES) -> DataFrame:
-    """Banners and labels that are not where the form has them, and overhead
-    cells that are not empty, one row each, in the order they are checked."""
+def _layout_checks(sections: tuple[L.Seccion, ...]) -> list[tuple[str, int, str, str | None]]:
+    """Rule, row, column and expected text of every fixed cell, in check order."""
     checks: list[tuple[str, int, str, str | None]] = []
     for s in sections:
         checks.append(("banner", s.banner_row, "B", s.texto_banner))
         checks.append(("etiqueta", s.subtotal_row, "B", ETIQUETA_SUBTOTAL))
     checks.append(("total", *L.ETIQUETA_COSTO, ETIQUETA_COSTO_DIRECTO))
     checks += [("aiu", *spot, None) for spot in L.CELDAS_AIU]
+    return checks
 
+
+def _check_cells(checks: list[tuple[str, int, str, str | None]]) -> list[Column]:
     anything = F.coalesce(F.col("texto"), F.col("numero").cast("string"))
-    wide = item_cells(cells).groupBy(*SHEET).agg(
-        *(
-            F.max(F.when(_at(row, column), F.col("texto") if expected else anything)).alias(f"c{i}")
-            for i, (_, row, column, expected) in enumerate(checks)
-        )
-    )
+    return [
+        F.max(F.when(_at(row, column), F.col("texto") if expected else anything)).alias(f"c{i}")
+        for i, (_, row, column, expected) in enumerate(checks)
+    ]
+
+
+def _found_violations(checks: list[tuple[str, int, str, str | None]]) -> Column:
+    """Array of the checks a sheet fails, in order."""
     found = []
     for i, (rule, row, column, expected) in enumerate(checks):
         value = F.col(f"c{i}")
         wrong = value.isNotNull() if expected is None else ~F.coalesce(equivalent(value, F.lit(expected)), F.lit(False))
-        found.append(
-            F.when(
-                wrong,
-                F.struct(
-                    F.lit(i).alias("orden"),
-                    F.lit(rule).alias("regla"),
-                    F.lit(f"{column}{row}").alias("celda"),
-                    (value if expected else F.lit(None).cast("string")).alias("valor"),
-                ),
-            )
+        violation = F.struct(
+            F.lit(i).alias("orden"),
+            F.lit(rule).alias("regla"),
+            F.lit(f"{column}{row}").alias("celda"),
+            (value if expected else F.lit(None).cast("string")).alias("valor"),
         )
-    return wide.select(*SHEET, F.explode(F.array_compact(F.array(*found))).alias("v")).select(*SHEET, "v.*")
+        found.append(F.when(wrong, violation))
+    return F.array_compact(F.array(*found))
+
+
+def layout_violations(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES) -> DataFrame:
+    """Banners and labels that are not where the form has them, and overhead
+    cells that are not empty, one row each, in the order they are checked."""
+    checks = _layout_checks(sections)
+    wide = item_cells(cells).groupBy(*SHEET).agg(*_check_cells(checks))
+    return wide.select(*SHEET, F.explode(_found_violations(checks)).alias("v")).select(*SHEET, "v.*")
 
 
 def structure_violations(
@@ -426,20 +434,24 @@ def region_resolve(named: DataFrame) -> DataFrame:
     )
 
 
-def reject_rows(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES) -> DataFrame:
+def reject_rows(cells: DataFrame, index: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES) -> DataFrame:
     """Every item sheet once: accepted (``motivo`` null) or rejected with the
-    first reason that applies.  One failure rejects its sheet, never its file."""
-    sheets = item_cells(cells).select(*SHEET).distinct()
-    layout = layout_violations(cells, sections).groupBy(*SHEET).agg(F.min_by("regla", "orden").alias("regla"))
-    headers = header_pivot(cells)
-    totals = section_subtotals(cells, sections).groupBy(*SHEET).agg(
-        F.count_if(F.col("motivo").isNull()).alias("subtotales")
+    first reason that applies.  One failure rejects its sheet, never its file.
+
+    All fixed cells of a sheet are read in one aggregate; ``index`` is the
+    result of :func:`index_rows`.
+    """
+    checks = _layout_checks(sections)
+    spots = L.CELDAS_ITEM
+    subtotals = [F.max(F.when(_at(s.subtotal_row, s.columns["subtotal"]), F.col("numero"))).alias(f"s{i}") for i, s in enumerate(sections)]
+    wide = item_cells(cells).groupBy(*SHEET).agg(
+        *_check_cells(checks), *(_pick(_at(*spot), field) for field, spot in spots.items()), *subtotals
     )
-    index = index_rows(cells).select(*SHEET, F.col("descripcion").alias("_d"), F.col("unidad").alias("_u"))
-    joined = sheets.join(layout, SHEET, "left").join(headers, SHEET, "left").join(totals, SHEET, "left").join(index, SHEET, "left")
-    numeric = F.coalesce(F.col("subtotales"), F.lit(0)) == len(sections)
+    side = index.select(*SHEET, F.col("descripcion").alias("_d"), F.col("unidad").alias("_u"))
+    joined = wide.withColumn("_v", _found_violations(checks)).join(side, SHEET, "left")
+    numeric = reduce(lambda a, b: a & b, (F.col(f"s{i}").isNotNull() for i in range(len(sections))))
     motivo = (
-        F.when(F.col("regla").isNotNull(), F.concat(F.lit("formato: "), F.col("regla")))
+        F.when(F.size("_v") > 0, F.concat(F.lit("formato: "), F.col("_v")[0]["regla"]))
         .when(~with_commas(F.col("codigo")).eqNullSafe(F.col("hoja")), "código distinto del nombre de la hoja")
         .when(F.coalesce(clean_text(F.col("descripcion")), F.col("_d")).isNull(), "sin descripción")
         .when(F.coalesce(clean_text(F.col("unidad")), F.col("_u")).isNull(), "sin unidad")

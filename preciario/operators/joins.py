@@ -3,7 +3,7 @@ measured sizes and splits skewed partitions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from preciario.functions.codes import chapter_name, chapter_number, natural_key
@@ -61,29 +61,34 @@ def join_item_region_breakdown(breakdown: DataFrame, facts: DataFrame, provinces
 
 
 def anti_orphans(facts: DataFrame, lines: DataFrame) -> DataFrame:
-    """Facts without lines and lines without facts."""
+    """Facts without lines and lines without facts: the unmatched rows of both
+    sides from one full join of the key sets."""
     keys = ["codigo", "slug"]
-    line_keys = lines.select(*keys).distinct()
-    fact_keys = facts.select(*keys)
-    lonely = fact_keys.join(line_keys, keys, "left_anti").withColumn("lado", F.lit("sin líneas"))
-    stray = line_keys.join(fact_keys, keys, "left_anti").withColumn("lado", F.lit("sin ítem"))
-    return lonely.unionByName(stray)
+    left = facts.select(*keys).withColumn("_f", F.lit(True))
+    right = lines.select(*keys).distinct().withColumn("_l", F.lit(True))
+    joined = left.join(right, keys, "full_outer").where(F.col("_f").isNull() | F.col("_l").isNull())
+    return joined.select(*keys, F.when(F.col("_l").isNull(), "sin líneas").otherwise("sin ítem").alias("lado"))
 
 
-#: Buckets over which one side of a product is spread.
-PRODUCT_BUCKETS = 64
+#: Side of the grid over which a product is spread.
+PRODUCT_GRID = 16
 
 
 def cross_item_region(items: DataFrame, regions: DataFrame) -> DataFrame:
     """All item-region pairs.
 
-    Regions are dealt into buckets and every item is copied once per bucket, so
-    the product becomes an equi-join on the bucket: exact for any size of either
-    side, and spread over tasks.
+    Both sides are dealt onto a grid: an item is copied along its row and a
+    region along its column, and they meet by an equi-join on the grid cell.
+    Exact for any size of either side, and spread over all cells.
     """
-    left = items.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(PRODUCT_BUCKETS - 1))))
-    right = regions.withColumn("_b", F.pmod(F.xxhash64(*regions.columns), F.lit(PRODUCT_BUCKETS)).cast("int"))
-    return left.join(right, "_b").drop("_b")
+    side = F.sequence(F.lit(0), F.lit(PRODUCT_GRID - 1))
+
+    def deal(df: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(*df.columns), F.lit(PRODUCT_GRID)).cast("int")
+
+    left = items.withColumns({"_a": deal(items), "_b": F.explode(side)})
+    right = regions.withColumns({"_b": deal(regions), "_a": F.explode(side)})
+    return left.join(right, ["_a", "_b"]).drop("_a", "_b")
 
 
 def missing_pairs(facts: DataFrame) -> DataFrame:

@@ -18,21 +18,16 @@ from preciario.constants import (
 )
 from preciario.functions.codes import chapter_number, natural_key
 from preciario.functions.money import EXACTO
+from preciario.functions.ordering import positions, value_bucket
 from preciario.functions.text import first_line
 
 
 def rank_province(summary: DataFrame) -> DataFrame:
-    """Place from the cheapest among the provinces with a median, and how many.
-
-    ``summary`` has one row per province, so the window runs over a dimension.
-    """
-    priced = summary.where(F.col("mediana") > 0)
-    return priced.select(
-        "slug",
-        "mediana",
-        F.row_number().over(W.orderBy("mediana", "slug")).alias("puesto"),
-        F.count(F.lit(1)).over(W.partitionBy()).alias("total"),
-    )
+    """Place from the cheapest among the provinces with a median, and how many."""
+    priced = summary.where(F.col("mediana") > 0).select("slug", "mediana")
+    total = priced.agg(F.count(F.lit(1)).alias("n")).scalar()
+    ranked = positions(priced, [], ["mediana", "slug"], value_bucket(F.col("mediana")), name="puesto")
+    return ranked.withColumn("total", total)
 
 
 def topk_lines(lines: DataFrame, k: int = 3) -> DataFrame:
@@ -44,51 +39,62 @@ def topk_lines(lines: DataFrame, k: int = 3) -> DataFrame:
     return ranked.where(F.col("puesto") <= k).select(*group, "puesto", "codigoInsumo", "descripcion", "subtotal")
 
 
-def topk_lines_with_other(lines: DataFrame, k: int = 3) -> DataFrame:
-    """Top k lines per component and, where lines remain, one row for the rest.
+def _top_and_totals(lines: DataFrame, k: int) -> DataFrame:
+    """Top lines next to the count, sum and visible sum of their group.
 
-    The rest is the group total minus the visible part, both exact decimals, so
-    no group is ever ranked beyond its k-th row.
+    Both sides are partitioned by the group, so the join and the window over at
+    most k rows add no exchange.
     """
     group = ["codigo", "slug", "componente"]
-    top = topk_lines(lines, k)
     totals = (
         lines.where(F.col("subtotal") > 0)
         .groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("subtotal").cast(EXACTO)).alias("s"))
-        .where(F.col("n") > k)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("subtotal").cast(EXACTO)).alias("suma"))
     )
-    seen = top.groupBy(*group).agg(F.sum(F.col("subtotal").cast(EXACTO)).alias("v"))
-    other = totals.join(seen, group).select(
-        *group,
+    seen = F.sum(F.col("subtotal").cast(EXACTO)).over(W.partitionBy(*group))
+    return topk_lines(lines, k).join(totals, group).withColumn("visto", seen)
+
+
+def topk_lines_with_other(lines: DataFrame, k: int = 3) -> DataFrame:
+    """Top k lines per component and, where lines remain, one row for the rest.
+
+    The rest is the group total minus the visible part, both exact decimals, so
+    no group is ever ranked beyond its k-th row.
+    """
+    line = F.struct(
+        "puesto", "codigoInsumo", F.lit(1).cast("long").alias("n"), F.col("subtotal").cast("double").alias("valor")
+    )
+    other = F.struct(
         F.lit(k + 1).alias("puesto"),
         F.lit(None).cast("string").alias("codigoInsumo"),
         (F.col("n") - k).alias("n"),
-        (F.col("s") - F.col("v")).cast("double").alias("valor"),
+        (F.col("suma") - F.col("visto")).cast("double").alias("valor"),
+    )
+    rest = F.when((F.col("puesto") == 1) & (F.col("n") > k), other)
+    rows = _top_and_totals(lines, k).select(
+        "codigo", "slug", "componente", F.explode(F.array_compact(F.array(line, rest))).alias("x")
     )
-    visible = top.select(*group, "puesto", "codigoInsumo", F.lit(1).cast("long").alias("n"), F.col("subtotal").cast("double").alias("valor"))
-    return visible.unionByName(other)
+    return rows.select("codigo", "slug", "componente", "x.*")
 
 
 def flow_edges(lines: DataFrame, k: int = 3) -> DataFrame:
     """Edges root -> component -> line or rest."""
-    group = ["codigo", "slug", "componente"]
-    roots = (
-        lines.where(F.col("subtotal") > 0)
-        .groupBy(*group)
-        .agg(F.sum(F.col("subtotal").cast(EXACTO)).cast("double").alias("valor"))
-        .select("codigo", "slug", F.lit("Costo directo").alias("origen"), F.col("componente").alias("destino"), F.lit(0).alias("puesto"), "valor")
+
+    def edge(origen: Column, destino: Column, puesto: Column, valor: Column) -> Column:
+        return F.struct(
+            origen.alias("origen"), destino.alias("destino"), puesto.alias("puesto"), valor.cast("double").alias("valor")
+        )
+
+    first, componente = F.col("puesto") == 1, F.col("componente")
+    rest = F.concat(F.lit("Otras líneas ("), (F.col("n") - k).cast("string"), F.lit(")"))
+    edges = F.array(
+        F.when(first, edge(F.lit("Costo directo"), componente, F.lit(0), F.col("suma"))),
+        edge(componente, F.col("codigoInsumo"), F.col("puesto"), F.col("subtotal")),
+        F.when(first & (F.col("n") > k), edge(componente, rest, F.lit(k + 1), F.col("suma") - F.col("visto"))),
     )
-    rest = F.concat(F.lit("Otras líneas ("), F.col("n").cast("string"), F.lit(")"))
-    leaves = topk_lines_with_other(lines, k).select(
-        "codigo",
-        "slug",
-        F.col("componente").alias("origen"),
-        F.when(F.col("puesto") > k, rest).otherwise(F.col("codigoInsumo")).alias("destino"),
-        "puesto",
-        "valor",
+    return _top_and_totals(lines, k).select("codigo", "slug", F.explode(F.array_compact(edges)).alias("e")).select(
+        "codigo", "slug", "e.*"
     )
-    return roots.unionByName(leaves)
 
 
 def featured_family(catalog: DataFrame, chapter: str = CAPITULO_DESTACADO) -> DataFrame:

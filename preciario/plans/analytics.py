@@ -19,7 +19,7 @@ NUMERO = "coalesce(capituloNumero, CAST(left(capitulo,1) AS INTEGER))"
 
 @query("agg_positive", sql(f"SELECT capitulo, {stats()} FROM apus GROUP BY capitulo", "apus"))
 def agg_positive(spark, sf):
-    return A.agg_positive(T.facts(spark, sf), ["capitulo"])
+    return A.agg_positive(T.shared_facts(spark, sf), ["capitulo"])
 
 
 @query("catalog", sql(f"SELECT {CAT_COLUMNS} FROM cat", "cat"))
@@ -55,7 +55,7 @@ def item_document(spark, sf):
     ),
 )
 def province_summary(spark, sf):
-    docs = A.province_document(T.facts(spark, sf))
+    docs = A.province_document(T.shared_facts(spark, sf))
     head = ["slug", "regionCodigo", "departamento", "min", "max", "mediana", "promedio", "itemsConDato", "parte"]
     return docs.select(*head, F.posexplode("items").alias("pos", "i")).select(
         *head, (F.col("pos") + 1).alias("posicion"), "i.codigo", "i.titulo", "i.unidad", "i.costoDirecto"
@@ -81,7 +81,7 @@ def stats_counts(spark, sf):
 
 @query("stats_global", sql(f"SELECT {stats()} FROM apus", "apus"))
 def stats_global(spark, sf):
-    return A.agg_positive(T.facts(spark, sf), [])
+    return A.agg_positive(T.shared_facts(spark, sf), [])
 
 
 @query("items_per_chapter", sql("SELECT capitulo, count(DISTINCT codigo) AS items FROM apus GROUP BY capitulo", "apus"))
@@ -127,7 +127,7 @@ def provinces_per_department(spark, sf):
     ),
 )
 def extreme_provinces(spark, sf):
-    return A.extreme_provinces(A.province_summary(T.facts(spark, sf)))
+    return A.extreme_provinces(A.province_summary(T.shared_facts(spark, sf)))
 
 
 def _share(c: str) -> str:
@@ -142,12 +142,12 @@ COMPOSITION = (
 
 @query("composition_by_chapter", sql(COMPOSITION, "apus"))
 def composition_by_chapter(spark, sf):
-    return A.composition_by_chapter(T.facts(spark, sf))
+    return A.composition_by_chapter(T.shared_facts(spark, sf))
 
 
 @query("apus_with_data", sql("SELECT count(*) FILTER (WHERE costoDirecto>0) AS apusConDato FROM apus", "apus"))
 def apus_with_data(spark, sf):
-    return A.apus_with_data(A.composition_by_chapter(T.facts(spark, sf)))
+    return A.apus_with_data(A.composition_by_chapter(T.shared_facts(spark, sf)))
 
 
 LEVEL = (
@@ -159,7 +159,7 @@ LEVEL = (
 
 @query("relative_level", sql(LEVEL, "cmap"))
 def relative_level(spark, sf):
-    facts = T.facts(spark, sf)
+    facts = T.shared_facts(spark, sf)
     cat = A.catalog(facts)
     return A.relative_level(facts, cat, J.chapter_map(cat))
 
@@ -175,7 +175,7 @@ COMPARE = (
 
 @query("compare_chapters", sql(COMPARE, "cmap"))
 def compare_chapters(spark, sf):
-    facts = T.facts(spark, sf)
+    facts = T.shared_facts(spark, sf)
     cat = A.catalog(facts)
     return A.compare_chapters(facts, cat, J.chapter_map(cat))
 
@@ -185,7 +185,7 @@ def compare_chapters(spark, sf):
     sql(f"SELECT regionCodigoDane, {med('mediana')} AS medianaDepartamento, count(*) AS provincias FROM prov GROUP BY regionCodigoDane", "prov"),
 )
 def dept_median_of_medians(spark, sf):
-    return A.dept_median_of_medians(A.province_summary(T.facts(spark, sf)))
+    return A.dept_median_of_medians(A.province_summary(T.shared_facts(spark, sf)))
 
 
 @query(
@@ -205,7 +205,7 @@ def dept_mean_for_item(spark, sf):
     sql("SELECT regionCodigo, regionCodigoDane, departamento, provincia, slug, mediana, conDato AS itemsConDato FROM prov", "prov"),
 )
 def province_roster(spark, sf):
-    return S.province_roster(A.province_summary(T.facts(spark, sf)))
+    return S.province_roster(A.province_summary(T.shared_facts(spark, sf)))
 
 
 @query(
@@ -217,7 +217,7 @@ def province_roster(spark, sf):
     ),
 )
 def group_by_department(spark, sf):
-    groups = A.group_by_department(A.province_summary(T.facts(spark, sf)))
+    groups = A.group_by_department(A.province_summary(T.shared_facts(spark, sf)))
     return groups.select("regionCodigoDane", "departamento", F.posexplode("provincias").alias("pos", "p")).select(
         "regionCodigoDane", "departamento", (F.col("pos") + 1).alias("posicion"), "p.*"
     )
@@ -270,7 +270,7 @@ def unresolved_by_item(spark, sf):
     sql(f"SELECT coalesce({med('mediana', 'mediana>0')},0) AS medianaNacional, count(*) FILTER (WHERE mediana>0) AS provincias FROM prov", "prov"),
 )
 def national_median_of_provinces(spark, sf):
-    return A.national_median_of_provinces(A.province_summary(T.facts(spark, sf)))
+    return A.national_median_of_provinces(A.province_summary(T.shared_facts(spark, sf)))
 
 
 # ---------------------------------------------------------------- rankings
@@ -279,12 +279,12 @@ def national_median_of_provinces(spark, sf):
 @query(
     "rank_province",
     sql(
-        "SELECT slug, mediana, CAST(row_number() OVER (ORDER BY mediana, slug) AS INTEGER) AS puesto, count(*) OVER () AS total FROM prov WHERE mediana>0",
+        "SELECT slug, mediana, row_number() OVER (ORDER BY mediana, slug) AS puesto, count(*) OVER () AS total FROM prov WHERE mediana>0",
         "prov",
     ),
 )
 def rank_province(spark, sf):
-    return R.rank_province(A.province_summary(T.facts(spark, sf)))
+    return R.rank_province(A.province_summary(T.shared_facts(spark, sf)))
 
 
 TOP = (
@@ -337,7 +337,7 @@ FAMILY = "648"
 
 @query("featured_round_robin", _featured("SELECT CAST(posicion AS INTEGER) AS posicion, codigo, mediana FROM o WHERE posicion<=60"))
 def featured_round_robin(spark, sf):
-    return R.featured_round_robin(A.catalog(T.facts(spark, sf)), limit=60, chapter=FAMILY)
+    return R.featured_round_robin(A.catalog(T.shared_facts(spark, sf)), limit=60, chapter=FAMILY)
 
 
 @query("featured_family", sql("SELECT codigo, mediana FROM cat WHERE capitulo='648' AND mediana>0", "cat"))
@@ -411,7 +411,7 @@ def components_long(spark, sf):
     ),
 )
 def bin_equal_width(spark, sf):
-    means = A.dept_mean_for_item(T.facts(spark, sf)).select("codigo", "regionCodigoDane", F.col("promedio").alias("valor"))
+    means = A.dept_mean_for_item(T.shared_facts(spark, sf)).select("codigo", "regionCodigoDane", F.col("promedio").alias("valor"))
     return R.bin_equal_width(means, "valor", keys=["codigo"])
 
 
@@ -448,7 +448,7 @@ def contiguous_groups(spark, sf):
     ),
 )
 def chunk_ordinal(spark, sf):
-    return R.chunk_ordinal(T.facts(spark, sf).select("codigo", "slug"), size=1000)
+    return R.chunk_ordinal(T.shared_facts(spark, sf).select("codigo", "slug"), size=1000)
 
 
 # ---------------------------------------------------------------- sorts
@@ -459,12 +459,12 @@ def chunk_ordinal(spark, sf):
     sql(f"SELECT codigo, slug, row_number() OVER (ORDER BY {natural('codigo')}, slug)-1 AS ordinal FROM apus", "apus"),
 )
 def sort_natural_code(spark, sf):
-    return S.sort_natural_code(R.global_ordinal(T.facts(spark, sf).select("codigo", "slug")), "slug")
+    return S.sort_natural_code(R.global_ordinal(T.shared_facts(spark, sf).select("codigo", "slug")), "slug")
 
 
 @query("sort_locale", sql("SELECT departamento, provincia, slug, mediana FROM prov", "prov"))
 def sort_locale(spark, sf):
-    rows = A.province_summary(T.facts(spark, sf)).select("departamento", "provincia", "slug", "mediana")
+    rows = A.province_summary(T.shared_facts(spark, sf)).select("departamento", "provincia", "slug", "mediana")
     return S.sort_locale(rows, "departamento", "provincia")
 
 

@@ -1,6 +1,8 @@
 """Sheet-cell extraction over the driver tables.
 
 The driver's forms have unlimited line rows, so they use the wide sections.
+Each query reads the kinds of cells its rule can address, all rows of them;
+queries about whole workbooks read every kind.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ HEADER = (
 
 @query("header_pivot", sql(f"SELECT archivo, hoja, codigo, descripcion, unidad, costoDirecto FROM ({HEADER})", "hojas"))
 def header_pivot(spark, sf):
-    return X.header_pivot(T.cells(spark, sf))
+    return X.header_pivot(T.header_cells(spark, sf))
 
 
 @query(
@@ -51,7 +53,7 @@ def header_pivot(spark, sf):
     ),
 )
 def index_rows(spark, sf):
-    return X.index_rows(T.cells(spark, sf))
+    return X.index_rows(T.index_cells(spark, sf))
 
 
 SECTION = (
@@ -80,7 +82,7 @@ def section_lines(spark, sf):
     ),
 )
 def section_subtotals(spark, sf):
-    return X.section_subtotals(T.cells(spark, sf), WIDE)
+    return X.section_subtotals(T.header_cells(spark, sf), WIDE)
 
 
 UNRESOLVED = "SELECT archivo, hoja, componente, CAST(fila AS BIGINT) AS fila, codigo FROM filas WHERE l_tax>0 AND NOT l_discount>0"
@@ -120,7 +122,7 @@ MINOR = (
     ),
 )
 def minor_tools_line(spark, sf):
-    lines = X.sheet_lines(T.cells(spark, sf), WIDE)
+    lines = X.sheet_lines(T.line_cells(spark, sf).unionByName(T.header_cells(spark, sf)), WIDE)
     return lines.select("archivo", "hoja", "fila", "componente", "codigo", "unidad", "cantidad", "precioUnitario", "subtotal", "porcentaje", "base")
 
 
@@ -163,7 +165,7 @@ VIOLATIONS = (
 
 @query("layout_violations", sql(VIOLATIONS, "hojas"))
 def layout_violations(spark, sf):
-    return X.layout_violations(T.cells(spark, sf), WIDE)
+    return X.layout_violations(T.header_cells(spark, sf), WIDE)
 
 
 SUPPORT = ", ".join(f"'{h}'" for h in HOJAS_DE_APOYO)
@@ -195,12 +197,12 @@ def _listing(only: str) -> str:
 
 @query("supply_listing", _listing("true"))
 def supply_listing(spark, sf):
-    return X.supply_listing(T.cells(spark, sf))
+    return X.supply_listing(T.listing_cells(spark, sf))
 
 
 @query("supply_subset", _listing("p_partkey%4 IN (0, 2)"))
 def supply_subset(spark, sf):
-    return X.supply_listing(T.cells(spark, sf), ["EQUIPO", "TRANSPORTE"])
+    return X.supply_listing(T.listing_cells(spark, sf), ["EQUIPO", "TRANSPORTE"])
 
 
 @query(
@@ -209,7 +211,7 @@ def supply_subset(spark, sf):
     "p_retailprice AS valor FROM part WHERE p_partkey%100<4 AND p_partkey%100<>2",
 )
 def salary_reference(spark, sf):
-    return X.salary_reference(T.cells(spark, sf))
+    return X.salary_reference(T.listing_cells(spark, sf))
 
 
 COVER = (
@@ -222,7 +224,7 @@ COVER = (
 
 @query("cover_attributes", COVER)
 def cover_attributes(spark, sf):
-    return X.cover_attributes(T.cells(spark, sf))
+    return X.cover_attributes(T.cover_cells(spark, sf))
 
 
 @query(
@@ -265,7 +267,7 @@ def region_resolve(spark, sf):
     ),
 )
 def reject_rows(spark, sf):
-    return X.reject_rows(T.cells(spark, sf), WIDE)
+    return X.reject_rows(T.header_cells(spark, sf), X.index_rows(T.index_cells(spark, sf)), WIDE)
 
 
 @query("clean_cells", "SELECT turn, conv_id, trim(text) AS texto FROM conversations")

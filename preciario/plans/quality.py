@@ -73,7 +73,7 @@ def dq_apu_rules(spark, sf):
 )
 def dq_region_rules(spark, sf):
     n = F.substring("regionCodigo", 3, 2).cast("int")
-    rows = A.province_summary(S.facts(spark, sf)).withColumns(
+    rows = A.province_summary(S.shared_facts(spark, sf)).withColumns(
         {
             "slug": F.when(n % 3 == 0, F.upper("slug")).otherwise(F.col("slug")),
             "regionCodigo": F.when(n % 4 == 0, F.substring("regionCodigo", 2, 3)).otherwise(F.col("regionCodigo")),
@@ -141,7 +141,7 @@ def dq_line_rules(spark, sf):
     ),
 )
 def dq_artifact_rules(spark, sf):
-    facts = S.facts(spark, sf)
+    facts = S.shared_facts(spark, sf)
     catalog = A.catalog(facts).withColumns(
         {
             "capitulo": F.when(F.col("capitulo").isin("200", "228"), F.concat(F.lit("x"), "capitulo")).otherwise(F.col("capitulo")),

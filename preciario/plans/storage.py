@@ -175,7 +175,7 @@ def sink_item_docs(spark, sf):
     ),
 )
 def sink_province_docs(spark, sf):
-    documents = A.province_document(T.facts(spark, sf))
+    documents = A.province_document(T.shared_facts(spark, sf))
     path = S.sink_province_docs(documents, _provenance(), scratch_path(spark, "provincias"))
     docs = S.scan_docs(spark, path, schemas.DOC_PROVINCIA)
     return docs.select("region.slug", "region.departamento", "agregados.mediana", "itemsConDato", F.explode("items").alias("i")).select(
@@ -191,7 +191,7 @@ def sink_province_docs(spark, sf):
     ),
 )
 def sink_catalog_stats(spark, sf):
-    facts = T.facts(spark, sf)
+    facts = T.shared_facts(spark, sf)
     items = S.sink_catalog(A.catalog(facts), scratch_path(spark, "catalogo"))
     counts = A.stats_counts(facts, F.lit(0), F.lit(0), F.lit(0)).select(*S.header(_provenance()), F.struct("items", "provincias", "apus").alias("conteos"))
     stats = S.sink_stats(counts, scratch_path(spark, "stats"))
@@ -246,4 +246,4 @@ def provenance_join(spark, sf):
     sql("SELECT archivo, codigo, costoDirecto FROM apus WHERE archivo IN (SELECT DISTINCT archivo FROM apus ORDER BY archivo LIMIT 5)", "apus"),
 )
 def sample_first_n_files(spark, sf):
-    return S.sample_first_n_files(T.facts(spark, sf), 5).select("archivo", "codigo", "costoDirecto")
+    return S.sample_first_n_files(T.shared_facts(spark, sf), 5).select("archivo", "codigo", "costoDirecto")

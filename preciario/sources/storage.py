@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from preciario import constants as C
-from preciario.functions.codes import natural_key
+from preciario.functions.codes import chapter_prefix, natural_key
 from preciario.sources import schemas as S
 
 # ---------------------------------------------------------------- staging
@@ -32,30 +32,22 @@ def scan_staging(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 # ---------------------------------------------------------------- columnar
 
 
-def sink_parquet(df: DataFrame, path: str, order: list[str | Column], row_group: int, partition_by: list[str] | None = None) -> str:
+def sink_parquet(df: DataFrame, path: str, order: list[str | Column], row_group: int) -> str:
     """Range-partitioned and sorted, zstd, small row groups: min/max statistics
     of the leading key let a point query skip nearly everything.
 
-    The number of files follows the data: the range exchange is sized by
-    adaptive execution unless ``spark.sql.shuffle.partitions`` says otherwise.
+    A range covers a part of a large item, never all of it by force: the order
+    goes down to the single line.  See ``session.size_shuffles`` for the number
+    of ranges; adaptive execution merges the small ones.
     """
-    keys = [F.col(k) if isinstance(k, str) else k for k in order]
-    parts = [F.col(c) for c in partition_by or []]
-    named = df
-    aliases = []
-    for i, key in enumerate([*parts, *keys]):
-        named = named.withColumn(f"_k{i}", key)
-        aliases.append(f"_k{i}")
-    spread = named.repartitionByRange(*aliases).sortWithinPartitions(*aliases).drop(*aliases)
-    writer = (
+    keys = {f"_k{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(order)}
+    spread = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    (
         spread.write.mode("overwrite")
         .option("compression", "zstd")
         .option("parquet.block.row.count.limit", str(row_group))
-        .option("partitionOverwriteMode", "dynamic" if partition_by else "static")
+        .parquet(path)
     )
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
     return path
 
 
@@ -149,18 +141,19 @@ def header(procedencia: Column) -> list[Column]:
 # ---------------------------------------------------------------- documents
 
 
-def _write_documents(docs: DataFrame, key: str, path: str) -> str:
-    """One directory per key, so a reader of one key opens one file.
+def _write_documents(docs: DataFrame, group: Column, path: str) -> str:
+    """One JSON row per document, in directories by ``group``.
 
-    Each document is one row; the directory column repeats the key and stays out
-    of the document.
+    A directory per document would mean one tiny file each; a directory per
+    chapter or department keeps point reads short and files few.  Rebalancing
+    splits a group that is much larger than the rest.
     """
     (
-        docs.withColumn("clave", F.col(key))
-        .repartition("clave")
+        docs.withColumn("grupo", group)
+        .hint("rebalance", "grupo")
         .write.mode("overwrite")
         .option("ignoreNullFields", "true")
-        .partitionBy("clave")
+        .partitionBy("grupo")
         .json(path)
     )
     return path
@@ -168,7 +161,7 @@ def _write_documents(docs: DataFrame, key: str, path: str) -> str:
 
 def sink_item_docs(documents: DataFrame, procedencia: Column, path: str) -> str:
     body = [f.name for f in S.DOC_ITEM if f.name not in dict(S.CABECERA)]
-    return _write_documents(documents.select(*header(procedencia), *body), "codigo", path)
+    return _write_documents(documents.select(*header(procedencia), *body), chapter_prefix(F.col("codigo")), path)
 
 
 def sink_province_docs(documents: DataFrame, procedencia: Column, path: str) -> str:
@@ -179,7 +172,7 @@ def sink_province_docs(documents: DataFrame, procedencia: Column, path: str) ->
         *header(procedencia), region.alias("region"), F.struct("min", "max", "mediana", "promedio").alias("agregados"),
         "itemsConDato", "parte", "items",
     )
-    return _write_documents(docs, "region.slug", path)
+    return _write_documents(docs, F.col("region.codigoDane"), path)
 
 
 def sink_catalog(catalog: DataFrame, path: str) -> str:
@@ -199,14 +192,23 @@ def sink_stats(stats: DataFrame, path: str) -> str:
     return path
 
 
-def scan_docs(spark: SparkSession, path: str, schema: T.StructType, key: str | None = None) -> DataFrame:
-    """Published documents; one key reads one directory.
+def scan_docs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Published documents; a corrupt one stops the job."""
+    keyed = T.StructType([*schema.fields, T.StructField("grupo", T.StringType())])
+    return spark.read.schema(keyed).option("mode", "FAILFAST").json(path)
 
-    A missing key gives no rows, a corrupt document stops the job.
-    """
-    keyed = T.StructType([*schema.fields, T.StructField("clave", T.StringType())])
-    docs = spark.read.schema(keyed).option("mode", "FAILFAST").json(path)
-    return docs if key is None else docs.where(F.col("clave") == key)
+
+def item_doc(docs: DataFrame, codigo: str) -> DataFrame:
+    """One item document: its chapter directory, then its key.  No match, or a
+    malformed code, gives no rows."""
+    return docs.where(
+        (F.col("grupo") == codigo.split(".")[0]) & (F.col("codigo") == codigo) & F.lit(codigo).rlike(C.PATRON_CODIGO)
+    )
+
+
+def province_doc(docs: DataFrame, slug: str) -> DataFrame:
+    """One province document, or no rows."""
+    return docs.where((F.col("region.slug") == slug) & F.lit(slug).rlike(C.PATRON_SLUG))
 
 
 # ---------------------------------------------------------------- files

@@ -23,6 +23,7 @@ from preciario.constants import (
     VIGENCIA,
 )
 from preciario.functions.ordering import positions
+from preciario.session import written
 from preciario.sources.layout import LISTADOS, SECCIONES, WIDE_FIRST_ROW
 
 #: Lines are positioned inside tiles of this many consecutive order keys.
@@ -91,23 +92,29 @@ def amount() -> Column:
     ).cast("decimal(16,2)")
 
 
-def _priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _priced_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Lineitem rows with component, amount, item and region keys.
+
+    Component and amount are computed before the joins, so the raw columns they
+    need do not travel through them.  ``columns`` names lineitem columns to keep.
+    """
     part = read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("l_partkey"),
-        F.substring("p_brand", 7, 9).cast("int").alias("brand"),
-        "p_size",
-        "p_name",
-        "p_type",
+        F.col("p_partkey").alias("l_partkey"), F.substring("p_brand", 7, 9).cast("int").alias("brand"), "p_size"
     )
     supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     return (
         read(spark, sf_dir, "lineitem")
+        .withColumns({"componente": _component(), "subtotal": amount()})
+        .select("l_partkey", "l_suppkey", "componente", "subtotal", *columns)
         .join(supplier, "l_suppkey")
         .join(part, "l_partkey")
-        .withColumns({"componente": _component(), "subtotal": amount()})
     )
 
 
+def part_names(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias(key), "p_name", "p_type")
+
+
 def _item_code() -> dict[str, Column]:
     chapter = (F.lit(200) + (F.col("brand") - 1) * 28).cast("string")
     return {"codigo": F.concat(chapter, F.lit("."), F.col("p_size").cast("string")), "capitulo": chapter}
@@ -118,7 +125,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     componente = F.col("componente")
     labour, haul = componente == "manoDeObra", componente == "transporte"
     return (
-        _priced_lines(spark, sf_dir)
+        _priced_lines(
+            spark, sf_dir, "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_shipdate"
+        )
+        .join(part_names(spark, sf_dir, "l_partkey"), "l_partkey")
         .join(regions(spark, sf_dir), "s_nationkey")
         .withColumns(_item_code())
         .withColumns(unit_columns(F.col("p_type")))
@@ -159,7 +169,8 @@ def with_order(line_table: DataFrame) -> DataFrame:
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item-by-region table with the 22 published columns.
 
-    Grouping happens on three small integers before any name is attached.
+    Lines are grouped on three integers, keeping only numbers, so the partial
+    aggregate is a plain hash aggregate; names are joined to the result.
     """
     sums = [
         F.coalesce(F.sum(F.when(F.col("componente") == c, F.col("subtotal"))), F.lit(0).cast("decimal(16,2)"))
@@ -173,15 +184,16 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             *sums,
             F.sum("subtotal").cast("double").alias("costoDirecto"),
-            F.min(F.struct("l_partkey", "p_name", "p_type")).alias("head"),
+            F.min("l_partkey").alias("head"),
         )
     )
     known = F.col("brand") % 5 != 0
     first_digit = F.substring("capitulo", 1, 1).cast("int")
     return (
-        grouped.join(regions(spark, sf_dir), "s_nationkey")
+        grouped.join(part_names(spark, sf_dir, "head"), "head")
+        .join(regions(spark, sf_dir), "s_nationkey")
         .withColumns(_item_code())
-        .withColumns(unit_columns(F.col("head.p_type")))
+        .withColumns(unit_columns(F.col("p_type")))
         .select(
             F.lit(VIGENCIA).alias("vigencia"),
             F.concat(
@@ -199,8 +211,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "capituloNombre"
             ),
             F.concat(F.lit("Artículo "), "capitulo", F.lit(" - 22")).alias("articulo"),
-            F.when(F.col("head.p_type") != "PROMO", F.col("head.p_type")).alias("clasificacion"),
-            F.concat(F.col("head.p_name"), F.lit("\n("), F.col("head.p_type"), F.lit(")")).alias("descripcion"),
+            F.when(F.col("p_type") != "PROMO", F.col("p_type")).alias("clasificacion"),
+            F.concat(F.col("p_name"), F.lit("\n("), F.col("p_type"), F.lit(")")).alias("descripcion"),
             "unidad",
             "unidadCruda",
             *COMPONENTES,
@@ -210,6 +222,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts written once, for queries that use them in several branches: the
+    lines are then read and aggregated a single time."""
+    return written(facts(spark, sf_dir), "facts")
+
+
 def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supply-by-region table with the 13 published columns.
 
