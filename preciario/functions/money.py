@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from preciario.constants import PORCENTAJE_MAXIMO
 
-#: Exact type for sums of money: doubles carry no order-dependent noise once
-#: they pass through it.
-EXACTO = "decimal(20,4)"
+#: Money is summed in whole ten-thousandths: integers carry no noise that depends
+#: on the order of rows, and converting a double to one is a floor, not a parse.
+UNIDADES_POR_PESO = 10_000
 
 
 def round_money(value: Column) -> Column:
@@ -17,9 +17,18 @@ def round_money(value: Column) -> Column:
     return F.floor(value * 100 + 0.5) / 100
 
 
-def exact_sum(value: Column) -> Column:
+def exact_units(value: Column) -> Column:
+    """Money as a decimal count of ten-thousandths, wide enough never to overflow."""
+    return F.floor(value * UNIDADES_POR_PESO + 0.5).cast("decimal(20,0)")
+
+
+def from_units(units: Column) -> Column:
+    return units.cast("double") / UNIDADES_POR_PESO
+
+
+def sum_money(value: Column) -> Column:
     """Sum that does not depend on the order of the rows; result is a double."""
-    return F.sum(value.cast(EXACTO)).cast("double")
+    return from_units(F.sum(exact_units(value)))
 
 
 def mean_ratio(ratio: Column) -> Column:

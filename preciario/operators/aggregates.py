@@ -1,7 +1,7 @@
 """Aggregations.
 
 Rule shared by all: 0 means "not applicable" and is left out, an empty group
-gives zeros, and money is summed in decimals so no result depends on row order.
+gives zeros, and money is summed in whole units so no result depends on row order.
 
 Groups by item hold at most one fact per region and use the built-in median.
 Every wider group (region, chapter, department, all facts) uses
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from preciario.constants import COMPONENTES
 from preciario.functions.codes import chapter_name, chapter_number, natural_key
-from preciario.functions.money import EXACTO, mean_ratio, round_money
+from preciario.functions.money import mean_ratio, round_money, sum_money
 from preciario.functions.ordering import group_median
 from preciario.functions.text import title
 from preciario.operators.extract import department_name
@@ -38,7 +38,7 @@ def positive_stats(value: str = "costoDirecto", median: bool = True) -> list[Col
     ``median=False`` leaves the median out for groups that may be large.
     """
     v = _positive(value)
-    mean = F.sum(v.cast(EXACTO)).cast("double") / F.count(v)
+    mean = sum_money(v) / F.count(v)
     out = [
         _zero(round_money(F.min(v))).alias("min"),
         _zero(round_money(F.max(v))).alias("max"),
@@ -288,7 +288,7 @@ def dept_mean_for_item(facts: DataFrame) -> DataFrame:
     return (
         facts.where(F.col("costoDirecto") > 0)
         .groupBy("codigo", "regionCodigoDane")
-        .agg((F.sum(F.col("costoDirecto").cast(EXACTO)).cast("double") / F.count(F.lit(1))).alias("promedio"), F.count(F.lit(1)).alias("n"))
+        .agg((sum_money(F.col("costoDirecto")) / F.count(F.lit(1))).alias("promedio"), F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -325,10 +325,10 @@ def breakdown(lines: DataFrame) -> DataFrame:
     """Component subtotals of each item and region; the total adds the already
     rounded subtotals."""
     parts = lines.groupBy("codigo", "slug", "componente").agg(
-        round_money(F.sum(F.col("subtotal").cast(EXACTO)).cast("double")).alias("subtotal"), F.count(F.lit(1)).alias("lineas")
+        round_money(sum_money(F.col("subtotal"))).alias("subtotal"), F.count(F.lit(1)).alias("lineas")
     )
     whole = parts.groupBy("codigo", "slug").agg(
-        round_money(F.sum(F.col("subtotal").cast(EXACTO)).cast("double")).alias("total"), F.sum("lineas").alias("lineasTotal")
+        round_money(sum_money(F.col("subtotal"))).alias("total"), F.sum("lineas").alias("lineasTotal")
     )
     return parts.join(whole, ["codigo", "slug"])
 

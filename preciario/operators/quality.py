@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from preciario import constants as C
-from preciario.functions.money import EXACTO
+from preciario.functions.money import exact_units, from_units, sum_money
 from preciario.operators.extract import department_name
 
 
@@ -154,12 +155,12 @@ def coherence(facts: DataFrame, lines: DataFrame, tolerance: float = C.TOLERANCI
     """Component totals against the sum of their lines, and direct cost against
     the sum of the components; only gaps above the tolerance."""
     keys = ["codigo", "slug"]
-    sums = lines.groupBy(*keys, "componente").agg(F.sum(F.col("subtotal").cast(EXACTO)).cast("double").alias("hallado"))
+    sums = lines.groupBy(*keys, "componente").agg(sum_money(F.col("subtotal")).alias("hallado"))
     declared = facts.unpivot(keys, list(C.COMPONENTES), "componente", "declarado")
     parts = declared.join(sums, [*keys, "componente"], "left").select(
         *keys, F.col("componente").alias("regla"), "declarado", F.coalesce("hallado", F.lit(0.0)).alias("hallado")
     )
-    total = sum((F.col(c).cast(EXACTO) for c in C.COMPONENTES[1:]), F.col(C.COMPONENTES[0]).cast(EXACTO)).cast("double")
+    total = from_units(reduce(lambda a, b: a + b, (exact_units(F.col(c)) for c in C.COMPONENTES)))
     whole = facts.select(*keys, F.lit("costoDirecto").alias("regla"), F.col("costoDirecto").alias("declarado"), total.alias("hallado"))
     return parts.unionByName(whole).where(F.abs(F.col("hallado") - F.col("declarado")) > tolerance)
 

@@ -17,7 +17,7 @@ from preciario.constants import (
     URLS_POR_PARTE,
 )
 from preciario.functions.codes import chapter_number, natural_key
-from preciario.functions.money import EXACTO
+from preciario.functions.money import exact_units, from_units
 from preciario.functions.ordering import positions, value_bucket
 from preciario.functions.text import first_line
 
@@ -49,16 +49,16 @@ def _top_and_totals(lines: DataFrame, k: int) -> DataFrame:
     totals = (
         lines.where(F.col("subtotal") > 0)
         .groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("subtotal").cast(EXACTO)).alias("suma"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(exact_units(F.col("subtotal"))).alias("suma"))
     )
-    seen = F.sum(F.col("subtotal").cast(EXACTO)).over(W.partitionBy(*group))
+    seen = F.sum(exact_units(F.col("subtotal"))).over(W.partitionBy(*group))
     return topk_lines(lines, k).join(totals, group).withColumn("visto", seen)
 
 
 def topk_lines_with_other(lines: DataFrame, k: int = 3) -> DataFrame:
     """Top k lines per component and, where lines remain, one row for the rest.
 
-    The rest is the group total minus the visible part, both exact decimals, so
+    The rest is the group total minus the visible part, both whole units, so
     no group is ever ranked beyond its k-th row.
     """
     line = F.struct(
@@ -68,7 +68,7 @@ def topk_lines_with_other(lines: DataFrame, k: int = 3) -> DataFrame:
         F.lit(k + 1).alias("puesto"),
         F.lit(None).cast("string").alias("codigoInsumo"),
         (F.col("n") - k).alias("n"),
-        (F.col("suma") - F.col("visto")).cast("double").alias("valor"),
+        from_units(F.col("suma") - F.col("visto")).alias("valor"),
     )
     rest = F.when((F.col("puesto") == 1) & (F.col("n") > k), other)
     rows = _top_and_totals(lines, k).select(
@@ -88,9 +88,9 @@ def flow_edges(lines: DataFrame, k: int = 3) -> DataFrame:
     first, componente = F.col("puesto") == 1, F.col("componente")
     rest = F.concat(F.lit("Otras líneas ("), (F.col("n") - k).cast("string"), F.lit(")"))
     edges = F.array(
-        F.when(first, edge(F.lit("Costo directo"), componente, F.lit(0), F.col("suma"))),
+        F.when(first, edge(F.lit("Costo directo"), componente, F.lit(0), from_units(F.col("suma")))),
         edge(componente, F.col("codigoInsumo"), F.col("puesto"), F.col("subtotal")),
-        F.when(first & (F.col("n") > k), edge(componente, rest, F.lit(k + 1), F.col("suma") - F.col("visto"))),
+        F.when(first & (F.col("n") > k), edge(componente, rest, F.lit(k + 1), from_units(F.col("suma") - F.col("visto")))),
     )
     return _top_and_totals(lines, k).select("codigo", "slug", F.explode(F.array_compact(edges)).alias("e")).select(
         "codigo", "slug", "e.*"

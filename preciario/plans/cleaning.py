@@ -86,7 +86,7 @@ def _dirty_text():
 
 @query("clean_text", f"SELECT doc_id, {CLEANED.format(x=DIRTY)} AS texto FROM documents")
 def clean_text(spark, sf):
-    docs = T.read(spark, sf, "documents").select("doc_id", _dirty_text().alias("texto"))
+    docs = T.documents(spark, sf).select("doc_id", _dirty_text().alias("texto"))
     return clean.clean_cells(docs, "texto")
 
 
@@ -100,7 +100,7 @@ def clean_text(spark, sf):
 )
 def split_description(spark, sf):
     wrapped = F.concat("lang", F.lit(" "), "source", F.lit(" \n( "), "text", F.lit(" )"))
-    docs = T.read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(wrapped).alias("descripcion"))
+    docs = T.documents(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(wrapped).alias("descripcion"))
     return clean.split_descriptions(docs).drop("descripcion")
 
 
@@ -172,7 +172,7 @@ def title_case_names(spark, sf):
 def text_equivalent(spark, sf):
     spaced = F.concat(F.lit("  "), F.replace(F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))), F.lit(" "), F.lit("  \t")), F.lit(" "))
     plain = F.replace("text", F.lit("ß"), F.lit("ss"))
-    return T.read(spark, sf, "documents").select(
+    return T.documents(spark, sf).select(
         "doc_id",
         text.equivalent(F.translate(plain, "éèêÉÈÊ", "eeeEEE"), spaced).alias("igual"),
         text.equivalent(F.col("text"), F.concat("lang", "text")).alias("distinto"),
@@ -184,7 +184,7 @@ def text_equivalent(spark, sf):
     "SELECT doc_id, trim(regexp_replace(lower(strip_accents(lang||' '||string_split(text, chr(10))[1])), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents",
 )
 def slugify(spark, sf):
-    docs = T.read(spark, sf, "documents").select("doc_id", "lang", text.first_line(F.col("text")).alias("titulo"))
+    docs = T.documents(spark, sf).select("doc_id", "lang", text.first_line(F.col("text")).alias("titulo"))
     return clean.slugs(docs, "slug", "lang", "titulo").select("doc_id", "slug")
 
 
@@ -206,7 +206,7 @@ PRODUCT = "l_extendedprice*l_discount*(1+l_tax)"
 @query("round_money", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {rounded(PRODUCT)} AS valor FROM lineitem")
 def round_money(spark, sf):
     value = F.col("l_extendedprice") * F.col("l_discount") * (1 + F.col("l_tax"))
-    return T.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money.round_money(value).alias("valor"))
+    return T.lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money.round_money(value).alias("valor"))
 
 
 @query("chapter_prefix", sql("SELECT codigo, slug, string_split(codigo,'.')[1] AS capitulo FROM lineas", "lineas"))

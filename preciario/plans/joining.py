@@ -142,7 +142,7 @@ FOLDED = "regexp_replace(strip_accents(lower({x})), '[´^`¨]', '', 'g')"
     f"SELECT doc_id FROM documents WHERE contains(lang, 'cion') OR contains({FOLDED.format(x='text')}, 'cion')",
 )
 def search_item(spark, sf):
-    docs = T.read(spark, sf, "documents")
+    docs = T.documents(spark, sf)
     return P.search_item(docs, "  CIÓN ", code="lang", title="text").select("doc_id")
 
 
@@ -151,7 +151,7 @@ def search_item(spark, sf):
     f"SELECT doc_id, source FROM documents WHERE contains({FOLDED.format(x='source')}, 'eme') OR contains({FOLDED.format(x='text')}, 'eme') OR contains({FOLDED.format(x='lang')}, 'eme')",
 )
 def search_any(spark, sf):
-    docs = T.read(spark, sf, "documents")
+    docs = T.documents(spark, sf)
     return P.search_any(docs, ["source", "text", "lang"], "ÊmÉ").select("doc_id", "source")
 
 
@@ -177,7 +177,7 @@ def filter_chapter(spark, sf):
 )
 def guard_keys(spark, sf):
     text = lambda c: F.col(c).cast("string")
-    asked = T.read(spark, sf, "lineitem").select(
+    asked = T.lineitem(spark, sf).select(
         "l_orderkey",
         "l_linenumber",
         F.when(F.col("l_linenumber") == 1, F.concat(F.lit(".."), text("l_partkey")))
@@ -218,7 +218,7 @@ def filter_positive_lines(spark, sf):
     "SELECT l_shipdate, NULL AS nota FROM lineitem WHERE l_returnflag='A' UNION ALL SELECT l_shipdate, l_linestatus FROM lineitem WHERE l_returnflag<>'A') GROUP BY 1",
 )
 def union_sources(spark, sf):
-    rows = T.read(spark, sf, "lineitem")
+    rows = T.lineitem(spark, sf)
     first = rows.where(F.col("l_returnflag") == "A").select("l_shipdate")
     second = rows.where(F.col("l_returnflag") != "A").select("l_shipdate", F.col("l_linestatus").alias("nota"))
     table = U.union_sources(first, second)

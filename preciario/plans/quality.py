@@ -242,7 +242,7 @@ def dq_breakdown_gap(spark, sf):
 
 @query("dq_unique_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*)>1")
 def dq_unique_keys(spark, sf):
-    return Q.duplicate_keys(S.read(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+    return Q.duplicate_keys(S.lineitem(spark, sf), "l_orderkey", "l_linenumber")
 
 
 @query(

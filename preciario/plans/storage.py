@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from preciario.functions.money import sum_money
 from preciario.operators import aggregates as A
 from preciario.plans.oracle import sql
 from preciario.plans.registry import query
@@ -107,13 +108,13 @@ DATED = (
 
 
 def _per_publication(rows):
-    return rows.groupBy("vigencia", "componente").agg(F.count(F.lit(1)).alias("n"), F.sum("subtotal").cast("double").alias("total"))
+    return rows.groupBy("vigencia", "componente").agg(F.count(F.lit(1)).alias("n"), sum_money(F.col("subtotal")).alias("total"))
 
 
 @query("partition_vigencia", sql(DATED, "lineas"))
 def partition_vigencia(spark, sf):
     path = S.partition_vigencia(_dated(spark, sf), scratch_path(spark, "por-vigencia"))
-    return _per_publication(spark.read.schema("codigo string, slug string, componente string, subtotal decimal(16,2), vigencia string").parquet(path))
+    return _per_publication(spark.read.schema("codigo string, slug string, componente string, subtotal double, vigencia string").parquet(path))
 
 
 @query("overwrite_stage", sql(DATED, "lineas"))
@@ -122,11 +123,11 @@ def overwrite_stage(spark, sf):
     the other directories as they are."""
     path = scratch_path(spark, "etapa")
     rows = _dated(spark, sf)
-    stale = rows.withColumn("subtotal", (F.col("subtotal") + 1).cast("decimal(16,2)"))
+    stale = rows.withColumn("subtotal", F.col("subtotal") + 1)
     S.partition_vigencia(stale, path)
     S.partition_vigencia(rows, path)
     S.partition_vigencia(rows.where(F.col("vigencia") == "1998-1"), path)
-    return _per_publication(spark.read.schema("codigo string, slug string, componente string, subtotal decimal(16,2), vigencia string").parquet(path))
+    return _per_publication(spark.read.schema("codigo string, slug string, componente string, subtotal double, vigencia string").parquet(path))
 
 
 LOOKUP = ("564.35", "nation-3")

@@ -22,8 +22,9 @@ from preciario.constants import (
     ETIQUETA_SUBTOTAL,
     VIGENCIA,
 )
+from preciario.functions.money import sum_money
 from preciario.functions.ordering import positions
-from preciario.session import written
+from preciario.session import input_bytes, written
 from preciario.sources.layout import LISTADOS, SECCIONES, WIDE_FIRST_ROW
 
 #: Lines are positioned inside tiles of this many consecutive order keys.
@@ -42,10 +43,36 @@ UNIT_BY_TYPE = {
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
+#: Input below this size per core is dealt over all cores after the scan.
+SMALL_BYTES_PER_CORE = 4 * 1024 * 1024
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, table: str, *keys: str) -> DataFrame:
+    """A large table, spread over the cores when its file is too small to split.
+
+    A file of one row group is read by a single task whatever the cluster; only
+    then is one exchange cheaper than an idle cluster.  Large input, which has
+    many row groups, is left as it is.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    df = read(spark, sf_dir, table)
+    if input_bytes(spark, f"{sf_dir}/{table}.parquet") > cores * SMALL_BYTES_PER_CORE:
+        return df
+    return df.repartition(cores, *keys)
+
+
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_spread(spark, sf_dir, "lineitem", "l_orderkey")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_spread(spark, sf_dir, "documents", "doc_id")
+
+
 def raw_unit(p_type: Column, index: int = 0) -> Column:
     out = F.lit(None).cast("string")
     for name, pair in UNIT_BY_TYPE.items():
@@ -85,11 +112,9 @@ def _component() -> Column:
     )
 
 
-def amount() -> Column:
-    """Line amount in exact cents."""
-    return F.round(
-        F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_discount").cast("decimal(4,2)"), 2
-    ).cast("decimal(16,2)")
+def cents() -> Column:
+    """Line amount (price times discount) in whole cents, half up, all integers."""
+    return F.expr("(floor(l_extendedprice * 100 + 0.5) * floor(l_discount * 100 + 0.5) + 50) div 100")
 
 
 def _priced_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -103,8 +128,8 @@ def _priced_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     )
     supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     return (
-        read(spark, sf_dir, "lineitem")
-        .withColumns({"componente": _component(), "subtotal": amount()})
+        lineitem(spark, sf_dir)
+        .withColumns({"componente": _component(), "subtotal": cents() / 100})
         .select("l_partkey", "l_suppkey", "componente", "subtotal", *columns)
         .join(supplier, "l_suppkey")
         .join(part, "l_partkey")
@@ -173,9 +198,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     aggregate is a plain hash aggregate; names are joined to the result.
     """
     sums = [
-        F.coalesce(F.sum(F.when(F.col("componente") == c, F.col("subtotal"))), F.lit(0).cast("decimal(16,2)"))
-        .cast("double")
-        .alias(c)
+        F.coalesce(sum_money(F.when(F.col("componente") == c, F.col("subtotal"))), F.lit(0.0)).alias(c)
         for c in COMPONENTES
     ]
     grouped = (
@@ -183,7 +206,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("brand", "p_size", "s_nationkey")
         .agg(
             *sums,
-            F.sum("subtotal").cast("double").alias("costoDirecto"),
+            sum_money(F.col("subtotal")).alias("costoDirecto"),
             F.min("l_partkey").alias("head"),
         )
     )
@@ -235,7 +258,7 @@ def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     seen = (
-        read(spark, sf_dir, "lineitem")
+        lineitem(spark, sf_dir)
         .select("l_partkey", "l_suppkey", "l_tax")
         .join(supplier, "l_suppkey")
         .groupBy("l_partkey", "s_nationkey")
@@ -302,7 +325,7 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem rows with their sheet address."""
     tile = F.expr(f"l_orderkey div {ORDERS_PER_TILE}")
     placed = positions(
-        read(spark, sf_dir, "lineitem").select(
+        lineitem(spark, sf_dir).select(
             "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"
         ),
         ["l_partkey"],
@@ -312,7 +335,7 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     p = F.col("posicion")
     componente = F.when(p <= 2, "equipo").when(p <= 4, "materiales").when(p <= 6, "transporte").otherwise("manoDeObra")
-    return placed.withColumns(_address("l_partkey")).withColumns({"componente": componente, "subtotal": amount().cast("double")})
+    return placed.withColumns(_address("l_partkey")).withColumns({"componente": componente, "subtotal": cents() / 100})
 
 
 def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,18 +369,15 @@ def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheet_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section subtotals of each sheet, from its resolved lines."""
     resolved = (F.col("l_tax") > 0) & (F.col("l_discount") > 0)
-    money = F.col("subtotal").cast("decimal(16,2)")
     return (
         sheet_rows(spark, sf_dir)
         .groupBy("l_partkey")
         .agg(
             *(
-                F.coalesce(F.sum(F.when(resolved & (F.col("componente") == c), money)), F.lit(0).cast("decimal(16,2)"))
-                .cast("double")
-                .alias(c)
+                F.coalesce(sum_money(F.when(resolved & (F.col("componente") == c), F.col("subtotal"))), F.lit(0.0)).alias(c)
                 for c in COMPONENTES
             ),
-            F.coalesce(F.sum(F.when(resolved, money)), F.lit(0).cast("decimal(16,2)")).cast("double").alias("total"),
+            F.coalesce(sum_money(F.when(resolved, F.col("subtotal"))), F.lit(0.0)).alias("total"),
         )
     )
 
