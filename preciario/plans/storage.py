@@ -236,9 +236,13 @@ def output_sizes(spark, sf):
     sql("SELECT codigo, slug, costoDirecto, 'Tablas de prueba' AS fuente, 'Abierta' AS licencia FROM apus", "apus"),
 )
 def provenance_join(spark, sf):
-    manifest = T.read(spark, sf, "region").limit(1).select(_provenance().alias("p")).select("p.*")
-    incomplete = manifest.withColumns({"vigencia": F.lit("2025-2"), "licencia": F.lit("")})
-    stamped = S.provenance_join(T.facts(spark, sf), manifest.unionByName(incomplete))
+    """One complete manifest and one without a licence, read from JSON."""
+    path = scratch_path(spark, "manifiesto")
+    n = T.regions(spark, sf).agg(F.count(F.lit(1)).alias("archivos"))
+    complete = n.select(_provenance().alias("p"), "archivos").select("p.*", "archivos")
+    incomplete = complete.withColumns({"vigencia": F.lit("2025-2"), "licencia": F.lit("")})
+    complete.unionByName(incomplete).write.json(path)
+    stamped = S.provenance_join(T.shared_facts(spark, sf), S.read_manifest(spark, path))
     return stamped.select("codigo", "slug", "costoDirecto", "procedencia.fuente", "procedencia.licencia")
 
 

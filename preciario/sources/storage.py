@@ -104,7 +104,8 @@ CAMPOS_PROCEDENCIA = ("vigencia", "fuente", "fechaDescarga", "licencia")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.MANIFIESTO).option("mode", "FAILFAST").option("multiLine", "true").json(path)
+    """Manifests as JSON rows, one per publication."""
+    return spark.read.schema(S.MANIFIESTO).option("mode", "FAILFAST").json(path)
 
 
 def complete_manifest(manifest: DataFrame) -> DataFrame:
