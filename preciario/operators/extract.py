@@ -12,7 +12,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from preciario.constants import (
@@ -166,8 +165,8 @@ def unresolved_note(unresolved: DataFrame, fuente: str) -> DataFrame:
         unresolved.withColumn("parte", F.expr(f"(fila - 1) div {ROWS_PER_BLOCK}"))
         .groupBy(*SHEET, "parte")
         .agg(F.array_sort(F.collect_list(entry)).alias("items"), F.count(F.lit(1)).alias("c"))
-        .withColumn("n", F.sum("c").over(W.partitionBy(*SHEET)))
     )
+    blocks = blocks.join(blocks.groupBy(*SHEET).agg(F.sum("c").alias("n")), SHEET)
     plural = F.when(F.col("n") == 1, "").otherwise("s")
     nota = F.concat(
         F.lit(f"El libro fuente de {fuente} deja "),

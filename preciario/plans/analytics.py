@@ -76,7 +76,7 @@ def stats_counts(spark, sf):
         return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
     unresolved = extract.unresolved_lines(T.line_cells(spark, sf), SECCIONES_ANCHAS)
-    return A.stats_counts(T.facts(spark, sf), count(T.lines(spark, sf)), count(T.supplies(spark, sf)), count(unresolved))
+    return A.stats_counts(T.facts(spark, sf), count(T.priced_lines(spark, sf)), count(T.supplies(spark, sf)), count(unresolved))
 
 
 @query("stats_global", sql(f"SELECT {stats()} FROM apus", "apus"))

@@ -117,7 +117,7 @@ def cents() -> Column:
     return F.expr("(floor(l_extendedprice * 100 + 0.5) * floor(l_discount * 100 + 0.5) + 50) div 100")
 
 
-def _priced_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def priced_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Lineitem rows with component, amount, item and region keys.
 
     Component and amount are computed before the joins, so the raw columns they
@@ -150,7 +150,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     componente = F.col("componente")
     labour, haul = componente == "manoDeObra", componente == "transporte"
     return (
-        _priced_lines(
+        priced_lines(
             spark, sf_dir, "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_shipdate"
         )
         .join(part_names(spark, sf_dir, "l_partkey"), "l_partkey")
@@ -202,7 +202,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         for c in COMPONENTES
     ]
     grouped = (
-        _priced_lines(spark, sf_dir)
+        priced_lines(spark, sf_dir)
         .groupBy("brand", "p_size", "s_nationkey")
         .agg(
             *sums,
