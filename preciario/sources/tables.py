@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from preciario.constants import (
     CODIGO_HERRAMIENTA_MENOR,
@@ -47,8 +48,15 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 SMALL_BYTES_PER_CORE = 4 * 1024 * 1024
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A base table; its footer is asked for the schema once per process."""
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def read_spread(spark: SparkSession, sf_dir: str, table: str, *keys: str) -> DataFrame:
