@@ -158,6 +158,7 @@ def unresolved_note(unresolved: DataFrame, fuente: str) -> DataFrame:
 
     Codes are gathered in blocks of sheet rows (a printed sheet is one block), so
     no sheet can grow a task without limit; ``n`` always counts the whole sheet.
+    ``unresolved`` is read twice: pass a written table where it is costly.
     """
     label = F.concat("codigo", F.lit(" ("), "componente", F.lit(")"))
     entry = F.struct(component_order(F.col("componente")).alias("o"), "fila", label.alias("t"))

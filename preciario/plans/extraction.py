@@ -13,6 +13,7 @@ from preciario.constants import HOJAS_DE_APOYO
 from preciario.operators import clean, extract as X
 from preciario.plans.oracle import UNIT_DIFF, UNIT_RAW, sql
 from preciario.plans.registry import query
+from preciario.session import written
 from preciario.sources import tables as T
 from preciario.sources.layout import SECCIONES_ANCHAS as WIDE
 
@@ -104,7 +105,8 @@ def unresolved_lines(spark, sf):
     ),
 )
 def unresolved_note(spark, sf):
-    return X.unresolved_note(X.unresolved_lines(T.line_cells(spark, sf), WIDE), "prueba")
+    unresolved = written(X.unresolved_lines(T.line_cells(spark, sf), WIDE), "sin-resolver")
+    return X.unresolved_note(unresolved, "prueba")
 
 
 MINOR = (
