@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from preciario.constants import INDICES
@@ -25,7 +25,7 @@ def union_key_inventory(spark: SparkSession, facts: DataFrame) -> DataFrame:
     items, slugs = distinct_keys(facts, "codigo"), distinct_keys(facts, "slug")
     fixed = spark.createDataFrame(list(INDICES), "url string, prioridad double").select(F.lit("indice").alias("tipo"), "url", "prioridad")
 
-    def keys(rows: DataFrame, kind: str, url: F.Column, priority: float) -> DataFrame:
+    def keys(rows: DataFrame, kind: str, url: Column, priority: float) -> DataFrame:
         return rows.select(F.lit(kind).alias("tipo"), url.alias("url"), F.lit(priority).alias("prioridad"))
 
     return union_sources(

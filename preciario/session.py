@@ -61,10 +61,10 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _LOCAL_FOLDERS:
