@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from preciario.llm import bpe, packing, token_counts
+from preciario.llm import bpe, line_dedup, packing, token_counts
 from preciario.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,8 +20,10 @@ RANKS_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SPECIAL_50K = (("<|endoftext|>", 50256),)
 
 
-def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def query(function: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[function.__name__] = function
+    if oracle:
+        ORACLES[function.__name__] = oracle
     return function
 
 
@@ -34,6 +37,11 @@ def op6_bpe(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), RANKS_MULTI)
 
 
+@partial(query, oracle=line_dedup.oracle())
+def op7_line_dedup(spark, sf):
+    return line_dedup.remove_boilerplate(table(spark, sf, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 @query
 def op8_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), RANKS_50K, SPECIAL_50K)
