@@ -7,9 +7,10 @@ from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from preciario.llm import bpe, line_dedup, packing, token_counts
-from preciario.llm.shared import table
+from preciario.llm import bpe, language, line_dedup, packing, token_counts, warc
+from preciario.llm.shared import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,24 @@ def op7_line_dedup(spark, sf):
 @query
 def op8_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), RANKS_50K, SPECIAL_50K)
+
+
+@query
+def op9_language(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    rows = docs.withColumn("held_out", language.held_out(F.col("doc_id")))
+    return language.identify(rows, language.train(docs), keep=("doc_id", "held_out"))
+
+
+@partial(
+    query,
+    oracle=f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= {warc.SHORTEST} GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)""",
+)
+def op10_warc(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages"), scratch_path(spark, "warc"))
