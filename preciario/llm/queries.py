@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from preciario.llm import bpe, language, line_dedup, packing, token_counts, warc
+from preciario.llm import bpe, jaccard_join, language, line_dedup, packing, token_counts, warc
 from preciario.llm.shared import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def query(function: Callable[[SparkSession, str], DataFrame], oracle: str | None
     return function
 
 
+@query
+def op4_jaccard_join(spark, sf):
+    return jaccard_join.join(table(spark, sf, "documents"))
+
+
 @query
 def op5_token_counts(spark, sf):
     return token_counts.section_counts(table(spark, sf, "documents"), RANKS_50K)
