@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from preciario.llm import bpe, jaccard_join, language, line_dedup, packing, token_counts, warc
+from preciario.llm import bpe, jaccard_join, language, line_dedup, packing, token_counts, topk, warc
 from preciario.llm.shared import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,20 @@ def query(function: Callable[[SparkSession, str], DataFrame], oracle: str | None
     return function
 
 
+@partial(
+    query,
+    oracle="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20""",
+)
+def op3_topk(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"), lambda i: i % 20 == 0)
+
+
 @query
 def op4_jaccard_join(spark, sf):
     return jaccard_join.join(table(spark, sf, "documents"))
