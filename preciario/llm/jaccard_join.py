@@ -295,6 +295,16 @@ def join(docs: DataFrame, share: int = SHARE, n_words: int = WORDS, key: str = "
     return rows.join(component, "class", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
+def representatives(docs: DataFrame, share: int = SHARE, n_words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay if one document of each component does: that of the smallest key.
+
+    Texts without words, and rows without a key, all stay; rows that repeat a key are one document.
+    """
+    kept = join(docs, share, n_words, key, text).where((F.col(key) == F.col("component_id")) | (F.col("n_shingles") == 0))
+    kept = kept.where(F.col(key).isNotNull()).select(key).distinct()
+    return docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+
+
 def linked(docs: DataFrame, share: int = SHARE, n_words: int = WORDS, text: str = "text") -> DataFrame:
     """Links (a, b) between classes that span every component of the join.
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from preciario.llm import bpe, jaccard_join, language, line_dedup, neighbours, packing, token_counts, topk, warc
+from preciario.llm import bpe, jaccard_join, language, line_dedup, neighbours, packing, style_tree, token_counts, topk, warc
 from preciario.llm.shared import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op1_neighbours(spark, sf):
     return neighbours.nearest(table(spark, sf, "embeddings"), lambda i: i % 100 == 0)
 
 
+@query
+def op2_html(spark, sf):
+    return style_tree.extract(table(spark, sf, "pages"))
+
+
 @partial(
     query,
     oracle="""
