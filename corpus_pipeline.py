@@ -16,8 +16,8 @@ LEAST_SCORE = 0.3
 
 def known_language(spark, docs, sf_dir):
     """Language ID (operator 9): documents without a recognisable language go."""
-    found = language.identify(docs, language.train(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    found = language.identify(docs, language.train(docs), keep=tuple(docs.columns), names=("__lang", "__score"))
+    return found.where((F.col("__lang") != language.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def without_boilerplate(spark, docs, sf_dir):

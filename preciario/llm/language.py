@@ -187,8 +187,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return Model(languages, idf, weights, found.heat)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, lang_pred and score (0 to 1) of every whole text.
+def identify(
+    docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``keep``, lang_pred and score (0 to 1; ``names`` are their names) of every whole text.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if there was
     nothing to learn from.  One row out for each row in, repeated rows included; null keys are kept.
@@ -202,6 +204,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
             found = [own.predict(x) for x in batch.column("__text").to_pylist()]
             columns = [batch.column(i) for i in range(len(keep))]
             columns += [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{ddl(kept.schema)}, lang_pred string, score double")
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{ddl(kept.schema)}, `{names[0]}` string, `{names[1]}` double")
