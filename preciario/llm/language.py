@@ -22,7 +22,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from preciario.llm.shared import ddl
 
@@ -149,9 +148,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     """A model of the rows that are not held out and have text and label."""
     rows = docs.where(~held_out(F.col(key)) & F.col(text).isNotNull() & F.col(label).isNotNull())
     rows = rows.select(F.xxhash64(F.col(key).cast("string"), F.lit(42)).alias("at"), F.col(text).alias("text"), F.col(label).alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("at"))
-    cut = rows.select("label", "at").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE)
-    cuts = {r.label: r.cut for r in cut.groupBy("label").agg(F.max("at").alias("cut")).collect()}
+    # the share of all hashes that holds a little more than PER_LANGUAGE rows of a language
+    cuts = {r.label: int(min(1.0, (1.2 * PER_LANGUAGE + 100) / r.n) * (2**64 - 1)) - 2**63 for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(cuts)
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
@@ -168,7 +166,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
                 at.append(h)
         order = sorted(range(len(texts)), key=lambda i: (at[i], texts[i]))
         chosen = []
-        for i in order:  # repeated rows may share the last hash below the cut-off
+        for i in order:
             seen[labels[i]] = seen.get(labels[i], 0) + 1
             if seen[labels[i]] <= PER_LANGUAGE:
                 chosen.append(i)
@@ -181,7 +179,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()]), pa.array([heat])], ["weights", "heat"])
 
     cutoffs = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v))])
-    sample = rows.where(F.col("at") <= cutoffs[F.col("label")]).select("text", "label", "at").repartition(1)
+    drawn = rows.where(F.col("at") <= cutoffs[F.col("label")])
+    sample = drawn.groupBy("label", "at").agg(F.min("text").alias("text")).select("text", "label", "at").repartition(1)  # repeated rows count once
     found = sample.mapInArrow(run, "weights binary, heat double").first()
     weights = np.frombuffer(found.weights, np.float32).reshape(FEATURES + 1, len(languages)).astype(np.float64)
     return Model(languages, idf, weights, found.heat)
