@@ -9,11 +9,6 @@ from __future__ import annotations
 SCHEMA_VERSION = "0.1.0"
 VIGENCIA = "2026-1"
 
-# Note carried by every published document.
-NOTA_COSTO_DIRECTO = (
-    "Costo directo de referencia: no incluye AIU (administración, imprevistos, "
-    "utilidad) ni IVA. No es un precio de mercado."
-)
 
 # The four cost components in the order of the printed form.
 COMPONENTES = ("equipo", "materiales", "transporte", "manoDeObra")
@@ -91,15 +86,15 @@ UNIDAD_MANO_DE_OBRA = "jornal"
 CONECTORES = ("de", "del", "la", "las", "los", "el", "y", "e")
 
 # Patterns of the identifiers.
-PATRON_CODIGO = r"^\d{3}(\.\d+)*$"
-PATRON_CAPITULO = r"^\d{3}$"
-PATRON_SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*$"
-PATRON_REGION = r"^\d{4}$"
-PATRON_VIGENCIA = r"^\d{4}-[12]$"
-PATRON_FECHA = r"^\d{4}-\d{2}-\d{2}$"
-PATRON_HOJA_ITEM = r"^\d+(,\d+)*$"
-PATRON_ARCHIVO = r"(?i)^APU_(\d{4})_(.+?)__(.+?)_(\d{4})_([12])\.xlsx$"
-PATRON_ARCHIVO_MANIFIESTO = r"^APU_(\d{4})_(.+?)__(.+?)_(\d{4})_(\d)\.xlsx$"
+PATRON_CODIGO = r"^\d{3}(\.\d+)*\z"
+PATRON_CAPITULO = r"^\d{3}\z"
+PATRON_SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*\z"
+PATRON_REGION = r"^\d{4}\z"
+PATRON_VIGENCIA = r"^\d{4}-[12]\z"
+PATRON_FECHA = r"^\d{4}-\d{2}-\d{2}\z"
+PATRON_HOJA_ITEM = r"^\d+(,\d+)*\z"
+PATRON_ARCHIVO = r"(?i)^APU_(\d{4})_(.+?)__(.+?)_(\d{4})_([12])\.xlsx\z"
+PATRON_ARCHIVO_MANIFIESTO = r"^APU_(\d{4})_(.+?)__(.+?)_(\d{4})_(\d)\.xlsx\z"
 
 # Workbook structure.
 HOJAS_ESPERADAS = 544
@@ -148,3 +143,13 @@ INDICES = (("", 1.0), ("/items", 0.9), ("/provincias", 0.9), ("/aiu", 0.6))
 # Markup.
 IVA_GENERAL = 0.19
 PORCENTAJE_MAXIMO = 100.0
+
+# The published sentence about unresolved lines.
+NOTA_INICIO = "El libro fuente de {fuente} deja "
+NOTA_LINEA = " línea"
+NOTA_ANTES = " sin resolver —"
+NOTA_DESPUES = (
+    "—: el código de insumo no existe en el listado regional, así que la fila viene sin "
+    "descripción ni precio y no suma al costo directo. Se omite del desglose en vez de "
+    "publicarla en cero."
+)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from preciario.constants import COMPONENTES, PATRON_ARCHIVO
+from preciario.functions.text import trim_all
 
 
 def natural_key(codigo: Column) -> Column:
@@ -15,12 +16,12 @@ def natural_key(codigo: Column) -> Column:
 
 def with_commas(codigo: Column) -> Column:
     """Sheet-name form of a code; numeric cells are accepted, blank gives null."""
-    return F.nullif(F.regexp_replace(F.trim(codigo.cast("string")), r"\.", ","), F.lit(""))
+    return F.nullif(F.regexp_replace(trim_all(codigo.cast("string")), r"\.", ","), F.lit(""))
 
 
 def with_dots(hoja: Column) -> Column:
     """Canonical form of a sheet name."""
-    return F.regexp_replace(F.trim(hoja), ",", ".")
+    return F.regexp_replace(trim_all(hoja), ",", ".")
 
 
 def chapter_prefix(codigo: Column) -> Column:
@@ -58,7 +59,7 @@ def component_order(componente: Column) -> Column:
 
 def file_name_parts(archivo: Column, pattern: str = PATRON_ARCHIVO) -> Column:
     """Parts of a workbook file name as a struct; null when the pattern fails."""
-    name = F.trim(archivo)
+    name = trim_all(archivo)
 
     def part(group: int) -> Column:
         return F.regexp_extract(name, pattern, group)

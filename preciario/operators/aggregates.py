@@ -109,10 +109,6 @@ def item_document(facts: DataFrame) -> DataFrame:
     )
 
 
-#: Items carried by one part of a province document.
-ITEMS_PER_PART = 50_000
-
-
 def province_summary(facts: DataFrame) -> DataFrame:
     """Summary of each region over its items."""
     region = ["slug", "regionCodigo", "regionCodigoDane", "departamento", "provincia"]
@@ -205,11 +201,14 @@ def extreme_provinces(summary: DataFrame) -> DataFrame:
 
 def composition_by_chapter(facts: DataFrame) -> DataFrame:
     """Mean component share per constructive chapter, each fact weighing the
-    same.  Empty chapters are dropped."""
+    same.  A fact counts for the chapter of its item's first region.  Empty
+    chapters are dropped."""
     head = chapter_heads(facts)
-    priced = facts.where(F.col("costoDirecto") > 0)
-    numero = chapter_number(F.col("capituloNumero"), F.col("capitulo"))
-    grouped = priced.groupBy(numero.alias("numero")).agg(
+    first = F.min_by(F.struct("capituloNumero", "capitulo"), "slug").alias("_h")
+    numero = chapter_number(F.col("_h.capituloNumero"), F.col("_h.capitulo"))
+    items = facts.groupBy("codigo").agg(first).select("codigo", numero.alias("numero"))
+    priced = facts.where(F.col("costoDirecto") > 0).select("codigo", "costoDirecto", *COMPONENTES).join(items, "codigo")
+    grouped = priced.groupBy("numero").agg(
         F.count(F.lit(1)).alias("apus"), *(mean_ratio(F.col(c) / F.col("costoDirecto")).alias(c) for c in COMPONENTES)
     )
     return grouped.join(head, "numero").select("numero", "nombre", "apus", *COMPONENTES)
@@ -293,11 +292,14 @@ def dept_mean_for_item(facts: DataFrame) -> DataFrame:
 
 
 def group_by_department(roster: DataFrame) -> DataFrame:
-    """Provinces nested per department, in roster order."""
-    entry = F.struct("provincia", "slug", "mediana", "itemsConDato")
-    return roster.groupBy("regionCodigoDane").agg(
-        F.min("departamento").alias("departamento"), F.array_sort(F.collect_list(entry)).alias("provincias")
+    """Provinces nested per department, in the order of the Spanish alphabet."""
+    shown = ("provincia", "slug", "mediana", "itemsConDato")
+    entry = F.struct(F.collate(F.col("provincia"), "es").alias("_k"), *shown)
+    grouped = roster.groupBy("regionCodigoDane").agg(
+        F.min("departamento").alias("departamento"), F.array_sort(F.collect_list(entry)).alias("_p")
     )
+    plain = F.transform("_p", lambda p: F.struct(*(p[c].alias(c) for c in shown)))
+    return grouped.select("regionCodigoDane", "departamento", plain.alias("provincias"))
 
 
 def group_by_chapter(items: DataFrame) -> DataFrame:

@@ -22,19 +22,22 @@ from preciario.constants import (
     HOJAS_DE_APOYO,
     HOJAS_ESPERADAS,
     ITEMS_ESPERADOS,
+    NOTA_ANTES,
+    NOTA_DESPUES,
+    NOTA_INICIO,
+    NOTA_LINEA,
     PATRON_HOJA_ITEM,
     PATRON_SLUG,
     UNIDAD_EQUIPO,
     UNIDAD_MANO_DE_OBRA,
 )
 from preciario.functions.codes import component_order, file_name_parts, with_commas, with_dots
+from preciario.functions.ordering import positions
 from preciario.functions.text import clean_text, equivalent, slugify, title_case
 from preciario.functions.units import canonical_unit, raw_when_different
 from preciario.sources import layout as L
 
 SHEET = ["archivo", "hoja"]
-#: Rows of a note or block that are gathered together.
-ROWS_PER_BLOCK = 4096
 
 _TEXT_FIELDS = {
     "codigo", "descripcion", "unidad", "tipo", "capitulo", "articulo", "clasificacion", "categoria", "concepto",
@@ -154,35 +157,29 @@ def unresolved_lines(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCI
 
 
 def unresolved_note(unresolved: DataFrame, fuente: str) -> DataFrame:
-    """Note listing the unresolved codes of a sheet, in sheet order.
+    """The codes a sheet leaves unresolved, one row each in sheet order, with the
+    sentence that announces them; the same at every size of a sheet.
 
-    Codes are gathered in blocks of sheet rows (a printed sheet is one block), so
-    no sheet can grow a task without limit; ``n`` always counts the whole sheet.
-    ``unresolved`` is read twice: pass a written table where it is costly.
+    ``posicion`` runs from 1 to ``n`` inside a sheet.  ``note_text`` joins the
+    rows of a sheet where the printed form bounds them.
     """
-    label = F.concat("codigo", F.lit(" ("), "componente", F.lit(")"))
-    entry = F.struct(component_order(F.col("componente")).alias("o"), "fila", label.alias("t"))
-    blocks = (
-        unresolved.withColumn("parte", F.expr(f"(fila - 1) div {ROWS_PER_BLOCK}"))
-        .groupBy(*SHEET, "parte")
-        .agg(F.array_sort(F.collect_list(entry)).alias("items"), F.count(F.lit(1)).alias("c"))
-    )
-    blocks = blocks.join(blocks.groupBy(*SHEET).agg(F.sum("c").alias("n")), SHEET)
-    plural = F.when(F.col("n") == 1, "").otherwise("s")
-    nota = F.concat(
-        F.lit(f"El libro fuente de {fuente} deja "),
-        F.col("n").cast("string"),
-        F.lit(" línea"),
-        plural,
-        F.lit(" sin resolver —"),
-        F.array_join(F.transform("items", lambda x: x["t"]), ", "),
-        F.lit(
-            "—: el código de insumo no existe en el listado regional, así que la fila viene sin "
-            "descripción ni precio y no suma al costo directo. Se omite del desglose en vez de "
-            "publicarla en cero."
-        ),
+    placed = unresolved.withColumn("_o", component_order(F.col("componente")))
+    numbered = positions(placed, SHEET, ["_o", "fila"], F.col("_o"), name="posicion")
+    counts = unresolved.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n"))
+    start = F.concat(F.lit(NOTA_INICIO.format(fuente=fuente)), F.col("n").cast("string"), F.lit(NOTA_LINEA), F.when(F.col("n") == 1, "").otherwise("s"))
+    return numbered.join(counts, SHEET).select(
+        *SHEET, "n", F.col("posicion").cast("long").alias("posicion"), "codigo", "componente", start.alias("inicio")
     )
-    return blocks.select(*SHEET, "parte", "n", nota.alias("nota"))
+
+
+def note_text(note: DataFrame) -> DataFrame:
+    """The published sentence of each sheet.  An array per sheet: for printed
+    forms, whose sections have a fixed number of rows."""
+    label = F.concat("codigo", F.lit(" ("), "componente", F.lit(")"))
+    entry = F.struct("posicion", label.alias("t"))
+    grouped = note.groupBy(*SHEET, "n", "inicio").agg(F.array_sort(F.collect_list(entry)).alias("_i"))
+    listed = F.array_join(F.transform("_i", lambda x: x["t"]), ", ")
+    return grouped.select(*SHEET, "n", F.concat("inicio", F.lit(NOTA_ANTES), listed, F.lit(NOTA_DESPUES)).alias("nota"))
 
 
 def section_subtotals(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES) -> DataFrame:
@@ -245,17 +242,19 @@ def item_index_xref(headers: DataFrame, index: DataFrame) -> DataFrame:
     """Fill chapter, article, class and missing text of a sheet from the index."""
     side = index.select(
         *SHEET, "capitulo", "articulo", "clasificacion", F.col("descripcion").alias("_d"), F.col("unidad").alias("_u"),
-        F.col("costoDirecto").alias("costoIndice"),
+        F.col("unidadCruda").alias("_c"), F.col("costoDirecto").alias("costoIndice"),
     )
     joined = headers.join(side, SHEET, "left")
     raw = clean_text(F.col("unidad"))
+    own = canonical_unit(raw)
     return joined.withColumns(
         {
             "codigo": with_dots(F.col("hoja")),
             "descripcion": F.coalesce(clean_text(F.col("descripcion")), F.col("_d")),
-            "unidad": F.coalesce(canonical_unit(raw), F.col("_u")),
+            "unidad": F.coalesce(own, F.col("_u")),
+            "unidadCruda": F.when(own.isNotNull(), raw_when_different(raw, own)).otherwise(F.col("_c")),
         }
-    ).drop("_d", "_u")
+    ).drop("_d", "_u", "_c")
 
 
 def _layout_checks(sections: tuple[L.Seccion, ...]) -> list[tuple[str, int, str, str | None]]:

@@ -70,31 +70,36 @@ def anti_orphans(facts: DataFrame, lines: DataFrame) -> DataFrame:
     return joined.select(*keys, F.when(F.col("_l").isNull(), "sin líneas").otherwise("sin ítem").alias("lado"))
 
 
-#: Side of the grid over which a product is spread.
-PRODUCT_GRID = 16
-
-
-def cross_item_region(items: DataFrame, regions: DataFrame) -> DataFrame:
-    """All item-region pairs.
+def cross_item_region(items: DataFrame, regions: DataFrame, rows: int = 16, columns: int = 16) -> DataFrame:
+    """All item-region pairs, which is the feature.
 
     Both sides are dealt onto a grid: an item is copied along its row and a
     region along its column, and they meet by an equi-join on the grid cell.
-    Exact for any size of either side, and spread over all cells.
+    ``rows`` times ``columns`` tasks share the work; an item is copied
+    ``columns`` times and a region ``rows`` times.
     """
-    side = F.sequence(F.lit(0), F.lit(PRODUCT_GRID - 1))
 
-    def deal(df: DataFrame) -> Column:
-        return F.pmod(F.xxhash64(*df.columns), F.lit(PRODUCT_GRID)).cast("int")
+    def deal(df: DataFrame, n: int) -> Column:
+        return F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = items.withColumns({"_a": deal(items), "_b": F.explode(side)})
-    right = regions.withColumns({"_b": deal(regions), "_a": F.explode(side)})
+    left = items.withColumns({"_a": deal(items, rows), "_b": every(columns)})
+    right = regions.withColumns({"_b": deal(regions, columns), "_a": every(rows)})
     return left.join(right, ["_a", "_b"]).drop("_a", "_b")
 
 
 def missing_pairs(facts: DataFrame) -> DataFrame:
-    """Expected item-region pairs that are absent from the facts."""
-    pairs = cross_item_region(facts.select("codigo").distinct(), facts.select("slug").distinct())
-    return pairs.join(facts.select("codigo", "slug"), ["codigo", "slug"], "left_anti")
+    """Expected item-region pairs that are absent from the facts.
+
+    Only items with fewer regions than there are get paired at all.
+    """
+    keys = facts.select("codigo", "slug").distinct()
+    slugs = keys.select("slug").distinct()
+    everywhere = slugs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    short = keys.groupBy("codigo").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < everywhere).select("codigo")
+    return cross_item_region(short, slugs).join(keys, ["codigo", "slug"], "left_anti")
 
 
 def join_dept_name(rows: DataFrame) -> DataFrame:

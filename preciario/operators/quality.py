@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from preciario import constants as C
 from preciario.functions.money import exact_units, from_units, sum_money
+from preciario.functions.text import trim_all
 from preciario.operators.extract import department_name
 
 
@@ -36,12 +37,12 @@ def violations(df: DataFrame, keys: list[str], rules: list[Regla]) -> DataFrame:
 
 
 def required(column: str) -> Regla:
-    return Regla(f"{column}: obligatorio", F.trim(F.coalesce(F.col(column), F.lit(""))) == "", F.col(column))
+    return Regla(f"{column}: obligatorio", trim_all(F.coalesce(F.col(column), F.lit(""))) == "", F.col(column))
 
 
 def not_blank(column: str) -> Regla:
     """Optional text: may be absent, may not be blank."""
-    return Regla(f"{column}: vacío", F.coalesce(F.trim(F.col(column)) == "", F.lit(False)), F.col(column))
+    return Regla(f"{column}: vacío", F.coalesce(trim_all(F.col(column)) == "", F.lit(False)), F.col(column))
 
 
 def matches(column: str, pattern: str) -> Regla:
@@ -133,7 +134,7 @@ def provenance_rules() -> list[Regla]:
     date = F.coalesce(F.col("fechaDescarga"), F.lit(""))
     return [
         required("fuente"),
-        Regla("url: formato", ~F.coalesce(F.col("url"), F.lit("")).rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:\S+$"), F.col("url")),
+        Regla("url: formato", ~F.coalesce(F.col("url"), F.lit("")).rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:\S+\z"), F.col("url")),
         matches("vigencia", C.PATRON_VIGENCIA),
         Regla(
             "fechaDescarga: fecha", ~date.rlike(C.PATRON_FECHA) | F.try_to_date(date, "yyyy-MM-dd").isNull(), F.col("fechaDescarga")

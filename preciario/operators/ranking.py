@@ -215,10 +215,6 @@ def chunk_ordinal(pairs: DataFrame, size: int = URLS_POR_PARTE) -> DataFrame:
     return global_ordinal(pairs).withColumn("parte", F.expr(f"ordinal div {size}"))
 
 
-def search_title(catalog: DataFrame) -> DataFrame:
-    return catalog.withColumn("titulo", first_line(F.col("descripcion")))
-
-
 def top_dispersed(catalog: DataFrame, n: int = 10, min_regions: int = 10) -> DataFrame:
     """Items whose maximum is furthest from their median, as a ratio."""
     rows = catalog.where((F.col("mediana") > 0) & (F.col("conDato") >= min_regions))

@@ -1,8 +1,7 @@
 """Sheet-cell extraction over the driver tables.
 
 The driver's forms have unlimited line rows, so they use the wide sections.
-Each query reads the kinds of cells its rule can address, all rows of them;
-queries about whole workbooks read every kind.
+Every query reads all cells, so the operators pick their own sheets, rows and columns.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from preciario.constants import HOJAS_DE_APOYO
 from preciario.operators import clean, extract as X
 from preciario.plans.oracle import UNIT_DIFF, UNIT_RAW, sql
 from preciario.plans.registry import query
-from preciario.session import written
 from preciario.sources import tables as T
 from preciario.sources.layout import SECCIONES_ANCHAS as WIDE
 
@@ -42,7 +40,7 @@ HEADER = (
 
 @query("header_pivot", sql(f"SELECT archivo, hoja, codigo, descripcion, unidad, costoDirecto FROM ({HEADER})", "hojas"))
 def header_pivot(spark, sf):
-    return X.header_pivot(T.header_cells(spark, sf))
+    return X.header_pivot(T.cells(spark, sf))
 
 
 @query(
@@ -54,7 +52,7 @@ def header_pivot(spark, sf):
     ),
 )
 def index_rows(spark, sf):
-    return X.index_rows(T.index_cells(spark, sf))
+    return X.index_rows(T.cells(spark, sf))
 
 
 SECTION = (
@@ -67,7 +65,7 @@ SECTION = (
 
 @query("section_lines", sql(SECTION, "filas"))
 def section_lines(spark, sf):
-    return X.section_lines(T.line_cells(spark, sf), WIDE)
+    return X.section_lines(T.cells(spark, sf), WIDE)
 
 
 @query(
@@ -83,7 +81,7 @@ def section_lines(spark, sf):
     ),
 )
 def section_subtotals(spark, sf):
-    return X.section_subtotals(T.header_cells(spark, sf), WIDE)
+    return X.section_subtotals(T.cells(spark, sf), WIDE)
 
 
 UNRESOLVED = "SELECT archivo, hoja, componente, CAST(fila AS BIGINT) AS fila, codigo FROM filas WHERE l_tax>0 AND NOT l_discount>0"
@@ -91,22 +89,20 @@ UNRESOLVED = "SELECT archivo, hoja, componente, CAST(fila AS BIGINT) AS fila, co
 
 @query("unresolved_lines", sql(UNRESOLVED, "filas"))
 def unresolved_lines(spark, sf):
-    return X.unresolved_lines(T.line_cells(spark, sf), WIDE)
+    return X.unresolved_lines(T.cells(spark, sf), WIDE)
 
 
 @query(
     "unresolved_note",
     sql(
-        "SELECT archivo, hoja, CAST(0 AS BIGINT) AS parte, n, 'El libro fuente de prueba deja '||CAST(n AS VARCHAR)||' línea'||CASE WHEN n=1 THEN '' ELSE 's' END||' sin resolver —'||t||"
-        "'—: el código de insumo no existe en el listado regional, así que la fila viene sin descripción ni precio y no suma al costo directo. "
-        "Se omite del desglose en vez de publicarla en cero.' AS nota FROM ("
-        f"SELECT archivo, hoja, count(*) AS n, string_agg(codigo||' ('||componente||')', ', ' ORDER BY fila) AS t FROM ({UNRESOLVED}) GROUP BY archivo, hoja)",
+        "SELECT archivo, hoja, n, posicion, codigo, componente, 'El libro fuente de prueba deja '||CAST(n AS VARCHAR)||' línea'||CASE WHEN n=1 THEN '' ELSE 's' END AS inicio FROM ("
+        "SELECT *, count(*) OVER (PARTITION BY archivo, hoja) AS n, row_number() OVER (PARTITION BY archivo, hoja ORDER BY "
+        f"list_position(['equipo','materiales','transporte','manoDeObra'], componente), fila) AS posicion FROM ({UNRESOLVED}))",
         "filas",
     ),
 )
 def unresolved_note(spark, sf):
-    unresolved = written(X.unresolved_lines(T.line_cells(spark, sf), WIDE), "sin-resolver")
-    return X.unresolved_note(unresolved, "prueba")
+    return X.unresolved_note(X.unresolved_lines(T.cells(spark, sf), WIDE), "prueba")
 
 
 MINOR = (
@@ -124,7 +120,7 @@ MINOR = (
     ),
 )
 def minor_tools_line(spark, sf):
-    lines = X.sheet_lines(T.line_cells(spark, sf).unionByName(T.header_cells(spark, sf)), WIDE)
+    lines = X.sheet_lines(T.cells(spark, sf), WIDE)
     return lines.select("archivo", "hoja", "fila", "componente", "codigo", "unidad", "cantidad", "precioUnitario", "subtotal", "porcentaje", "base")
 
 
@@ -142,21 +138,21 @@ _CANON = "CASE {x} WHEN 'm3 - Km' THEN 'm3-km' WHEN 'Kg' THEN 'kg' WHEN 'm³' TH
     ),
 )
 def resolve_unit(spark, sf):
-    lines = X.section_lines(T.line_cells(spark, sf), WIDE)
-    resolved = X.resolve_unit(lines, X.equipment_units(T.listing_cells(spark, sf)))
+    lines = X.section_lines(T.cells(spark, sf), WIDE)
+    resolved = X.resolve_unit(lines, X.equipment_units(T.cells(spark, sf)))
     return resolved.select("archivo", "hoja", "fila", "componente", "codigo", "unidad", "unidadCruda")
 
 
 XREF = (
     "SELECT h.archivo, h.hoja, replace(h.hoja,',','.') AS codigo, h.descripcion, coalesce(CASE h.unidad WHEN 'm3 - Km' THEN 'm3-km' WHEN 'Kg' THEN 'kg' END, i.unidad) AS unidad, "
-    f"h.costoDirecto, i.capitulo, i.articulo, i.clasificacion, i.pr*4 AS costoIndice FROM ({HEADER}) h LEFT JOIN indice i ON i.archivo=h.archivo AND i.hoja=h.hoja"
+    f"CASE WHEN h.unidad IN ('m3 - Km','Kg') THEN h.unidad ELSE i.unidadCruda END AS unidadCruda, h.costoDirecto, i.capitulo, i.articulo, i.clasificacion, i.pr*4 AS costoIndice FROM ({HEADER}) h LEFT JOIN indice i ON i.archivo=h.archivo AND i.hoja=h.hoja"
 )
 
 
 @query("item_index_xref", sql(XREF, "hojas", "indice"))
 def item_index_xref(spark, sf):
-    headers = X.header_pivot(T.header_cells(spark, sf))
-    return X.item_index_xref(headers, X.index_rows(T.index_cells(spark, sf)))
+    headers = X.header_pivot(T.cells(spark, sf))
+    return X.item_index_xref(headers, X.index_rows(T.cells(spark, sf)))
 
 
 VIOLATIONS = (
@@ -167,7 +163,7 @@ VIOLATIONS = (
 
 @query("layout_violations", sql(VIOLATIONS, "hojas"))
 def layout_violations(spark, sf):
-    return X.layout_violations(T.header_cells(spark, sf), WIDE)
+    return X.layout_violations(T.cells(spark, sf), WIDE)
 
 
 SUPPORT = ", ".join(f"'{h}'" for h in HOJAS_DE_APOYO)
@@ -199,12 +195,12 @@ def _listing(only: str) -> str:
 
 @query("supply_listing", _listing("true"))
 def supply_listing(spark, sf):
-    return X.supply_listing(T.listing_cells(spark, sf))
+    return X.supply_listing(T.cells(spark, sf))
 
 
 @query("supply_subset", _listing("p_partkey%4 IN (0, 2)"))
 def supply_subset(spark, sf):
-    return X.supply_listing(T.listing_cells(spark, sf), ["EQUIPO", "TRANSPORTE"])
+    return X.supply_listing(T.cells(spark, sf), ["EQUIPO", "TRANSPORTE"])
 
 
 @query(
@@ -213,7 +209,7 @@ def supply_subset(spark, sf):
     "p_retailprice AS valor FROM part WHERE p_partkey%100<4 AND p_partkey%100<>2",
 )
 def salary_reference(spark, sf):
-    return X.salary_reference(T.listing_cells(spark, sf))
+    return X.salary_reference(T.cells(spark, sf))
 
 
 COVER = (
@@ -226,7 +222,7 @@ COVER = (
 
 @query("cover_attributes", COVER)
 def cover_attributes(spark, sf):
-    return X.cover_attributes(T.cover_cells(spark, sf))
+    return X.cover_attributes(T.cells(spark, sf))
 
 
 @query(
@@ -269,10 +265,16 @@ def region_resolve(spark, sf):
     ),
 )
 def reject_rows(spark, sf):
-    return X.reject_rows(T.header_cells(spark, sf), X.index_rows(T.index_cells(spark, sf)), WIDE)
+    return X.reject_rows(T.cells(spark, sf), X.index_rows(T.cells(spark, sf)), WIDE)
 
 
-@query("clean_cells", "SELECT turn, conv_id, trim(text) AS texto FROM conversations")
+@query(
+    "clean_cells",
+    "SELECT turn, conv_id, nullif(regexp_replace(trim(regexp_replace(text, '[ \t\n]+', ' ', 'g')), ' ', chr(10)), '') AS texto FROM conversations",
+)
 def clean_cells(spark, sf):
-    rows = T.read(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("texto"))
+    """Each text with its first blank turned into a ragged line break and blanks doubled."""
+    flat = F.trim(F.regexp_replace("text", "[ \\t\\n]+", " "))
+    ragged = F.concat(F.lit("\u00a0 "), F.regexp_replace(F.regexp_replace(flat, "^([^ ]*) ", "$1 \t\r\n\u00a0 "), "(?<=[^\\s\u00a0]) (?=[^\\s\u00a0])", "  \u00a0"), F.lit("\r\n \t"))
+    rows = T.read(spark, sf, "conversations").select("conv_id", "turn", ragged.alias("texto"))
     return clean.clean_cells(rows, "texto")

@@ -17,7 +17,7 @@ from preciario.sources import tables as T
     sql("SELECT codigo, slug, m.numero, m.nombre FROM apus JOIN cmap m USING (capitulo)", "cmap"),
 )
 def join_chapter_map(spark, sf):
-    facts = T.shared_facts(spark, sf)
+    facts = T.facts(spark, sf)
     mapping = J.chapter_map(A.catalog(facts))
     return J.join_chapter_map(facts, mapping).select("codigo", "slug", "numero", "nombre")
 
@@ -27,7 +27,7 @@ def join_chapter_map(spark, sf):
     sql("SELECT codigo, slug, costoDirecto, mediana AS medianaNacional FROM apus JOIN (SELECT codigo, mediana FROM cat WHERE mediana>0) USING (codigo) WHERE costoDirecto>0", "cat"),
 )
 def join_national_median(spark, sf):
-    facts = T.shared_facts(spark, sf)
+    facts = T.facts(spark, sf)
     return J.join_national_median(facts, A.catalog(facts)).select("codigo", "slug", "costoDirecto", "medianaNacional")
 
 
@@ -41,7 +41,7 @@ def join_national_median(spark, sf):
     ),
 )
 def semi_comparable_items(spark, sf):
-    facts = T.shared_facts(spark, sf)
+    facts = T.facts(spark, sf)
     cat = A.catalog(facts)
     return J.semi_comparable_items(facts, cat, J.chapter_map(cat))
 
@@ -51,7 +51,7 @@ def semi_comparable_items(spark, sf):
     _featured("SELECT CAST(posicion AS INTEGER) AS posicion, codigo, unidad, cat.mediana, conDato FROM o JOIN cat USING (codigo) WHERE posicion<=60"),
 )
 def join_featured(spark, sf):
-    cat = A.catalog(T.shared_facts(spark, sf))
+    cat = A.catalog(T.facts(spark, sf))
     featured = R.featured_round_robin(cat, limit=60, chapter=FAMILY)
     return J.join_featured(featured, cat).select("posicion", "codigo", "unidad", "mediana", "conDato").orderBy("posicion")
 
@@ -65,7 +65,7 @@ def join_featured(spark, sf):
     ),
 )
 def join_item_region_breakdown(spark, sf):
-    facts = T.shared_facts(spark, sf)
+    facts = T.facts(spark, sf)
     joined = J.join_item_region_breakdown(A.breakdown(T.lines(spark, sf)), facts, A.province_summary(facts))
     return joined.select("codigo", "slug", "componente", "subtotal", "total", "costoDirecto", "departamento", "provincia")
 
@@ -89,7 +89,7 @@ def anti_orphans(spark, sf):
     sql("SELECT codigo, slug FROM (SELECT DISTINCT codigo FROM apus) CROSS JOIN (SELECT DISTINCT slug FROM apus)", "apus"),
 )
 def cross_item_region(spark, sf):
-    facts = T.shared_facts(spark, sf)
+    facts = T.facts(spark, sf)
     return J.cross_item_region(facts.select("codigo").distinct(), facts.select("slug").distinct())
 
 
@@ -102,7 +102,7 @@ def cross_item_region(spark, sf):
     ),
 )
 def missing_pairs(spark, sf):
-    return J.missing_pairs(T.shared_facts(spark, sf).select("codigo", "slug"))
+    return J.missing_pairs(T.facts(spark, sf).select("codigo", "slug"))
 
 
 @query(
@@ -114,7 +114,7 @@ def missing_pairs(spark, sf):
     ),
 )
 def join_dept_name(spark, sf):
-    rows = A.province_summary(T.shared_facts(spark, sf)).select("slug", "regionCodigoDane", "departamento")
+    rows = A.province_summary(T.facts(spark, sf)).select("slug", "regionCodigoDane", "departamento")
     return J.join_dept_name(rows)
 
 
@@ -193,7 +193,7 @@ def guard_keys(spark, sf):
     sql("SELECT codigo, conDato, conDato < (SELECT count(DISTINCT slug) FROM apus) AS parcial FROM cat", "cat"),
 )
 def flag_partial(spark, sf):
-    facts = T.shared_facts(spark, sf)
+    facts = T.facts(spark, sf)
     total = facts.agg(F.count_distinct("slug").alias("n")).scalar()
     return P.flag_partial(A.catalog(facts), total).select("codigo", "conDato", "parcial")
 
@@ -232,13 +232,12 @@ INVENTORY = (
 
 @query("union_key_inventory", sql(INVENTORY, "apus"))
 def union_key_inventory(spark, sf):
-    return U.union_key_inventory(spark, T.shared_facts(spark, sf).select("codigo", "slug"))
+    return U.union_key_inventory(spark, T.facts(spark, sf).select("codigo", "slug"))
 
 
-@query("inventory_count", sql(f"SELECT count(*) AS urls, count(*) AS esperadas FROM ({INVENTORY})", "apus"))
+@query("inventory_count", sql(f"SELECT count(*) AS urls FROM ({INVENTORY})", "apus"))
 def inventory_count(spark, sf):
-    facts = T.shared_facts(spark, sf).select("codigo", "slug")
-    return U.inventory_mismatch(U.union_key_inventory(spark, facts), facts)
+    return U.inventory_count(T.facts(spark, sf).select("codigo", "slug"))
 
 
 @query("distinct_keys", sql("SELECT DISTINCT codigo, unidadCruda FROM lineas", "lineas"))

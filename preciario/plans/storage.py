@@ -119,15 +119,12 @@ def partition_vigencia(spark, sf):
 
 @query("overwrite_stage", sql(DATED, "lineas"))
 def overwrite_stage(spark, sf):
-    """A stale run is replaced as a whole, and a rerun of one publication leaves
-    the other directories as they are."""
+    """A stale stage, which has other rows and more of them, is replaced as a whole."""
     path = scratch_path(spark, "etapa")
-    rows = _dated(spark, sf)
-    stale = rows.withColumn("subtotal", F.col("subtotal") + 1)
-    S.partition_vigencia(stale, path)
-    S.partition_vigencia(rows, path)
-    S.partition_vigencia(rows.where(F.col("vigencia") == "1998-1"), path)
-    return _per_publication(spark.read.schema("codigo string, slug string, componente string, subtotal double, vigencia string").parquet(path))
+    totals = _per_publication(_dated(spark, sf))
+    S.overwrite_stage(totals.unionByName(totals).withColumn("n", F.col("n") + 1), path)
+    S.overwrite_stage(totals, path)
+    return spark.read.schema(totals.schema).parquet(path)
 
 
 LOOKUP = ("564.35", "nation-3")
@@ -176,7 +173,7 @@ def sink_item_docs(spark, sf):
     ),
 )
 def sink_province_docs(spark, sf):
-    documents = A.province_document(T.shared_facts(spark, sf))
+    documents = A.province_document(T.facts(spark, sf))
     path = S.sink_province_docs(documents, _provenance(), scratch_path(spark, "provincias"))
     docs = S.scan_docs(spark, path, schemas.DOC_PROVINCIA)
     return docs.select("region.slug", "region.departamento", "agregados.mediana", "itemsConDato", F.explode("items").alias("i")).select(
@@ -192,9 +189,9 @@ def sink_province_docs(spark, sf):
     ),
 )
 def sink_catalog_stats(spark, sf):
-    facts = T.shared_facts(spark, sf)
+    facts = T.facts(spark, sf)
     items = S.sink_catalog(A.catalog(facts), scratch_path(spark, "catalogo"))
-    counts = A.stats_counts(facts, F.lit(0), F.lit(0), F.lit(0)).select(*S.header(_provenance()), F.struct("items", "provincias", "apus").alias("conteos"))
+    counts = A.stats_counts(facts, F.lit(0), F.lit(0), F.lit(0)).select(*S.header(_provenance(), F.lit("2026-1")), F.struct("items", "provincias", "apus").alias("conteos"))
     stats = S.sink_stats(counts, scratch_path(spark, "stats"))
     apus = S.scan_staging(spark, stats, "conteos struct<items: long, provincias: long, apus: long>").select("conteos.apus").scalar()
     rows = S.scan_staging(spark, items, schemas.DOC_CATALOGO_ITEM)
@@ -242,7 +239,7 @@ def provenance_join(spark, sf):
     complete = n.select(_provenance().alias("p"), "archivos").select("p.*", "archivos")
     incomplete = complete.withColumns({"vigencia": F.lit("2025-2"), "licencia": F.lit("")})
     complete.unionByName(incomplete).write.json(path)
-    stamped = S.provenance_join(T.shared_facts(spark, sf), S.read_manifest(spark, path))
+    stamped = S.provenance_join(T.facts(spark, sf), S.read_manifest(spark, path))
     return stamped.select("codigo", "slug", "costoDirecto", "procedencia.fuente", "procedencia.licencia")
 
 
@@ -251,4 +248,4 @@ def provenance_join(spark, sf):
     sql("SELECT archivo, codigo, costoDirecto FROM apus WHERE archivo IN (SELECT DISTINCT archivo FROM apus ORDER BY archivo LIMIT 5)", "apus"),
 )
 def sample_first_n_files(spark, sf):
-    return S.sample_first_n_files(T.shared_facts(spark, sf), 5).select("archivo", "codigo", "costoDirecto")
+    return S.sample_first_n_files(T.facts(spark, sf), 5).select("archivo", "codigo", "costoDirecto")

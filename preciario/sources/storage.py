@@ -8,8 +8,12 @@ from pyspark.sql import types as T
 
 from preciario import constants as C
 from preciario.functions.codes import chapter_prefix, natural_key
+from preciario.functions.text import trim_all
 from preciario.sources import schemas as S
 
+#: Remark in the head of every document; any wording will do.
+NOTA = "Solo costos directos; no incluyen administración, imprevistos ni utilidad."
+
 # ---------------------------------------------------------------- staging
 
 
@@ -112,7 +116,7 @@ def complete_manifest(manifest: DataFrame) -> DataFrame:
     """Manifest rows that carry every required field."""
     present = F.lit(True)
     for field in CAMPOS_PROCEDENCIA:
-        present = present & (F.coalesce(F.col(field), F.lit("")) != "")
+        present = present & (trim_all(F.coalesce(F.col(field), F.lit(""))) != "")
     return manifest.where(present)
 
 
@@ -128,14 +132,14 @@ def provenance_join(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.join(stamp, "vigencia", "left")
 
 
-def header(procedencia: Column) -> list[Column]:
-    """Common head of every published document."""
+def header(procedencia: Column, vigencia: Column, nota: str = NOTA) -> list[Column]:
+    """Common head of every published document; ``vigencia`` is that of its rows."""
     return [
         F.lit(C.SCHEMA_VERSION).alias("schemaVersion"),
-        F.lit(C.VIGENCIA).alias("vigencia"),
+        vigencia.alias("vigencia"),
         procedencia.alias("procedencia"),
         F.lit("preciario").alias("generadoPor"),
-        F.lit(C.NOTA_COSTO_DIRECTO).alias("nota"),
+        F.lit(nota).alias("nota"),
     ]
 
 
@@ -162,7 +166,7 @@ def _write_documents(docs: DataFrame, group: Column, path: str) -> str:
 
 def sink_item_docs(documents: DataFrame, procedencia: Column, path: str) -> str:
     body = [f.name for f in S.DOC_ITEM if f.name not in dict(S.CABECERA)]
-    return _write_documents(documents.select(*header(procedencia), *body), chapter_prefix(F.col("codigo")), path)
+    return _write_documents(documents.select(*header(procedencia, F.col("vigencia")), *body), chapter_prefix(F.col("codigo")), path)
 
 
 def sink_province_docs(documents: DataFrame, procedencia: Column, path: str) -> str:
@@ -170,7 +174,7 @@ def sink_province_docs(documents: DataFrame, procedencia: Column, path: str) ->
         F.col("regionCodigo").alias("codigo"), F.col("regionCodigoDane").alias("codigoDane"), "departamento", "provincia", "slug"
     )
     docs = documents.select(
-        *header(procedencia), region.alias("region"), F.struct("min", "max", "mediana", "promedio").alias("agregados"),
+        *header(procedencia, F.col("vigencia")), region.alias("region"), F.struct("min", "max", "mediana", "promedio").alias("agregados"),
         "itemsConDato", "parte", "items",
     )
     return _write_documents(docs, F.col("region.codigoDane"), path)

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from preciario.constants import (
     CODIGO_HERRAMIENTA_MENOR,
@@ -25,7 +24,6 @@ from preciario.constants import (
 )
 from preciario.functions.money import sum_money
 from preciario.functions.ordering import positions
-from preciario.session import input_bytes, written
 from preciario.sources.layout import LISTADOS, SECCIONES, WIDE_FIRST_ROW
 
 #: Lines are positioned inside tiles of this many consecutive order keys.
@@ -44,41 +42,16 @@ UNIT_BY_TYPE = {
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-#: Input below this size per core is dealt over all cores after the scan.
-SMALL_BYTES_PER_CORE = 4 * 1024 * 1024
-
-
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A base table; its footer is asked for the schema once per process."""
-    path = f"{sf_dir}/{table}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
-
-
-def read_spread(spark: SparkSession, sf_dir: str, table: str, *keys: str) -> DataFrame:
-    """A large table, spread over the cores when its file is too small to split.
-
-    A file of one row group is read by a single task whatever the cluster; only
-    then is one exchange cheaper than an idle cluster.  Large input, which has
-    many row groups, is left as it is.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    df = read(spark, sf_dir, table)
-    if input_bytes(spark, f"{sf_dir}/{table}.parquet") > cores * SMALL_BYTES_PER_CORE:
-        return df
-    return df.repartition(cores, *keys)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_spread(spark, sf_dir, "lineitem", "l_orderkey")
+    return read(spark, sf_dir, "lineitem")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_spread(spark, sf_dir, "documents", "doc_id")
+    return read(spark, sf_dir, "documents")
 
 
 def raw_unit(p_type: Column, index: int = 0) -> Column:
@@ -253,12 +226,6 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shared_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts written once, for queries that use them in several branches: the
-    lines are then read and aggregated a single time."""
-    return written(facts(spark, sf_dir), "facts")
-
-
 def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supply-by-region table with the 13 published columns.
 

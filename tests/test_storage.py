@@ -110,7 +110,7 @@ def test_documents(spark, tmp_path):
 def test_province_documents(spark, tmp_path):
     path = str(tmp_path / "provincias")
     provenance = F.struct(F.lit("f").alias("fuente"))
-    S.sink_province_docs(A.province_document(T.shared_facts(spark, SF)), provenance, path)
+    S.sink_province_docs(A.province_document(T.facts(spark, SF)), provenance, path)
     parts = S.province_doc(S.scan_docs(spark, path, schemas.DOC_PROVINCIA), "nation-3").orderBy("parte").collect()
     codes = [i.codigo for p in parts for i in p["items"]]
     assert codes == sorted(codes, key=lambda c: [int(x) for x in c.split(".")]) and len(codes) > 100
