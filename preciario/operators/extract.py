@@ -28,10 +28,12 @@ from preciario.constants import (
     NOTA_LINEA,
     PATRON_HOJA_ITEM,
     PATRON_SLUG,
+    TOLERANCIA_ESTRICTA,
     UNIDAD_EQUIPO,
     UNIDAD_MANO_DE_OBRA,
 )
 from preciario.functions.codes import component_order, file_name_parts, with_commas, with_dots
+from preciario.functions.money import sum_money
 from preciario.functions.ordering import positions
 from preciario.functions.text import clean_text, equivalent, slugify, title_case
 from preciario.functions.units import canonical_unit, raw_when_different
@@ -97,13 +99,18 @@ def contiguous_rows(rows: DataFrame, keys: list[str], first_row: Column) -> Data
     return numbered.join(ends.join(started, keys, "left_semi"), keys).where(F.col("fila") <= F.col("_fin")).drop("_fin")
 
 
-def index_rows(cells: DataFrame) -> DataFrame:
-    """Rows of the index sheet until the first blank code."""
+def _index_sheet(cells: DataFrame) -> DataFrame:
     columns = L.INDICE_COLUMNAS
     sheet = cells.where((F.col("hoja") == L.HOJA_INDICE) & F.col("columna").isin(*columns.values()))
     rows = sheet.groupBy("archivo", "fila").agg(*(_pick(F.col("columna") == c, f) for f, c in columns.items()))
     rows = rows.withColumn("hoja", with_commas(F.col("codigo"))).where(F.col("hoja").isNotNull())
-    rows = contiguous_rows(rows, ["archivo"], F.lit(L.INDICE_PRIMERA_FILA))
+    return contiguous_rows(rows, ["archivo"], F.lit(L.INDICE_PRIMERA_FILA))
+
+
+def index_rows(cells: DataFrame) -> DataFrame:
+    """Rows of the index sheet until the first blank code; see ``index_faults``
+    for those that reject their workbook."""
+    rows = _index_sheet(cells)
     raw = clean_text(F.col("unidad"))
     return rows.select(
         "archivo",
@@ -119,6 +126,17 @@ def index_rows(cells: DataFrame) -> DataFrame:
     )
 
 
+def index_faults(cells: DataFrame) -> DataFrame:
+    """Index rows that reject their workbook, with the first reason."""
+    numbers = ("equipo", "materiales", "transporte", "manoDeObra", "costoDirecto")
+    motivo = F.when(~F.col("hoja").rlike(PATRON_HOJA_ITEM), "código sin forma de ítem")
+    motivo = motivo.when(clean_text(F.col("descripcion")).isNull(), "sin descripción")
+    motivo = motivo.when(canonical_unit(clean_text(F.col("unidad"))).isNull(), "sin unidad")
+    motivo = motivo.when(_any([F.col(c).isNull() for c in numbers]), "importe no numérico")
+    motivo = motivo.when(_any([F.col(c) < 0 for c in numbers]), "importe negativo")
+    return _index_sheet(cells).select("archivo", "fila", motivo.alias("motivo")).where(F.col("motivo").isNotNull())
+
+
 def _in_section(section: L.Seccion) -> Column:
     return F.col("fila").between(section.first_row, section.last_row)
 
@@ -191,19 +209,29 @@ def section_subtotals(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECC
     return long.withColumn("motivo", F.when(F.col("subtotal").isNull(), "subtotal no numérico"))
 
 
-def minor_tools_line(cells: DataFrame) -> DataFrame:
-    """The percentage-of-labour row, as an equipment line."""
+def _minor_tools(cells: DataFrame) -> DataFrame:
     columns = L.HERRAMIENTA
     row = item_cells(cells).where((F.col("fila") == L.FILA_HERRAMIENTA) & F.col("columna").isin(*columns.values()))
     wide = row.groupBy(*SHEET).agg(*(_pick(F.col("columna") == c, f) for f, c in columns.items()))
-    complete = F.col("base").isNotNull() & F.col("porcentaje").isNotNull() & F.col("subtotal").isNotNull()
-    return wide.where((F.col("codigo") == CODIGO_HERRAMIENTA_MENOR) & complete).select(
+    wide = wide.withColumns({c: clean_text(F.col(c)) for c in ("codigo", "descripcion", "tipo")}).where(F.col("codigo").isNotNull())
+    motivo = F.when(F.col("descripcion").isNull(), "herramienta menor: sin descripción")
+    motivo = motivo.when(F.col("codigo") != CODIGO_HERRAMIENTA_MENOR, "herramienta menor: código inesperado")
+    motivo = motivo.when(F.col("base").isNull(), "herramienta menor: base no numérica")
+    motivo = motivo.when(F.col("porcentaje").isNull(), "herramienta menor: porcentaje no numérico")
+    motivo = motivo.when(F.col("subtotal").isNull(), "herramienta menor: valor no numérico")
+    return wide.withColumn("motivo", motivo)
+
+
+def minor_tools_line(cells: DataFrame) -> DataFrame:
+    """The percentage-of-labour row, as an equipment line.  A row that breaks a
+    rule is no line; ``reject_rows`` rejects its sheet for it."""
+    return _minor_tools(cells).where(F.col("motivo").isNull()).select(
         *SHEET,
         F.lit(L.FILA_HERRAMIENTA).cast("long").alias("fila"),
         F.lit("equipo").alias("componente"),
         "codigo",
         "descripcion",
-        F.coalesce(clean_text(F.col("tipo")), F.lit("%")).alias("unidad"),
+        F.coalesce("tipo", F.lit("%")).alias("unidad"),
         F.col("porcentaje").alias("cantidad"),
         F.col("base").alias("precioUnitario"),
         "subtotal",
@@ -301,7 +329,7 @@ def layout_violations(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECC
 
 
 def structure_violations(
-    sheets: DataFrame, n_sheets: int = HOJAS_ESPERADAS, n_items: int = ITEMS_ESPERADOS
+    sheets: DataFrame, n_sheets: int = HOJAS_ESPERADAS, n_items: int = ITEMS_ESPERADOS, support: tuple[str, ...] = HOJAS_DE_APOYO
 ) -> DataFrame:
     """Workbooks with the wrong number of sheets or without a support sheet."""
     kinds = sheet_classify(sheets)
@@ -316,7 +344,7 @@ def structure_violations(
     wrong = counts.select(
         "archivo", F.explode(F.array_compact(F.array(rule("hojas", n_sheets, "hojas"), rule("items", n_items, "items")))).alias("v")
     ).select("archivo", "v.*")
-    needed = counts.select("archivo", F.explode(F.array(*map(F.lit, HOJAS_DE_APOYO))).alias("hoja"))
+    needed = counts.select("archivo", F.explode(F.array(*map(F.lit, support))).alias("hoja"))
     missing = needed.join(kinds, SHEET, "left_anti").select("archivo", F.lit("falta").alias("regla"), F.col("hoja").alias("detalle"))
     return wrong.unionByName(missing)
 
@@ -369,6 +397,14 @@ def supply_listing(cells: DataFrame, hojas: list[str] | None = None) -> DataFram
     )
 
 
+def listing_faults(cells: DataFrame) -> DataFrame:
+    """Supplies that reject their workbook: without description, or priced
+    without a unit."""
+    motivo = F.when(F.col("descripcion").isNull(), "sin descripción")
+    motivo = motivo.when(F.col("precio").isNotNull() & canonical_unit(F.col("unidad")).isNull(), "sin unidad")
+    return listing_rows(cells).select("archivo", "hoja", "fila", motivo.alias("motivo")).where(F.col("motivo").isNotNull())
+
+
 def salary_reference(cells: DataFrame) -> DataFrame:
     """Reference salaries; rows without a concept or a number are skipped."""
     columns = L.SALARIOS_COLUMNAS
@@ -433,12 +469,40 @@ def region_resolve(named: DataFrame) -> DataFrame:
     )
 
 
-def reject_rows(cells: DataFrame, index: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES) -> DataFrame:
+def _line_sums(cells: DataFrame, sections: tuple[L.Seccion, ...]) -> DataFrame:
+    """For each sheet and section: sum and number of its lines, and how many
+    lack a text or number they must have or hold a negative one."""
+    lines = section_lines(cells, sections)
+
+    def numbers(section: L.Seccion) -> list[Column]:
+        names = [f for f in section.columns if f not in _TEXT_FIELDS]
+        return [F.col(f) for f in names]
+
+    out = []
+    for i, section in enumerate(sections):
+        own = F.col("componente") == section.componente
+        lacking = F.col("descripcion").isNull() | _any([c.isNull() for c in numbers(section)])
+        negative = _any([c < 0 for c in numbers(section)])
+        out += [
+            F.coalesce(sum_money(F.when(own, F.col("subtotal"))), F.lit(0.0)).alias(f"t{i}"),
+            F.count_if(own).alias(f"n{i}"),
+            F.count_if(own & lacking).alias(f"f{i}"),
+            F.count_if(own & F.coalesce(negative, F.lit(False))).alias(f"g{i}"),
+        ]
+    return lines.groupBy(*SHEET).agg(*out)
+
+
+def reject_rows(
+    cells: DataFrame, index: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES, tolerance: float = TOLERANCIA_ESTRICTA
+) -> DataFrame:
     """Every item sheet once: accepted (``motivo`` null) or rejected with the
     first reason that applies.  One failure rejects its sheet, never its file.
 
-    All fixed cells of a sheet are read in one aggregate; ``index`` is the
-    result of :func:`index_rows`.
+    In order: form, code, description, unit; for each section its subtotal and its
+    lines, after equipment the minor tools; direct cost; at least one line; no
+    negative value; sections that add up to their subtotals and subtotals that
+    add up to the cost; the cost of the index.  ``index`` is the result of
+    :func:`index_rows`.
     """
     checks = _layout_checks(sections)
     spots = L.CELDAS_ITEM
@@ -446,15 +510,67 @@ def reject_rows(cells: DataFrame, index: DataFrame, sections: tuple[L.Seccion, .
     wide = item_cells(cells).groupBy(*SHEET).agg(
         *_check_cells(checks), *(_pick(_at(*spot), field) for field, spot in spots.items()), *subtotals
     )
-    side = index.select(*SHEET, F.col("descripcion").alias("_d"), F.col("unidad").alias("_u"))
+    side = index.select(*SHEET, F.col("descripcion").alias("_d"), F.col("unidad").alias("_u"), F.col("costoDirecto").alias("_i"))
+    tools = _minor_tools(cells).select(*SHEET, F.col("motivo").alias("_h"), F.col("subtotal").alias("_m"))
     joined = wide.withColumn("_v", _found_violations(checks)).join(side, SHEET, "left")
-    numeric = reduce(lambda a, b: a & b, (F.col(f"s{i}").isNotNull() for i in range(len(sections))))
+    joined = joined.join(_line_sums(cells, sections), SHEET, "left").join(tools, SHEET, "left")
+
+    def sums(letter: str) -> list[Column]:
+        return [F.coalesce(F.col(f"{letter}{i}"), F.lit(0)) for i in range(len(sections))]
+
+    def total(columns: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, columns)
+
+    tool = F.coalesce("_m", F.lit(0.0))
+    found = [t + tool if s.componente == "equipo" else t for s, t in zip(sections, sums("t"), strict=True)]
+    declared = [F.col(f"s{i}") for i in range(len(sections))]
     motivo = (
         F.when(F.size("_v") > 0, F.concat(F.lit("formato: "), F.col("_v")[0]["regla"]))
         .when(~with_commas(F.col("codigo")).eqNullSafe(F.col("hoja")), "código distinto del nombre de la hoja")
         .when(F.coalesce(clean_text(F.col("descripcion")), F.col("_d")).isNull(), "sin descripción")
         .when(F.coalesce(clean_text(F.col("unidad")), F.col("_u")).isNull(), "sin unidad")
-        .when(~numeric, "subtotal no numérico")
-        .when(F.col("costoDirecto").isNull(), "costo directo no numérico")
+    )
+    for i, section in enumerate(sections):
+        motivo = motivo.when(declared[i].isNull(), "subtotal no numérico").when(sums("f")[i] > 0, "línea incompleta")
+        if section.componente == "equipo":
+            motivo = motivo.when(F.col("_h").isNotNull(), F.col("_h"))
+    negative = _any([F.col("costoDirecto") < 0, tool < 0, *(x < 0 for x in declared)]) | (total(sums("g")) > 0)
+    motivo = (
+        motivo.when(F.col("costoDirecto").isNull(), "costo directo no numérico")
+        .when((total(sums("n")) == 0) & F.col("_m").isNull(), "sin líneas")
+        .when(negative, "valor negativo")
+        .when(_any([F.abs(a - b) > tolerance for a, b in zip(found, declared, strict=True)]), "aritmética: secciones")
+        .when(F.abs(total(declared) - F.col("costoDirecto")) > tolerance, "aritmética: costo directo")
+        .when(F.abs(F.col("_i") - F.col("costoDirecto")) > tolerance, "costo distinto del índice")
     )
     return joined.select(*SHEET, motivo.alias("motivo"))
+
+
+def reject_files(
+    cells: DataFrame,
+    regions: DataFrame | None = None,
+    n_sheets: int = HOJAS_ESPERADAS,
+    n_items: int = ITEMS_ESPERADOS,
+    support: tuple[str, ...] = HOJAS_DE_APOYO,
+) -> DataFrame:
+    """Every workbook once: accepted (``motivo`` null) or rejected as a whole for
+    the first of: structure, region (``regions`` from :func:`region_resolve`),
+    cover, index, supply listings."""
+    sheets = cells.select(*SHEET).distinct()
+
+    def faults(order: int, rows: DataFrame, motivo: Column) -> DataFrame:
+        return rows.select("archivo", F.struct(F.lit(order).alias("o"), motivo.alias("m")).alias("x"))
+
+    structure = structure_violations(sheets, n_sheets, n_items, support)
+    cover = cover_attributes(cells)
+    lacking = F.when(F.col("departamento").isNull(), "portada: sin departamento").when(F.col("provincia").isNull(), "portada: sin provincia")
+    found = [
+        faults(0, structure, F.concat(F.lit("estructura: "), "regla")),
+        faults(2, cover.withColumn("_l", lacking).where(F.col("_l").isNotNull()), F.col("_l")),
+        faults(3, index_faults(cells), F.concat(F.lit("índice: "), "motivo")),
+        faults(4, listing_faults(cells), F.concat(F.lit("insumos: "), "motivo")),
+    ]
+    if regions is not None:
+        found.append(faults(1, regions.where(F.col("motivo").isNotNull()), F.concat(F.lit("región: "), "motivo")))
+    first = reduce(lambda a, b: a.unionByName(b), found).groupBy("archivo").agg(F.min("x")["m"].alias("motivo"))
+    return sheets.select("archivo").distinct().join(first, "archivo", "left")

@@ -254,18 +254,67 @@ def region_resolve(spark, sf):
     return X.region_resolve(region_from_filename(spark, sf))
 
 
+def _defective(cells):
+    """Form defects by the last digit of the sheet name: 7, another minor-tools code; 8, no base; 4, no
+    description in the line rows; 5, no subtotal label check but a cost one peso off."""
+    item, last = F.col("hoja").rlike("^[0-9]+,[0-9]+$"), F.right("hoja", F.lit(1))
+    tools = item & (F.col("fila") == 52)
+    kept = cells.where(
+        ~(tools & (F.col("columna") == "K") & (last == "8")) & ~(item & (F.col("fila") == 1002) & (F.col("columna") == "C") & (last == "4"))
+    )
+    return kept.withColumns(
+        {
+            "texto": F.when(tools & (F.col("columna") == "B") & (last == "7"), "OTRO").otherwise(F.col("texto")),
+            "numero": F.when(item & (F.col("fila") == 101) & (last == "5"), F.col("numero") + 1).otherwise(F.col("numero")),
+        }
+    )
+
+
 @query(
     "reject_rows",
     sql(
         "SELECT h.archivo, h.hoja, CASE WHEN v.regla IS NOT NULL THEN 'formato: '||v.regla WHEN h.k%23=0 THEN 'código distinto del nombre de la hoja' "
-        "WHEN h.k%2<>0 AND h.k%3<>0 AND i.unidad IS NULL THEN 'sin unidad' WHEN h.k%19=0 THEN 'subtotal no numérico' END AS motivo FROM hojas h LEFT JOIN "
+        "WHEN h.k%2<>0 AND h.k%3<>0 AND i.unidad IS NULL THEN 'sin unidad' WHEN d='4' AND s.segunda THEN 'línea incompleta' "
+        "WHEN h.k%3=0 AND d='7' THEN 'herramienta menor: código inesperado' WHEN h.k%3=0 AND d='8' THEN 'herramienta menor: base no numérica' "
+        "WHEN h.k%19=0 THEN 'subtotal no numérico' WHEN coalesce(s.n,0)=0 AND h.k%3<>0 THEN 'sin líneas' "
+        "WHEN h.k%3=0 AND floor(manoDeObra*0.05::DOUBLE*100+0.5)/100>0.011 THEN 'aritmética: secciones' WHEN d='5' THEN 'aritmética: costo directo' "
+        "WHEN abs(i.pr*4-h.total)>0.011 THEN 'costo distinto del índice' END AS motivo FROM (SELECT *, right(hoja,1) AS d FROM hojas) h LEFT JOIN "
         f"(SELECT archivo, hoja, arg_min(regla, orden) AS regla FROM ({VIOLATIONS}) GROUP BY ALL) v ON v.archivo=h.archivo AND v.hoja=h.hoja "
-        "LEFT JOIN indice i ON i.archivo=h.archivo AND i.hoja=h.hoja",
+        "LEFT JOIN indice i ON i.archivo=h.archivo AND i.hoja=h.hoja "
+        "LEFT JOIN (SELECT archivo, hoja, count(*) AS n, bool_or(fila=1002) AS segunda FROM filas WHERE l_tax>0 AND l_discount>0 GROUP BY ALL) s ON s.archivo=h.archivo AND s.hoja=h.hoja",
         "hojas", "indice",
     ),
 )
 def reject_rows(spark, sf):
-    return X.reject_rows(T.cells(spark, sf), X.index_rows(T.cells(spark, sf)), WIDE)
+    cells = _defective(T.cells(spark, sf))
+    return X.reject_rows(cells, X.index_rows(cells), WIDE)
+
+
+@query(
+    "reject_files",
+    sql(
+        f"WITH n AS (SELECT archivo, count(*) AS hojas, count(*) FILTER (WHERE regexp_full_match(hoja, '\\d+(,\\d+)*')) AS items FROM ({SHEETS}) GROUP BY archivo), "
+        "f AS (SELECT 'LIBRO_'||CAST(p_partkey//100 AS VARCHAR) AS archivo, bool_or(p_partkey%100=0) AS portada, bool_or(p_partkey%100=4) AS cuarta, bool_or(p_partkey%100=8) AS octava FROM part GROUP BY ALL) "
+        "SELECT n.archivo, CASE WHEN hojas<>106 THEN 'estructura: hojas' WHEN items<>99 THEN 'estructura: items' WHEN NOT portada THEN 'estructura: falta' "
+        "WHEN right(n.archivo,1)='3' THEN 'portada: sin departamento' WHEN right(n.archivo,1)='4' THEN 'portada: sin provincia' "
+        "WHEN right(n.archivo,1)='5' THEN 'índice: sin descripción' WHEN right(n.archivo,1)='6' THEN 'índice: importe no numérico' "
+        "WHEN right(n.archivo,1)='7' THEN 'insumos: sin descripción' WHEN right(n.archivo,1)='8' THEN 'insumos: sin unidad' END AS motivo FROM n LEFT JOIN f USING (archivo)",
+        "pos",
+    ).replace(" WITH n AS", ", n AS", 1),
+)
+def reject_files(spark, sf):
+    """Each kind of fault in the workbooks whose number ends in one digit."""
+    last = F.right("archivo", F.lit(1))
+
+    def gone(digit, hoja, columns, row=None):
+        at = F.col("hoja") == hoja if row is None else (F.col("hoja") == hoja) & (F.col("fila") == row)
+        return (last == digit) & at & F.col("columna").isin(*columns)
+
+    cells = T.cells(spark, sf).where(
+        ~(gone("3", "PORTADA", "D", 24) | gone("4", "PORTADA", ["F", "CL"], 24) | gone("5", "ÍNDICE", "F", 9) | gone("6", "ÍNDICE", "K", 9)
+          | gone("7", "EQUIPO", "E", 7) | gone("8", "MATERIALES", "D"))
+    )
+    return X.reject_files(cells, n_sheets=106, n_items=99, support=("PORTADA",))
 
 
 @query(
