@@ -15,12 +15,14 @@ import time
 
 from pyspark.sql import functions as F
 
-from preciario.operators import aggregates as A
+from preciario.constants import VIGENCIA
+from preciario.operators import aggregates as A, extract as X
 from preciario.plans.registry import QUERIES, load_all
 from preciario.plans.storage import LOOKUP, _provenance
-from preciario.session import build_session, scratch_path, size_shuffles, written
-from preciario.sources import storage as S
+from preciario.session import build_session, scratch_path, size_shuffles
+from preciario.sources import schemas, storage as S
 from preciario.sources import tables as T
+from preciario.sources.layout import SECCIONES_ANCHAS
 
 HEADLINE = [
     "catalog",
@@ -59,15 +61,19 @@ HEADLINE = [
 def build(spark, sf_dir: str) -> dict[str, str]:
     """Everything the batch publishes, from the raw tables."""
     out = scratch_path(spark, "build")
+    for name, rows, schema in (("apus", T.facts(spark, sf_dir), schemas.APUS), ("insumos", T.supplies(spark, sf_dir), schemas.INSUMOS)):
+        S.sink_staging(rows, f"{out}/staging-{name}", schema)
     lineas = S.sink_lineas(T.with_order(T.lines(spark, sf_dir)), f"{out}/lineas")
-    S.sink_insumos(T.supplies(spark, sf_dir), f"{out}/insumos")
-    apus = S.sink_apus(T.facts(spark, sf_dir), f"{out}/apus")
+    S.sink_insumos(S.scan_staging(spark, f"{out}/staging-insumos", schemas.INSUMOS), f"{out}/insumos")
+    apus = S.sink_apus(S.scan_staging(spark, f"{out}/staging-apus", schemas.APUS), f"{out}/apus")
     facts = spark.read.parquet(apus)
     S.sink_item_docs(A.item_document(facts), _provenance(), f"{out}/items")
     S.sink_province_docs(A.province_document(facts), _provenance(), f"{out}/provincias")
-    S.sink_catalog(written(A.catalog(facts), "catalogo"), f"{out}/catalogo")
-    count = spark.read.parquet(lineas).agg(F.count(F.lit(1)).alias("n")).scalar()
-    S.sink_stats(A.stats_counts(facts, count, F.lit(0), F.lit(0)), f"{out}/stats")
+    S.sink_catalog(A.catalog(facts), f"{out}/catalogo")
+    unresolved = X.unresolved_lines(T.line_cells(spark, sf_dir), SECCIONES_ANCHAS)
+    tables = (spark.read.parquet(lineas), spark.read.parquet(f"{out}/insumos"), unresolved)
+    document = A.stats_document(facts, *(t.agg(F.count(F.lit(1)).alias("n")).scalar() for t in tables))
+    S.sink_stats(document.select(*S.header(_provenance(), F.lit(VIGENCIA)), *document.columns), f"{out}/stats")
     return {"lineas": lineas, "apus": apus}
 
 

@@ -11,15 +11,18 @@ whole group in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from preciario.constants import COMPONENTES
-from preciario.functions.codes import chapter_name, chapter_number, natural_key
+from preciario.functions.codes import chapter_name, chapter_number, component_order, natural_key
 from preciario.functions.money import mean_ratio, round_money, sum_money
 from preciario.functions.ordering import group_median
 from preciario.functions.text import title
 from preciario.operators.extract import department_name
+from preciario.sources.schemas import COLUMNAS_DESGLOSE
 
 STATS = ("min", "max", "mediana", "promedio")
 
@@ -335,6 +338,19 @@ def breakdown(lines: DataFrame) -> DataFrame:
     return parts.join(whole, ["codigo", "slug"])
 
 
+def breakdown_lines(lines: DataFrame) -> DataFrame:
+    """The whole breakdown of each item and region, one row per line: components
+    in the order of the printed form, lines by ``orden``, with the component's
+    subtotal and the total.  ``posicion`` numbers the components that are there."""
+    totals = breakdown(lines)
+    present = totals.groupBy("codigo", "slug").agg(F.array_sort(F.collect_set(component_order(F.col("componente")))).alias("_c"))
+    placed = totals.join(present, ["codigo", "slug"]).withColumn(
+        "posicion", F.array_position("_c", component_order(F.col("componente"))).cast("int")
+    )
+    placed = placed.withColumnRenamed("subtotal", "subtotalComponente").drop("_c", "lineas")
+    return lines.select(*COLUMNAS_DESGLOSE).join(placed, ["codigo", "slug", "componente"])
+
+
 def unresolved_by_item(unresolved: DataFrame) -> DataFrame:
     return unresolved.groupBy("hoja").agg(F.count(F.lit(1)).alias("n"))
 
@@ -349,6 +365,33 @@ def apus_with_data(composition: DataFrame) -> DataFrame:
     return composition.agg(F.coalesce(F.sum("apus"), F.lit(0)).alias("apusConDato"))
 
 
+def stats_document(facts: DataFrame, n_lines: Column, n_supplies: Column, n_unresolved: Column) -> DataFrame:
+    """The statistics as one row: counts, national summary, chapters,
+    constructive chapters, departments and the two extreme provinces.  Its arrays
+    hold a row per chapter or department, bounded by those dimensions."""
+    summary = province_summary(facts)
+    whole = agg_positive(facts, []).select(F.struct(*STATS).alias("costoDirecto"))
+
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(name))
+
+    counts = stats_counts(facts, n_lines, n_supplies, n_unresolved)
+    ends = extreme_provinces(summary)
+    place = F.struct("slug", "departamento", "provincia", "medianaCostoDirecto")
+    notable = ends.agg(*(F.max(F.when(F.col("tipo") == t, place)).alias(t) for t in ("provinciaMasCara", "provinciaMasBarata")))
+    parts = [
+        counts.select(F.struct(*counts.columns).alias("conteos")),
+        whole,
+        gathered(items_per_chapter(facts).select("capitulo", "items"), "capitulos"),
+        gathered(items_per_constructive_chapter(facts).select("numero", "nombre", "items"), "capitulosInvias"),
+        gathered(provinces_per_department(facts).select("codigoDane", "nombre", "provincias"), "departamentos"),
+        notable.select(F.struct("provinciaMasCara", "provinciaMasBarata").alias("notables")),
+    ]
+    # each part is one row
+    keyed = [part.withColumn("_k", F.lit(1)) for part in parts]
+    return reduce(lambda a, b: a.join(b, "_k"), keyed).drop("_k")
+
+
 def output_sizes(files: DataFrame) -> DataFrame:
     """Number of files, total bytes, and the largest one."""
     return files.agg(

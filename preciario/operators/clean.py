@@ -129,21 +129,14 @@ def nested_apu(facts: DataFrame, lineas: Column) -> DataFrame:
     )
 
 
-def component_lines() -> Column:
-    """One line struct per component with an amount, as an array."""
-    each = [
-        F.struct(
-            F.lit(c).alias("componente"),
-            F.concat(F.lit("T-"), F.lit(c)).alias("codigo"),
-            F.lit(c).alias("descripcion"),
-            F.col("unidad"),
-            F.lit(1.0).alias("cantidad"),
-            F.col(c).alias("precioUnitario"),
-            F.col(c).alias("subtotal"),
-        )
-        for c in COMPONENTES
-    ]
-    return F.filter(F.array(*each), lambda line: line["subtotal"] > 0)
+def nested_lines(lines: DataFrame) -> DataFrame:
+    """The lines of each item and region as one array in sheet order: what a
+    nested document holds, so it is as long as the document."""
+    line = F.struct(
+        "orden", "componente", F.col("codigoInsumo").alias("codigo"), "descripcion", "unidad", "unidadCruda", "cantidad", "precioUnitario",
+        "subtotal", "porcentaje", "base", "distancia", "jornal", "factorPrestacional",
+    )
+    return lines.groupBy("codigo", "slug").agg(F.array_sort(F.collect_list(line)).alias("lineas"))
 
 
 def flatten_apu(nested: DataFrame) -> DataFrame:
@@ -174,20 +167,28 @@ def flatten_apu(nested: DataFrame) -> DataFrame:
 
 def explode_lines(nested: DataFrame) -> DataFrame:
     """One row per line, numbered from 1 in document order."""
-    keys = ["vigencia", "region.slug", "codigo"]
-    flat = nested.select(*keys, F.posexplode("lineas").alias("pos", "linea"))
+    flat = nested.select("vigencia", "region", "codigo", F.posexplode("lineas").alias("pos", "linea"))
     return flat.select(
         "vigencia",
-        "slug",
+        F.col("region.codigo").alias("regionCodigo"),
+        "region.slug",
+        "region.departamento",
+        "region.provincia",
         "codigo",
         (F.col("pos") + 1).alias("orden"),
         "linea.componente",
         F.col("linea.codigo").alias("codigoInsumo"),
         "linea.descripcion",
         "linea.unidad",
+        "linea.unidadCruda",
         "linea.cantidad",
         "linea.precioUnitario",
         money.round_money(F.col("linea.subtotal")).alias("subtotal"),
+        "linea.porcentaje",
+        money.round_money(F.col("linea.base")).alias("base"),
+        "linea.distancia",
+        "linea.jornal",
+        "linea.factorPrestacional",
     )
 
 
@@ -197,10 +198,13 @@ def explode_supplies(lists: DataFrame) -> DataFrame:
         "vigencia",
         F.col("i.region.codigo").alias("regionCodigo"),
         "i.region.slug",
+        "i.region.departamento",
+        "i.region.provincia",
         F.col("i.codigo").alias("codigoInsumo"),
         "i.componente",
         "i.descripcion",
         "i.unidad",
+        "i.unidadCruda",
         "i.categoria",
         "i.precio",
         "i.factorPrestacional",

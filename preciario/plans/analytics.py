@@ -255,9 +255,19 @@ BREAKDOWN = (
 )
 
 
-@query("breakdown", sql(BREAKDOWN, "lineas"))
+@query(
+    "breakdown",
+    sql(
+        "SELECT o.codigo, o.slug, o.orden, o.componente, o.codigoInsumo, o.descripcion, o.unidad, o.unidadCruda, o.cantidad, o.precioUnitario, CAST(o.subtotal AS DOUBLE) AS subtotal, "
+        "NULL::DOUBLE AS porcentaje, NULL::DOUBLE AS base, o.distancia, o.jornal, o.factorPrestacional, b.subtotal AS subtotalComponente, b.total, b.lineasTotal, "
+        "CAST(b.posicion AS INTEGER) AS posicion FROM ordenadas o JOIN (SELECT *, row_number() OVER (PARTITION BY codigo, slug ORDER BY "
+        f"list_position(['equipo','materiales','transporte','manoDeObra'], componente)) AS posicion FROM ({BREAKDOWN})) b "
+        "ON o.codigo=b.codigo AND o.slug=b.slug AND o.componente=b.componente",
+        "ordenadas",
+    ),
+)
 def breakdown(spark, sf):
-    return A.breakdown(T.lines(spark, sf))
+    return A.breakdown_lines(T.with_order(T.lines(spark, sf)))
 
 
 @query("unresolved_by_item", sql("SELECT hoja, count(*) AS n FROM filas WHERE l_tax>0 AND NOT l_discount>0 GROUP BY hoja", "filas"))

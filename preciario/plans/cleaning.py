@@ -17,7 +17,8 @@ COMPONENTES = ("equipo", "materiales", "transporte", "manoDeObra")
 
 
 def _nested(spark, sf):
-    return clean.nested_apu(T.facts(spark, sf), clean.component_lines())
+    lines = clean.nested_lines(T.with_order(T.lines(spark, sf)))
+    return clean.nested_apu(T.facts(spark, sf).join(lines, ["codigo", "slug"]), F.col("lineas"))
 
 
 @query(
@@ -37,11 +38,9 @@ def flatten_apu(spark, sf):
 @query(
     "explode_lines",
     sql(
-        "SELECT vigencia, slug, codigo, CAST(row_number() OVER (PARTITION BY codigo, slug ORDER BY o) AS INTEGER) AS orden, componente, 'T-'||componente AS codigoInsumo, "
-        "componente AS descripcion, unidad, 1.0::DOUBLE AS cantidad, v AS precioUnitario, " + rounded("v") + " AS subtotal FROM ("
-        + " UNION ALL ".join(f"SELECT vigencia, slug, codigo, unidad, {i} AS o, '{c}' AS componente, {c} AS v FROM apus" for i, c in enumerate(COMPONENTES))
-        + ") WHERE v>0",
-        "apus",
+        "SELECT vigencia, regionCodigo, slug, departamento, provincia, codigo, orden, componente, codigoInsumo, descripcion, unidad, unidadCruda, cantidad, precioUnitario, "
+        "CAST(subtotal AS DOUBLE) AS subtotal, NULL::DOUBLE AS porcentaje, NULL::DOUBLE AS base, distancia, jornal, factorPrestacional FROM ordenadas",
+        "ordenadas",
     ),
 )
 def explode_lines(spark, sf):
@@ -51,19 +50,18 @@ def explode_lines(spark, sf):
 @query(
     "explode_supplies",
     sql(
-        "SELECT vigencia, regionCodigo, slug, codigoInsumo, componente, descripcion, unidad, categoria, precio, factorPrestacional FROM insumos",
+        "SELECT vigencia, regionCodigo, slug, departamento, provincia, codigoInsumo, componente, descripcion, unidad, unidadCruda, categoria, precio, factorPrestacional FROM insumos",
         "insumos",
     ),
 )
 def explode_supplies(spark, sf):
-    """Lists nest at most 64 supplies each: a region's list comes in blocks."""
-    supplies = T.supplies(spark, sf).withColumn("bloque", F.expr("cast(substring(codigoInsumo, 2) as bigint) div 64"))
+    """One list per region, as published."""
     entry = F.struct(
         F.col("codigoInsumo").alias("codigo"),
-        *("componente", "descripcion", "unidad", "categoria", "precio", "factorPrestacional"),
-        F.struct(F.col("regionCodigo").alias("codigo"), "slug").alias("region"),
+        *("componente", "descripcion", "unidad", "unidadCruda", "categoria", "precio", "factorPrestacional"),
+        F.struct(F.col("regionCodigo").alias("codigo"), "slug", "departamento", "provincia").alias("region"),
     )
-    lists = supplies.groupBy("vigencia", "slug", "bloque").agg(F.collect_list(entry).alias("insumos"))
+    lists = T.supplies(spark, sf).groupBy("vigencia", "slug").agg(F.collect_list(entry).alias("insumos"))
     return clean.explode_supplies(lists.select(F.struct("vigencia").alias("procedencia"), "insumos"))
 
 

@@ -3,15 +3,18 @@ folder and reads back what it wrote."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from preciario.functions.money import sum_money
-from preciario.operators import aggregates as A
-from preciario.plans.oracle import sql
+from preciario.operators import aggregates as A, extract as X
+from preciario.plans.oracle import sql, stats
 from preciario.plans.registry import query
 from preciario.session import scratch_path
 from preciario.sources import schemas, storage as S
 from preciario.sources import tables as T
+from preciario.sources.layout import SECCIONES_ANCHAS
 
 APU_COLUMNS = ", ".join(f.name for f in schemas.APUS)
 LINE_COLUMNS = (
@@ -181,21 +184,65 @@ def sink_province_docs(spark, sf):
     )
 
 
+def _stats(spark, sf):
+    """The statistics document with real counts, written below the shared folder."""
+    unresolved = X.unresolved_lines(T.line_cells(spark, sf), SECCIONES_ANCHAS)
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).scalar() for df in (T.lines(spark, sf), T.supplies(spark, sf), unresolved)]
+    document = A.stats_document(T.facts(spark, sf), *counts)
+    return S.sink_stats(document.select(*S.header(_provenance(), F.lit("2026-1")), *document.columns), scratch_path(spark, "stats"))
+
+
 @query(
     "sink_catalog_stats",
     sql(
-        "SELECT codigo, descripcion, unidadCruda, capituloNumero, clasificacion, mediana, conDato AS provinciasConDato, (SELECT count(*) FROM apus) AS apus FROM cat",
-        "cat",
+        "SELECT 'catalogo' AS parte, codigo AS clave, descripcion AS nombre, mediana AS valor, conDato AS n FROM cat UNION ALL "
+        "SELECT 'conteos', k, NULL, NULL, v FROM (SELECT 'items' AS k, count(DISTINCT codigo) AS v FROM apus UNION ALL SELECT 'provincias', count(DISTINCT slug) FROM apus UNION ALL "
+        "SELECT 'departamentos', count(DISTINCT regionCodigoDane) FROM apus UNION ALL SELECT 'apus', count(*) FROM apus UNION ALL SELECT 'lineas', count(*) FROM lineas UNION ALL "
+        "SELECT 'insumos', count(*) FROM insumos UNION ALL SELECT 'lineasSinResolver', count(*) FROM filas WHERE l_tax>0 AND NOT l_discount>0) UNION ALL "
+        f"SELECT 'costoDirecto', k, NULL, v, NULL FROM (SELECT {stats()} FROM apus) UNPIVOT (v FOR k IN (min, max, mediana, promedio)) UNION ALL "
+        "SELECT 'capitulos', capitulo, NULL, NULL, count(DISTINCT codigo) FROM apus GROUP BY capitulo UNION ALL "
+        "SELECT 'capitulosInvias', CAST(capituloNumero AS VARCHAR), arg_min(capituloNombre, (archivo, list_transform(string_split(codigo,'.'), lambda p: CAST(p AS BIGINT)))), NULL, count(DISTINCT codigo) "
+        "FROM apus WHERE capituloNumero IS NOT NULL GROUP BY capituloNumero UNION ALL "
+        "SELECT 'departamentos', regionCodigoDane, CASE regionCodigoDane WHEN '05' THEN 'Antioquia' WHEN '08' THEN 'Atlántico' WHEN '11' THEN 'Bogotá D.C.' WHEN '17' THEN 'Caldas' ELSE max(departamento) END, NULL, count(DISTINCT slug) "
+        "FROM apus GROUP BY regionCodigoDane UNION ALL "
+        "SELECT 'notables', 'provinciaMasBarata', arg_min(slug, (mediana, slug)), min(mediana), NULL FROM prov UNION ALL "
+        "SELECT 'notables', 'provinciaMasCara', arg_max(slug, (mediana, slug)), max(mediana), NULL FROM prov UNION ALL "
+        "SELECT 'cabecera', '0.1.0', 'Abierta', NULL, NULL",
+        "cat", "prov", "insumos", "filas",
     ),
 )
 def sink_catalog_stats(spark, sf):
+    """Catalog and statistics as published, every section in rows of one shape."""
     facts = T.facts(spark, sf)
-    items = S.sink_catalog(A.catalog(facts), scratch_path(spark, "catalogo"))
-    counts = A.stats_counts(facts, F.lit(0), F.lit(0), F.lit(0)).select(*S.header(_provenance(), F.lit("2026-1")), F.struct("items", "provincias", "apus").alias("conteos"))
-    stats = S.sink_stats(counts, scratch_path(spark, "stats"))
-    apus = S.scan_staging(spark, stats, "conteos struct<items: long, provincias: long, apus: long>").select("conteos.apus").scalar()
-    rows = S.scan_staging(spark, items, schemas.DOC_CATALOGO_ITEM)
-    return rows.select("codigo", "descripcion", "unidadCruda", "capituloNumero", "clasificacion", "costoDirecto.mediana", "provinciasConDato", apus.alias("apus"))
+    catalog = S.scan_staging(spark, S.sink_catalog(A.catalog(facts), scratch_path(spark, "catalogo")), schemas.DOC_CATALOGO_ITEM)
+    document = S.scan_staging(spark, _stats(spark, sf), schemas.DOC_STATS)
+    none = F.lit(None)
+
+    def rows(df, part, key, name=none, value=none, n=none):
+        return df.select(
+            F.lit(part).alias("parte"), key.cast("string").alias("clave"), name.cast("string").alias("nombre"), value.cast("double").alias("valor"), n.cast("long").alias("n")
+        )
+
+    def section(name, *columns):
+        return document.select(F.explode(name).alias("x")).select(*(f"x.{c}" for c in columns))
+
+    def pairs(struct, names):
+        each = F.array(*(F.struct(F.lit(c).alias("k"), F.col(f"{struct}.{c}").alias("v")) for c in names))
+        return document.select(F.explode(each).alias("x")).select("x.*")
+
+    counts = ("items", "provincias", "departamentos", "apus", "lineas", "insumos", "lineasSinResolver")
+    ends = pairs("notables", ("provinciaMasCara", "provinciaMasBarata"))
+    out = [
+        rows(catalog, "catalogo", F.col("codigo"), F.col("descripcion"), F.col("costoDirecto.mediana"), F.col("provinciasConDato")),
+        rows(pairs("conteos", counts), "conteos", F.col("k"), n=F.col("v")),
+        rows(pairs("costoDirecto", A.STATS), "costoDirecto", F.col("k"), value=F.col("v")),
+        rows(section("capitulos", "capitulo", "items"), "capitulos", F.col("capitulo"), n=F.col("items")),
+        rows(section("capitulosInvias", "numero", "nombre", "items"), "capitulosInvias", F.col("numero"), F.col("nombre"), n=F.col("items")),
+        rows(section("departamentos", "codigoDane", "nombre", "provincias"), "departamentos", F.col("codigoDane"), F.col("nombre"), n=F.col("provincias")),
+        rows(ends, "notables", F.col("k"), F.col("v.slug"), F.col("v.medianaCostoDirecto")),
+        rows(document, "cabecera", F.col("schemaVersion"), F.col("procedencia.licencia")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @query(
@@ -217,15 +264,35 @@ def list_region_keys(spark, sf):
     return S.list_region_keys(T.facts(spark, sf))
 
 
-@query("file_manifest")
+def _files(spark, sf):
+    """The pages as if each were a file: named like a workbook, oddly, or as a temporary file."""
+    key = F.col("page_id").cast("string")
+    name = (
+        F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("~$APU_0505_A__B_2026_1.xlsx")))
+        .when(F.col("page_id") % 5 == 2, F.concat(F.lit("notas "), key))
+        .otherwise(F.concat(F.lit("APU_"), F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0"), F.lit("_Depto "), key, F.lit("__Prov "), key, F.lit("_2026_1.xlsx")))
+    )
+    content = F.coalesce("html", F.lit(""))
+    return T.read(spark, sf, "pages").select(
+        F.concat(F.lit("/libros/"), name).alias("path"), F.octet_length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256")
+    )
+
+
+FILES = (
+    "SELECT CASE WHEN page_id%5=2 THEN 'notas '||CAST(page_id AS VARCHAR) ELSE 'APU_'||lpad(CAST(page_id%10000 AS VARCHAR),4,'0')||'_Depto '||CAST(page_id AS VARCHAR)||'__Prov '||CAST(page_id AS VARCHAR)||'_2026_1.xlsx' END AS filename, "
+    "CASE WHEN page_id%5=2 THEN '' ELSE lpad(CAST(page_id%10000 AS VARCHAR),4,'0') END AS codigo, CASE WHEN page_id%5=2 THEN '' ELSE 'Depto '||CAST(page_id AS VARCHAR) END AS departamento, "
+    "CASE WHEN page_id%5=2 THEN '' ELSE 'Prov '||CAST(page_id AS VARCHAR) END AS provincia, CAST(strlen(coalesce(html,'')) AS BIGINT) AS bytes, sha256(coalesce(html,'')) AS sha256 FROM pages WHERE page_id%7<>3"
+)
+
+
+@query("file_manifest", FILES)
 def file_manifest(spark, sf):
-    return S.file_manifest(spark, sf, "*.parquet")
+    return S.file_manifest(_files(spark, sf))
 
 
-@query("output_sizes")
+@query("output_sizes", f"SELECT count(*) AS archivos, CAST(sum(bytes) AS BIGINT) AS bytes, max(bytes) AS mayor, arg_max(filename, (bytes, filename)) AS archivoMayor FROM ({FILES})")
 def output_sizes(spark, sf):
-    path = S.sink_apus(T.facts(spark, sf), scratch_path(spark, "apus"))
-    return A.output_sizes(S.output_files(spark, path))
+    return A.output_sizes(S.file_manifest(_files(spark, sf)))
 
 
 @query(

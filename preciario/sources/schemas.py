@@ -147,6 +147,17 @@ DOC_CATALOGO_ITEM = _struct(
     *_ITEM, ("clasificacion", _S), ("costoDirecto", AGREGADOS), ("provinciasConDato", _L)
 )
 
+_PROVINCIA = _struct(("slug", _S), ("departamento", _S), ("provincia", _S), ("medianaCostoDirecto", _D))
+DOC_STATS = _struct(
+    *CABECERA,
+    ("conteos", _struct(*((c, _L) for c in ("items", "provincias", "departamentos", "apus", "lineas", "insumos", "lineasSinResolver")))),
+    ("costoDirecto", AGREGADOS),
+    ("capitulos", T.ArrayType(_struct(("capitulo", _S), ("items", _L)))),
+    ("capitulosInvias", T.ArrayType(_struct(("numero", _I), ("nombre", _S), ("items", _L)))),
+    ("departamentos", T.ArrayType(_struct(("codigoDane", _S), ("nombre", _S), ("provincias", _L)))),
+    ("notables", _struct(("provinciaMasCara", _PROVINCIA), ("provinciaMasBarata", _PROVINCIA))),
+)
+
 MANIFIESTO = _struct(
     ("vigencia", _S), ("fuente", _S), ("url", _S), ("fechaDescarga", _S), ("licencia", _S)
 )

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,28 +224,40 @@ def province_doc(docs: DataFrame, slug: str) -> DataFrame:
 # ---------------------------------------------------------------- files
 
 
-def file_manifest(spark: SparkSession, folder: str, glob: str = "*.xlsx") -> DataFrame:
-    """Inventory of source files: parts of the name, bytes, SHA-256.
-
-    Files whose name does not fit stay, with empty parts.  Hashing is one task
-    per file.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+def file_manifest(files: DataFrame) -> DataFrame:
+    """Inventory of source files (path, bytes, sha256): parts of the name, bytes,
+    SHA-256.  Files whose name does not fit stay, with empty parts; temporary
+    files of an open workbook go."""
     name = F.element_at(F.split("path", "/"), -1)
 
     def part(group: int) -> Column:
         return F.regexp_extract(name, C.PATRON_ARCHIVO_MANIFIESTO, group)
 
     return files.where(~name.startswith("~$")).select(
-        name.alias("filename"),
-        part(1).alias("codigo"),
-        part(2).alias("departamento"),
-        part(3).alias("provincia"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+        name.alias("filename"), part(1).alias("codigo"), part(2).alias("departamento"), part(3).alias("provincia"), "bytes", "sha256"
     )
 
 
+def hashed_files(spark: SparkSession, folder: str, glob: str = "*.xlsx") -> DataFrame:
+    """path, bytes and SHA-256 of the files of a folder.  Each file is read as a
+    stream by one task, so its size doesn't matter."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+
+    def run(batches):
+        for batch in batches:
+            digests = []
+            for path in batch.column("path").to_pylist():
+                store, name = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+                digest = hashlib.sha256()
+                with store.open_input_stream(name, compression=None) as stream:
+                    while chunk := stream.read(1 << 22):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(digests, pa.string())], ["path", "bytes", "sha256"])
+
+    return listed.select("path", F.col("length").alias("bytes")).mapInArrow(run, "path string, bytes long, sha256 string")
+
+
 def manifest_totals(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count(F.lit(1)).alias("archivos"), F.sum("bytes").alias("bytesTotales"))
 

@@ -30,6 +30,8 @@ def test_manifest_hashes(spark):
     import hashlib
     import pathlib
 
-    found = {r.filename: (r.bytes, r.sha256, r.codigo) for r in QUERIES["file_manifest"](spark, SF).collect()}
+    from preciario.sources import storage as S
+
+    found = {r.filename: (r.bytes, r.sha256, r.codigo) for r in S.file_manifest(S.hashed_files(spark, SF, "*.parquet")).collect()}
     expected = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest(), "") for p in pathlib.Path(SF).glob("*.parquet")}
     assert found == expected
