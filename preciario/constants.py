@@ -90,6 +90,7 @@ PATRON_CODIGO = r"^\d{3}(\.\d+)*\z"
 PATRON_CAPITULO = r"^\d{3}\z"
 PATRON_SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*\z"
 PATRON_REGION = r"^\d{4}\z"
+PATRON_DANE = r"^\d{2}\z"
 PATRON_VIGENCIA = r"^\d{4}-[12]\z"
 PATRON_FECHA = r"^\d{4}-\d{2}-\d{2}\z"
 PATRON_HOJA_ITEM = r"^\d+(,\d+)*\z"

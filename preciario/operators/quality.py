@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +122,75 @@ def catalog_rules() -> list[Regla]:
     ]
 
 
+def header_rules() -> list[Regla]:
+    """Rules of the head of every published document."""
+    return [
+        Regla("schemaVersion: desconocida", F.coalesce(F.col("schemaVersion"), F.lit("")) != C.SCHEMA_VERSION, F.col("schemaVersion")),
+        matches("vigencia", C.PATRON_VIGENCIA),
+        *(required(c) for c in ("generadoPor", "nota")),
+        Regla("procedencia: obligatoria", F.col("procedencia").isNull(), F.lit(None).cast("string")),
+    ]
+
+
+def _none_of(column: str, name: str, bad) -> Regla:
+    """No element of an array may be bad; the value is the number of those that are."""
+    wrong = F.size(F.filter(F.coalesce(F.col(column), F.array()), lambda x: F.coalesce(bad(x), F.lit(True))))
+    return Regla(f"{column}: {name}", wrong > 0, wrong)
+
+
+def _at_least_one(column: str) -> Regla:
+    return Regla(f"{column}: al menos uno", F.coalesce(F.size(column), F.lit(0)) < 1, F.lit(None).cast("string"))
+
+
+def item_rules() -> list[Regla]:
+    """Rules of an item document, head included."""
+    amounts = [f"agregados.{c}" for c in ("min", "max", "mediana", "promedio")]
+    return [
+        *header_rules(),
+        matches("codigo", C.PATRON_CODIGO),
+        *(required(c) for c in ("descripcion", "unidad")),
+        matches("capitulo", C.PATRON_CAPITULO),
+        when_present(Regla("capituloNumero: no positivo", F.col("capituloNumero") < 1, F.col("capituloNumero")), "capituloNumero"),
+        *(not_blank(c) for c in ("unidadCruda", "capituloNombre", "articulo", "clasificacion", "notaFuente")),
+        *(non_negative(c) for c in (*amounts, "provinciasConDato")),
+        _at_least_one("regiones"),
+        _none_of("regiones", "slug", lambda r: ~r["region"]["slug"].rlike(C.PATRON_SLUG)),
+        _none_of("regiones", "costo negativo", lambda r: r["costoDirecto"] < 0),
+        *(_none_of("regiones", f"{c} negativo", lambda r, c=c: r["totales"][c] < 0) for c in C.COMPONENTES),
+    ]
+
+
+def province_item_rules() -> list[Regla]:
+    """Rules of a province document's item list."""
+    return [
+        _at_least_one("items"),
+        _none_of("items", "codigo", lambda i: ~i["codigo"].rlike(C.PATRON_CODIGO)),
+        _none_of("items", "titulo", lambda i: trim_all(i["titulo"]) == ""),
+        _none_of("items", "capitulo", lambda i: ~i["capitulo"].rlike(C.PATRON_CAPITULO)),
+        _none_of("items", "costo negativo", lambda i: i["costoDirecto"] < 0),
+    ]
+
+
+def stats_document_rules() -> list[Regla]:
+    """Rules of the statistics document: head, counts, arrays, extremes."""
+    counts = ("items", "provincias", "departamentos", "apus", "lineas", "insumos", "lineasSinResolver")
+    return [
+        *header_rules(),
+        *(non_negative(f"conteos.{c}") for c in counts),
+        *(non_negative(f"costoDirecto.{c}") for c in ("min", "max", "mediana", "promedio")),
+        *(_at_least_one(c) for c in ("capitulos", "departamentos")),
+        _none_of("capitulos", "capitulo", lambda x: ~x["capitulo"].rlike(C.PATRON_CAPITULO)),
+        _none_of("capitulos", "sin ítems", lambda x: x["items"] < 1),
+        _none_of("capitulosInvias", "número", lambda x: x["numero"] < 1),
+        _none_of("capitulosInvias", "nombre", lambda x: trim_all(x["nombre"]) == ""),
+        _none_of("capitulosInvias", "sin ítems", lambda x: x["items"] < 1),
+        _none_of("departamentos", "código", lambda x: ~x["codigoDane"].rlike(C.PATRON_DANE)),
+        _none_of("departamentos", "sin provincias", lambda x: x["provincias"] < 1),
+        *(matches(f"notables.{e}.slug", C.PATRON_SLUG) for e in ("provinciaMasCara", "provinciaMasBarata")),
+        *(non_negative(f"notables.{e}.medianaCostoDirecto") for e in ("provinciaMasCara", "provinciaMasBarata")),
+    ]
+
+
 def province_rules() -> list[Regla]:
     return [*region_rules(), *(non_negative(c) for c in ("min", "max", "mediana", "promedio", "itemsConDato"))]
 
@@ -143,12 +213,32 @@ def provenance_rules() -> list[Regla]:
     ]
 
 
-def unknown_fields(raw: DataFrame, column: str, allowed: T.StructType) -> DataFrame:
-    """Top-level JSON fields the schema does not know, one row each; a text that
-    is no JSON object is reported as such."""
-    keys = F.json_object_keys(column)
+def _one(check: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: check(x)
+
+
+def _unknown(document: Column, allowed: T.StructType, prefix: str = "") -> Column:
+    """Paths of a JSON object's fields that the schema does not know, at every level."""
+    keys = F.json_object_keys(document)
     extra = F.array_except(keys, F.array(*(F.lit(f.name) for f in allowed)))
-    found = F.when(keys.isNull(), F.array(F.lit("(no es un objeto)"))).otherwise(extra)
+    found = [F.transform(extra, lambda k: F.concat(F.lit(prefix), k))]
+    for f in allowed:
+        inner = F.get_json_object(document, f"$.{f.name}")
+        if isinstance(f.dataType, T.StructType):
+            found.append(_unknown(inner, f.dataType, f"{prefix}{f.name}."))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            check = partial(_unknown, allowed=f.dataType.elementType, prefix=f"{prefix}{f.name}[].")
+            found.append(F.flatten(F.transform(F.from_json(inner, "array<string>"), _one(check))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*(F.coalesce(x, none) for x in found))))
+
+
+def unknown_fields(raw: DataFrame, column: str, allowed: T.StructType) -> DataFrame:
+    """JSON fields the schema does not know, one row per path; fields of nested
+    objects and of array elements are checked as well.  A text that is no JSON
+    object is reported as such."""
+    whole = F.json_object_keys(column).isNotNull()
+    found = F.when(whole, _unknown(F.col(column), allowed)).otherwise(F.array(F.lit("(no es un objeto)")))
     return raw.select(*[c for c in raw.columns if c != column], F.explode(found).alias("campo"))
 
 

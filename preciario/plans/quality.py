@@ -24,36 +24,39 @@ REGION_NUMBER = "CAST(right(regionCodigo,2) AS INTEGER)"
 @query(
     "dq_apu_rules",
     sql(
-        "SELECT codigo, slug, regla, valor FROM ("
+        "SELECT codigo, slug, regla, valor, CASE WHEN regla='equipo: negativo' THEN (SELECT any_value(b.equipo) FROM b WHERE b.codigo=q.codigo AND b.slug=q.slug) END AS numero FROM ("
         "SELECT codigo, slug, 'codigo: formato' AS regla, codigo AS valor FROM b WHERE NOT regexp_full_match(codigo, '\\d{3}(\\.\\d+)*') UNION ALL "
         "SELECT codigo, slug, 'descripcion: obligatorio', descripcion FROM b WHERE descripcion IS NULL OR trim(descripcion)='' UNION ALL "
         "SELECT codigo, slug, 'clasificacion: vacío', clasificacion FROM b WHERE trim(clasificacion)='' UNION ALL "
-        "SELECT codigo, slug, 'equipo: negativo', 'x' FROM b WHERE equipo<0 UNION ALL "
+        "SELECT codigo, slug, 'equipo: negativo', CAST(NULL AS VARCHAR) FROM b WHERE equipo<0 UNION ALL "
         "SELECT codigo, slug, 'lineas: al menos una', CAST(nLineas AS VARCHAR) FROM b WHERE nLineas<1 UNION ALL "
-        "SELECT codigo, slug, 'vigencia: distinta de la procedencia', pv FROM b WHERE vigencia<>pv)",
+        "SELECT codigo, slug, 'vigencia: distinta de la procedencia', pv FROM b WHERE vigencia<>pv) q",
         "apus",
     ).replace(
         " SELECT codigo, slug, regla",
         ", b AS (SELECT CASE WHEN n%7=0 THEN replace(codigo,'.',',') ELSE codigo END AS codigo, slug, vigencia, CASE WHEN n%5=0 THEN '  ' ELSE descripcion END AS descripcion, "
-        "CASE WHEN n%6=0 THEN ' ' ELSE clasificacion END AS clasificacion, CASE WHEN n%8=0 THEN -1-equipo ELSE equipo END AS equipo, CASE WHEN n%9=0 THEN 0 ELSE 3 END AS nLineas, "
-        f"CASE WHEN n%10=0 THEN '2025-2' ELSE vigencia END AS pv FROM (SELECT *, {REGION_NUMBER} AS n FROM apus)) SELECT codigo, slug, regla",
+        "CASE WHEN n%6=0 THEN ' ' ELSE clasificacion END AS clasificacion, CASE WHEN n%8=0 THEN -1-equipo ELSE equipo END AS equipo, CASE WHEN n%9=0 THEN 0 ELSE coalesce(nl,0) END AS nLineas, "
+        f"CASE WHEN n%10=0 THEN '2025-2' ELSE vigencia END AS pv FROM (SELECT a.*, {REGION_NUMBER.replace('regionCodigo', 'a.regionCodigo')} AS n, nl FROM apus a LEFT JOIN (SELECT codigo, slug, count(*) AS nl FROM lineas WHERE l_tax>0 GROUP BY ALL) c ON c.codigo=a.codigo AND c.slug=a.slug)) SELECT codigo, slug, regla",
         1,
     ),
 )
 def dq_apu_rules(spark, sf):
     n = F.substring("regionCodigo", 3, 2).cast("int")
-    broken = S.facts(spark, sf).withColumns(
+    # lines that carry no tax, and those of some regions, are withheld
+    counts = S.lines(spark, sf).where("l_tax > 0").groupBy("codigo", "slug").agg(F.count(F.lit(1)).alias("nLineas"))
+    kept = S.facts(spark, sf).join(counts, ["codigo", "slug"], "left").withColumn("nLineas", F.when(n % 9 == 0, 0).otherwise(F.coalesce("nLineas", F.lit(0))))
+    broken = kept.withColumns(
         {
             "codigo": F.when(n % 7 == 0, F.replace("codigo", F.lit("."), F.lit(","))).otherwise(F.col("codigo")),
             "descripcion": F.when(n % 5 == 0, "  ").otherwise(F.col("descripcion")),
             "clasificacion": F.when(n % 6 == 0, " ").otherwise(F.col("clasificacion")),
             "equipo": F.when(n % 8 == 0, -1 - F.col("equipo")).otherwise(F.col("equipo")),
-            "nLineas": F.when(n % 9 == 0, 0).otherwise(3),
             "procedenciaVigencia": F.when(n % 10 == 0, "2025-2").otherwise(F.col("vigencia")),
         }
     )
     found = Q.violations(broken, ["codigo", "slug"], Q.apu_rules())
-    return found.withColumn("valor", F.when(F.col("regla") == "equipo: negativo", "x").otherwise(F.col("valor")))
+    number = F.col("regla") == "equipo: negativo"
+    return found.withColumns({"numero": F.when(number, F.col("valor").cast("double")), "valor": F.when(~number, F.col("valor"))})
 
 
 @query(
@@ -109,8 +112,9 @@ def dq_supply_rules(spark, sf):
 @query(
     "dq_line_rules",
     sql(
-        "SELECT codigo, slug, count(*) FILTER (WHERE l_linenumber=3) AS negativas, count(*) FILTER (WHERE l_linenumber=5) AS ajenas FROM lineas "
-        "WHERE l_linenumber IN (3,5) GROUP BY codigo, slug",
+        "SELECT codigo, slug, l_orderkey, l_linenumber, 'cantidad: negativo' AS regla, CAST(CAST(-cantidad AS DOUBLE) AS VARCHAR) AS valor FROM lineas WHERE l_linenumber=3 AND cantidad>0 UNION ALL "
+        "SELECT codigo, slug, l_orderkey, l_linenumber, 'componente: desconocido', 'otro' FROM lineas WHERE l_linenumber=5 UNION ALL "
+        "SELECT codigo, slug, l_orderkey, l_linenumber, 'unidad: obligatorio', chr(9)||chr(160)||chr(10) FROM lineas WHERE l_linenumber=6",
         "lineas",
     ),
 )
@@ -119,13 +123,10 @@ def dq_line_rules(spark, sf):
         {
             "cantidad": F.when(F.col("l_linenumber") == 3, -F.col("cantidad")).otherwise(F.col("cantidad")),
             "componente": F.when(F.col("l_linenumber") == 5, "otro").otherwise(F.col("componente")),
+            "unidad": F.when(F.col("l_linenumber") == 6, "\t\u00a0\n").otherwise(F.col("unidad")),
         }
     )
-    found = Q.violations(rows, ["codigo", "slug"], Q.line_rules())
-    return found.groupBy("codigo", "slug").agg(
-        F.count_if(F.col("regla") == "cantidad: negativo").alias("negativas"),
-        F.count_if(F.col("regla") == "componente: desconocido").alias("ajenas"),
-    )
+    return Q.violations(rows, ["codigo", "slug", "l_orderkey", "l_linenumber"], Q.line_rules())
 
 
 @query(
@@ -136,7 +137,15 @@ def dq_line_rules(spark, sf):
         "SELECT 'catalogo', codigo, 'mediana: negativo', '-1.0' FROM cat WHERE conDato<10 UNION ALL "
         "SELECT 'provincia', slug, 'regionCodigoDane: desconocido', regionCodigoDane FROM prov WHERE regionCodigoDane='14' UNION ALL "
         "SELECT 'provincia', slug, 'itemsConDato: negativo', '-1' FROM prov WHERE regionCodigoDane='17' UNION ALL "
-        "SELECT 'stats', 'stats', 'insumos: negativo', NULL",
+        "SELECT 'stats', 'stats', 'insumos: negativo', NULL UNION ALL "
+        "SELECT 'item', codigo, 'vigencia: formato', '2026-1'||chr(10) FROM cat WHERE capitulo='200' UNION ALL "
+        "SELECT 'item', codigo, 'generadoPor: obligatorio', chr(160) FROM cat WHERE capitulo='228' UNION ALL "
+        "SELECT 'item', codigo, 'regiones: al menos uno', NULL FROM cat WHERE capitulo='256' UNION ALL "
+        "SELECT 'item', codigo, 'regiones: equipo negativo', CAST(count(*) AS VARCHAR) FROM apus WHERE capitulo='284' GROUP BY codigo UNION ALL "
+        "SELECT 'items de provincia', slug, 'items: capitulo', CAST(count(*) AS VARCHAR) FROM apus WHERE capitulo='312' GROUP BY slug UNION ALL "
+        "SELECT 'estadística', '2026-1', 'capitulos: sin ítems', CAST(count(DISTINCT capitulo) AS VARCHAR) FROM apus UNION ALL "
+        "SELECT 'estadística', '2026-1', 'departamentos: código', CAST(count(DISTINCT regionCodigoDane) AS VARCHAR) FROM apus UNION ALL "
+        "SELECT 'estadística', '2026-1', 'nota: obligatorio', NULL",
         "cat", "prov",
     ),
 )
@@ -154,6 +163,35 @@ def dq_artifact_rules(spark, sf):
     )
     stats = A.stats_counts(facts, F.lit(1), F.lit(None).cast("long"), F.lit(0)).withColumn("clave", F.lit("stats"))
 
+    provenance = F.struct(F.lit("x").alias("fuente"))
+    items = A.item_document(facts).withColumns(
+        {
+            "schemaVersion": F.lit(C.SCHEMA_VERSION),
+            "vigencia": F.when(F.col("capitulo") == "200", F.concat("vigencia", F.lit("\n"))).otherwise(F.col("vigencia")),
+            "generadoPor": F.when(F.col("capitulo") == "228", "\u00a0").otherwise("x"),
+            "nota": F.lit("x"),
+            "procedencia": provenance,
+            "regiones": F.when(F.col("capitulo") == "256", F.filter("regiones", lambda r: F.lit(False)))
+            .when(F.col("capitulo") == "284", F.transform("regiones", lambda r: r.withField("totales", r["totales"].withField("equipo", F.lit(-1.0)))))
+            .otherwise(F.col("regiones")),
+            "clave": F.col("codigo"),
+        }
+    )
+    spoilt = F.transform("items", lambda i: i.withField("capitulo", F.when(i["capitulo"] == "312", "31").otherwise(i["capitulo"])))
+    parts = A.province_document(facts).where(F.col("parte") == "312").withColumns({"items": spoilt, "clave": F.col("slug")})
+    document = A.stats_document(facts, F.lit(1).cast("long"), F.lit(1).cast("long"), F.lit(0).cast("long")).withColumns(
+        {
+            "schemaVersion": F.lit(C.SCHEMA_VERSION),
+            "vigencia": F.lit("2026-1"),
+            "generadoPor": F.lit("x"),
+            "nota": F.lit(None).cast("string"),
+            "procedencia": provenance,
+            "capitulos": F.transform("capitulos", lambda x: x.withField("items", F.lit(0))),
+            "departamentos": F.transform("departamentos", lambda x: x.withField("codigoDane", F.concat(x["codigoDane"], F.lit("\n")))),
+            "clave": F.lit("2026-1"),
+        }
+    )
+
     def named(df, document):
         return df.select(F.lit(document).alias("documento"), "*")
 
@@ -161,6 +199,9 @@ def dq_artifact_rules(spark, sf):
         named(Q.violations(catalog.withColumn("clave", F.col("codigo")), ["clave"], Q.catalog_rules()), "catalogo")
         .unionByName(named(Q.violations(provinces.withColumn("clave", F.col("slug")), ["clave"], Q.province_rules()), "provincia"))
         .unionByName(named(Q.violations(stats, ["clave"], Q.stats_rules()), "stats"))
+        .unionByName(named(Q.violations(items, ["clave"], Q.item_rules()), "item"))
+        .unionByName(named(Q.violations(parts, ["clave"], Q.province_item_rules()), "items de provincia"))
+        .unionByName(named(Q.violations(document, ["clave"], Q.stats_document_rules()), "estadística"))
     )
 
 
@@ -188,15 +229,29 @@ def dq_provenance_rules(spark, sf):
 
 @query(
     "dq_unknown_fields",
-    "SELECT event_id, CASE WHEN event_id%9=4 THEN '(no es un objeto)' ELSE 'aiu' END AS campo FROM events WHERE event_id%9 IN (2,4)",
+    "SELECT event_id, unnest(CASE event_id%9 WHEN 2 THEN ['aiu'] WHEN 4 THEN ['(no es un objeto)'] WHEN 5 THEN ['region.extra', 'lineas[].otro', 'lineas[].base.raro'] END) AS campo "
+    "FROM events WHERE event_id%9 IN (2,4,5)",
 )
 def dq_unknown_fields(spark, sf):
-    extra = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "aiu": 1}'))
-    raw = S.read(spark, sf, "events").select(
-        "event_id",
-        F.when(F.col("event_id") % 9 == 2, extra).when(F.col("event_id") % 9 == 4, F.lit("[1]")).otherwise(F.col("props")).alias("doc"),
+    """Objects with a known region and lines; some carry unknown fields at one level or several."""
+    body = F.expr("substring(props, 1, length(props) - 1)")
+    case = F.col("event_id") % 9
+    known = ', "region": {"slug": "a"%s}, "lineas": [{"codigo": "x", "base": {"v": 1}}, {"codigo": "y"%s}]}'
+    document = (
+        F.when(case == 2, F.concat(body, F.lit(', "aiu": 1' + known % ("", ""))))
+        .when(case == 4, F.lit("[1]"))
+        .when(case == 5, F.concat(body, F.lit(known % (', "extra": null', ', "otro": [], "base": {"raro": {}}'))))
+        .otherwise(F.concat(body, F.lit(known % ("", ""))))
+    )
+    line = T.StructType([T.StructField("codigo", T.StringType()), T.StructField("base", T.StructType([T.StructField("v", T.LongType())]))])
+    allowed = T.StructType(
+        [
+            T.StructField("k", T.LongType()),
+            T.StructField("region", T.StructType([T.StructField("slug", T.StringType())])),
+            T.StructField("lineas", T.ArrayType(line)),
+        ]
     )
-    return Q.unknown_fields(raw, "doc", T.StructType([T.StructField("k", T.LongType())]))
+    return Q.unknown_fields(S.read(spark, sf, "events").select("event_id", document.alias("doc")), "doc", allowed)
 
 
 @query(
