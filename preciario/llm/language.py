@@ -149,7 +149,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     rows = docs.where(~held_out(F.col(key)) & F.col(text).isNotNull() & F.col(label).isNotNull())
     rows = rows.select(F.xxhash64(F.col(key).cast("string"), F.lit(42)).alias("at"), F.col(text).alias("text"), F.col(label).alias("label"))
     # the share of all hashes that holds a little more than PER_LANGUAGE rows of a language
-    cuts = {r.label: int(min(1.0, (1.2 * PER_LANGUAGE + 100) / r.n) * (2**64 - 1)) - 2**63 for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+    cuts = {r.label: min(2**63 - 1, int((1.2 * PER_LANGUAGE + 100) / r.n * 2**64) - 2**63) for r in sizes}
     languages = sorted(cuts)
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
@@ -178,7 +179,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
         heat = temperature(scores, np.array([labels[i] for i in rest], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()]), pa.array([heat])], ["weights", "heat"])
 
-    cutoffs = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v))])
+    cutoffs = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v).cast("long"))])
     drawn = rows.where(F.col("at") <= cutoffs[F.col("label")])
     sample = drawn.groupBy("label", "at").agg(F.min("text").alias("text")).select("text", "label", "at").repartition(1)  # repeated rows count once
     found = sample.mapInArrow(run, "weights binary, heat double").first()
