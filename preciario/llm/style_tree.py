@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from preciario.llm.shared import ddl
+from preciario.llm.shared import ddl, written
 
 #: Hosts with fewer pages that have a node say nothing about it.
 MIN_PAGES = 4
@@ -260,7 +260,8 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     one.  Repeated rows and null keys are rows of their own.  Other columns are not read.
     """
     rows = pages.select(F.col(key), F.col("url"), F.col("html"), host(F.col("url")).alias("host"))
-    joined = rows.join(site_styles(pages), "host", "left").select(key, "url", "html", "host", "model")
+    # written, so that its size is known to the planner, which then joins it as it should
+    joined = rows.join(written(site_styles(pages), "styles"), "host", "left").select(key, "url", "html", "host", "model")
     schema = rows.select(key, "url").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
