@@ -9,14 +9,18 @@ only pairs that share one are verified, on the whole sets.
   indexed; 1, the signatures of its one-deletion neighbourhood as well, which finds
   segments that differ in one token and counts for two; -1, it is left out.  The values
   add up to at least H + 1 + ``SPARE_EMPTY``.  A first count of all signatures gives the cost of every
-  segment (pairs its buckets would make): the costliest are left out as far as spare segments go, and a
-  segment far above the rest is left out against a one-deletion segment among the cheapest.
+  segment (pairs its buckets would make): segments far above the rest are left out, first as far as spare segments
+  go, then each against a one-deletion segment among the cheapest.
 * **Empty segments** are equal for no good reason; a set with at most ``SPARE_EMPTY`` of them need
   not index them.
 * **Equal sets** are one class from the start, so copies never meet in pairs.
-* **Stars first.**  Members of a bucket are verified against its smallest class, links are closed
-  into components, and only pairs from different components that share a bucket are looked at again.
-  A group of near copies thus costs about a pair for each member, not one for each two.
+* **Stars, then differences.**  Members of a bucket are verified against its most central class (the one
+  that shares the most signatures with others) and links are closed into components.  Where a star still
+  holds several components, its members are described by their differences from the centre: two members that
+  link, one of them unlinked to the centre, must share a rare difference (a prefix filter, rarest first).  So a
+  group of near copies costs about a pair for each member, not one for each two, also if they don't link.
+
+One pass in Python makes sets, signatures and compressed texts; they are written, and what follows reads them.
 
 Classes are named by 64-bit hashes of their sorted sets, shingles by 64-bit hashes.
 """
@@ -25,13 +29,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from preciario.llm.components import connected
 from preciario.llm.shared import ddl, written
@@ -41,26 +45,16 @@ SHARE = 90
 WORDS = 3
 BAND_RATIO = 1.2
 SPARE_EMPTY = 2
-#: A segment this many times as costly as its band's median is worth a one-deletion neighbourhood.
+#: A segment this many times as costly as its band's median is left out.
 COSTLY = 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-#: Cached word hashes of a worker; the cache starts anew when it is full.
-MOST_WORDS = 500_000
-
-
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-@lru_cache(maxsize=1)
-def word_hashes() -> Words:
-    return Words()
+#: A word's hash is the sum of its bytes' random numbers, one for each place up to ``PLACES``; longer words go on
+#: with the numbers multiplied by an odd constant.
+PLACES = 64
+_NUMBERS = np.random.default_rng(20240101).integers(0, 2**64, (PLACES, 256), dtype=np.uint64).ravel()
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,13 +63,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode("utf-8", "replace").translate(_LOWER), np.uint8)
+    inside = ~_SPACE[data]
+    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    letters = data[inside].astype(np.int64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    values = _NUMBERS[(place % PLACES) * 256 + letters]
+    if lengths.max() > PLACES:
+        far = np.flatnonzero(place >= PLACES)
+        powers = np.full(int(place.max()) // PLACES + 1, _B)
+        powers[0] = 1
+        values[far] *= np.cumprod(powers)[place[far] // PLACES]
+    return mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+
+
 def shingles(text: str | None, n_words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; of the whole sequence if it has fewer words."""
-    words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    one = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-    n = min(n_words, len(words))
+    one = word_hashes(text or "")
+    if not len(one):
+        return one
+    n = min(n_words, len(one))
     out = np.full(len(one) - n + 1, np.uint64(n))
     for i in range(n):
         out = mixed(out * _C + one[i : len(one) - n + 1 + i])
@@ -148,14 +161,12 @@ def allocate(costs: dict[tuple[int, int], float], bands: Bands) -> dict[int, np.
         for at, i in enumerate(order.tolist()):
             if at >= cheap:
                 break
-            if at < spare:
-                values[i] = -1
-            elif cost[i] > COSTLY * (np.median(cost) + 1):
-                values[i] = -1
+            if cost[i] <= COSTLY * (np.median(cost) + 1):
+                break
+            values[i] = -1
+            if at >= spare:
                 values[order[cheap]] = 1
                 cheap -= 1
-            else:
-                break
         out[k] = values
     return out
 
@@ -190,109 +201,137 @@ def signatures(tokens: np.ndarray, bands: Bands, values: dict[int, np.ndarray] |
         yield k, number, mixed(signature * _C + salt)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = WORDS) -> DataFrame:
-    """key, n_shingles and class of every row; the class of an empty set is null."""
+def sets(docs: DataFrame, values: dict[int, np.ndarray] | None, key: str, text: str, share: int, n_words: int) -> DataFrame:
+    """Of every row: key, n_shingles, class (null for an empty set); and once per task and class its compressed
+    text, signatures and their segments (scheme << 32 | number), null otherwise."""
     schema = docs.select(key).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(x, n_words) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())],
-                [key, "n_shingles", "class"],
-            )
-
-    return docs.select(key, text).mapInArrow(run, f"{ddl(schema)}, n_shingles long, class long")
-
-
-def signature_rows(docs: DataFrame, values: dict[int, np.ndarray] | None, text: str, share: int, n_words: int) -> DataFrame:
-    """key, segment (scheme << 32 | number) and class of every signature."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(share), set()
         for batch in batches:
-            keys, segments, names = [], [], []
-            for x in batch.column(0).to_pylist():
+            n, names, blobs, keys, segments = [], [], [], [], []
+            for x in batch.column(1).to_pylist():
                 tokens = shingles(x, n_words)
-                if not len(tokens):
-                    continue
-                name = class_of(tokens)
-                if name in seen:
+                name = class_of(tokens) if len(tokens) else None
+                n.append(len(tokens))
+                names.append(name)
+                if name is None or name in seen:
+                    blobs.append(None)
+                    keys.append(None)
+                    segments.append(None)
                     continue
-                if len(seen) < 1_000_000:  # more copies would only be repeated rows
+                if len(seen) < 1_000_000:  # beyond, copies in one task are only repeated rows
                     seen.add(name)
-                for k, number, signature in signatures(tokens, bands, values):
-                    keys.append(signature)
-                    segments.append(number + (k << 32))
-                    names.append(np.full(len(number), name, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(segments)), pa.array(np.concatenate(names))],
-                    ["key", "segment", "class"],
-                )
+                found = list(signatures(tokens, bands, values))
+                blobs.append(zlib.compress(x.encode("utf-8", "replace"), 1))
+                keys.append(signed(np.concatenate([f[2] for f in found])) if found else np.zeros(0, np.int64))
+                segments.append(np.concatenate([f[1] + (f[0] << 32) for f in found]) if found else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(segments, pa.list_(pa.int64()))],
+                [key, "n_shingles", "class", "blob", "keys", "segments"],
+            )
+
+    return docs.select(key, text).mapInArrow(run, f"{ddl(schema)}, n_shingles long, class long, blob binary, keys array<long>, segments array<long>")
+
 
-    return docs.select(text).mapInArrow(run, "key long, segment long, class long")
+def signature_rows(rows: DataFrame) -> DataFrame:
+    """key, segment and class of every signature."""
+    return rows.where(F.col("keys").isNotNull()).select("class", F.explode(F.arrays_zip("keys", "segments")).alias("s")).select(
+        F.col("s.keys").alias("key"), F.col("s.segments").alias("segment"), "class"
+    )
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """Signatures of at least two classes: key, segment, low (smallest class), n (rows)."""
+    """Signatures of at least two classes: key, segment and n (rows)."""
     found = rows.groupBy("key").agg(
         F.min("class").alias("low"), F.max("class").alias("high"), F.min("segment").alias("segment"), F.count(F.lit(1)).alias("n")
     )
-    return found.where(F.col("low") < F.col("high")).drop("high")
+    return found.where(F.col("low") < F.col("high")).drop("low", "high")
 
 
-def packed_texts(docs: DataFrame, wanted: DataFrame, text: str, n_words: int) -> DataFrame:
-    """class and compressed text, once for each wanted class."""
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with both compressed texts in front, those of one b together."""
+    left = texts.select(F.col("class").alias("a"), F.col("blob").alias("first"))
+    right = texts.select(F.col("class").alias("b"), F.col("blob").alias("second"))
+    others = [c for c in pairs.columns if c not in ("a", "b")]
+    return pairs.join(left, "a").join(right, "b").select("first", "second", "a", "b", *others)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, blobs = [], []
-            for x in batch.column(0).to_pylist():
-                tokens = shingles(x, n_words)
-                if len(tokens):
-                    names.append(class_of(tokens))
-                    blobs.append(zlib.compress(x.encode("utf-8", "replace"), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["class", "blob"])
 
-    return docs.select(text).mapInArrow(run, "class long, blob binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+def _compared(batch: pa.RecordBatch, n_words: int, last: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row, set of a and set of b; ``last`` keeps the latest b between batches."""
+    first, second, b = (batch.column(i).to_pylist() for i in (0, 1, 3))
+    for i in range(len(b)):
+        if not last or last[0] != b[i]:
+            last[:] = [b[i], shingles(zlib.decompress(second[i]).decode(), n_words)]
+        yield i, shingles(zlib.decompress(first[i]).decode(), n_words), last[1]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, share: int, n_words: int) -> DataFrame:
     """The pairs (a, b) that link, decided on the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tokens = None, None
+        last: list = []
         for batch in batches:
-            a, b, first, second = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for i in range(len(a)):
-                if b[i] != last:
-                    last, tokens = b[i], shingles(zlib.decompress(second[i]).decode(), n_words)
-                if links(shingles(zlib.decompress(first[i]).decode(), n_words), tokens, share):
-                    keep.append(i)
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
+            take = pa.array([i for i, x, y in _compared(batch, n_words, last) if links(x, y, share)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(take), batch.column(3).take(take)], ["a", "b"])
+
+    return with_texts(pairs.select("a", "b"), texts).mapInArrow(run, "a long, b long")
 
-    left = texts.select(F.col("class").alias("a"), F.col("blob").alias("first"))
-    right = texts.select(F.col("class").alias("b"), F.col("blob").alias("second"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "first", "second").mapInArrow(run, "a long, b long")
+
+def differences(stars: DataFrame, texts: DataFrame, share: int, n_words: int) -> DataFrame:
+    """b, a, label, d (number of differences of a from b), most (that a and a partner of it may have) and each
+    differing token.  ``stars`` has a, b and a's label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list = []
+        for batch in batches:
+            rows, d, most, tokens = [], [], [], []
+            for i, x, y in _compared(batch, n_words, last):
+                differing = np.setxor1d(x, y, assume_unique=True)
+                rows.append(np.full(len(differing), i))
+                d.append(np.full(len(differing), len(differing)))
+                most.append(np.full(len(differing), (len(x) + len(x) * 100 // share) * (100 - share) // (100 + share)))
+                tokens.append(signed(differing))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(3).take(take), batch.column(2).take(take), batch.column(4).take(take), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (d, most, tokens))],
+                    ["b", "a", "label", "d", "most", "token"],
+                )
+
+    return with_texts(stars.select("a", "b", "label"), texts).mapInArrow(run, "b long, a long, label long, d long, most long, token long")
+
+
+def difference_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may link: |A xor B| is the differences they do not share, so of
+    ``d(a) + d(b)`` at least ``(d(a) + d(b) - most) / 2`` are shared; with tokens in one order, rarest first, a shared one
+    is among the first ``most / 2 + 1`` of the member with fewer differences and the first ``most + 1`` of the other."""
+    counts = rows.groupBy("b", "token").agg(F.count(F.lit(1)).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("f", "token"))
+    ranked = rows.join(counts, ["b", "token"]).withColumn("rank", rank).where((F.col("rank") <= F.col("most") + 1) & (F.col("f") > 1))
+    few = ranked.where(F.col("rank") <= F.floor(F.col("most") / 2) + 1).select("b", "token", F.col("a").alias("x"), F.col("d").alias("dx"), F.col("label").alias("lx"))
+    many = ranked.select("b", "token", F.col("a").alias("y"), F.col("d").alias("dy"), F.col("label").alias("ly"), "most")
+    met = few.join(many, ["b", "token"]).where(
+        (F.col("lx") != F.col("ly")) & ((F.col("dx") < F.col("dy")) | ((F.col("dx") == F.col("dy")) & (F.col("x") < F.col("y")))) & (F.col("dy") - F.col("dx") <= F.col("most"))
+    )
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def join(docs: DataFrame, share: int = SHARE, n_words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id of every row: see ``linked`` for the links alone.
+    """key, n_shingles and component_id of every row.
 
     component_id is the smallest key that links reach.  A null, empty or blank text has no shingles and links with
     nothing; repeated rows are in one component; a row without a key takes the component of its text, null if
     no row with a key is in it.  Other columns are not read.
     """
-    rows = written(classes(docs, key, text, n_words), "classes")
-    labels = connected(linked(docs, share, n_words, text))
+    rows = written(sets(docs, None, key, text, share, n_words), "sets")
+    labels = connected(linked(docs, rows, share, n_words, key, text))
     named = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(key).alias("low"))
     grouped = named.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
     smallest = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
     component = grouped.join(smallest, "label").select("class", "component_id")
-    return rows.join(component, "class", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    placed = rows.select(key, "n_shingles", "class").join(component, "class", "left")
+    return placed.select(key, "n_shingles", F.when(F.col("class").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, share: int = SHARE, n_words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,34 +344,42 @@ def representatives(docs: DataFrame, share: int = SHARE, n_words: int = WORDS, k
     return docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
 
 
-def linked(docs: DataFrame, share: int = SHARE, n_words: int = WORDS, text: str = "text") -> DataFrame:
-    """Links (a, b) between classes that span every component of the join.
+def linked(docs: DataFrame, rows: DataFrame, share: int, n_words: int, key: str, text: str) -> DataFrame:
+    """Links (a, b) between classes: every link of the join is among them or inside a component that they span.
 
-    Every link of the join is either among them or lies inside a component that they span.
+    ``rows`` are the written ``sets`` of ``docs``.
     """
     bands = Bands(share)
-    found = written(buckets(signature_rows(docs, None, text, share, n_words)), "buckets")
+    signs = signature_rows(rows)
+    found = written(buckets(signs), "buckets")
     costs = {
         (r.segment >> 32, r.segment & 0xFFFFFFFF): r.cost
         for r in found.groupBy("segment").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost")).toLocalIterator()
     }  # one entry per segment of the longest document's bands
     values = allocate(costs, bands)
-    if any((v == 1).any() for v in values.values()):
-        found = written(buckets(signature_rows(docs, values, text, share, n_words)), "buckets")
-    members = written(
-        signature_rows(docs, values, text, share, n_words).select("key", "class").join(found.select("key", "low"), "key"), "members"
-    )
-    texts = written(packed_texts(docs, members.select("class").distinct(), text, n_words), "texts")
-    tested = written(members.where(F.col("class") != F.col("low")).select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), "stars")
-    edges = written(verified(tested, texts, share, n_words), "links")
+    if any((v == 1).any() for v in values.values()):  # one-deletion neighbourhoods are made only where they are wanted
+        signs = signature_rows(written(sets(docs, values, key, text, share, n_words), "sets"))
+        found = written(buckets(signs), "buckets")
+    left_out = [(k << 32) + int(i) for k, v in values.items() for i in np.flatnonzero(v < 0)]
+    if left_out:
+        session = docs.sparkSession
+        dropped = session.createDataFrame([(x,) for x in left_out], "segment long")
+        found = found.join(dropped, "segment", "left_anti")
+    members = written(signs.select("key", "class").join(found.select("key", "n"), "key").distinct(), "members")
+    central = members.groupBy("class").agg(F.sum("n").alias("score"))
+    centres = members.join(central, "class").groupBy("key").agg(F.max(F.struct("score", "class")).alias("c")).select("key", F.col("c.class").alias("b"))
+    stars = members.select("key", F.col("class").alias("a")).join(centres, "key").where(F.col("a") != F.col("b"))
+    stars = written(stars.select("a", "b").distinct(), "stars")
+    wanted = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "class")
+    texts = rows.where(F.col("blob").isNotNull()).select("class", "blob").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    texts = written(texts, "texts")
+    edges = written(verified(stars, texts, share, n_words), "links")
     labels = connected(edges)
-    # buckets that still hold several components
-    placed = members.select("key", "class").distinct().join(labels, F.col("class") == F.col("node"), "left")
-    placed = written(placed.select("key", "class", F.coalesce("label", "class").alias("label")), "placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") < F.col("y")).select("key")
-    open_rows = placed.join(mixed_keys, "key", "left_semi")
-    left = open_rows.select("key", F.col("class").alias("a"), F.col("label").alias("la"))
-    right = open_rows.select("key", F.col("class").alias("b"), F.col("label").alias("lb"))
-    rest = left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
-    rest = rest.join(tested, ["a", "b"], "left_anti")
-    return edges.unionByName(verified(rest, texts, share, n_words))
+    placed = stars.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    placed = placed.join(labels.select(F.col("node").alias("b"), F.col("label").alias("own")), "b", "left").withColumn("own", F.coalesce("own", "b"))
+    # stars with one unlinked member have no pair left to look at
+    loose = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("own")).alias("m")).where((F.col("m") > 0) & (F.col("n") > 1))
+    apart = written(differences(placed.join(loose.select("b"), "b", "left_semi"), texts, share, n_words), "differences")
+    rest = difference_pairs(apart)
+    rest = rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return edges.unionByName(written(verified(rest, texts, share, n_words), "links"))
