@@ -297,16 +297,22 @@ def output_sizes(spark, sf):
 
 @query(
     "provenance_join",
-    sql("SELECT codigo, slug, costoDirecto, 'Tablas de prueba' AS fuente, 'Abierta' AS licencia FROM apus", "apus"),
+    sql(
+        "SELECT codigo, slug, costoDirecto, CASE WHEN CAST(right(regionCodigo,2) AS INTEGER)%2=0 THEN 'Tablas de prueba' END AS fuente, "
+        "CASE WHEN CAST(right(regionCodigo,2) AS INTEGER)%2=0 THEN 'Abierta' END AS licencia FROM apus",
+        "apus",
+    ),
 )
 def provenance_join(spark, sf):
-    """One complete manifest and one without a licence, read from JSON."""
+    """Rows of two publications, one with a complete manifest and one without a licence, read from JSON."""
     path = scratch_path(spark, "manifiesto")
     n = T.regions(spark, sf).agg(F.count(F.lit(1)).alias("archivos"))
     complete = n.select(_provenance().alias("p"), "archivos").select("p.*", "archivos")
     incomplete = complete.withColumns({"vigencia": F.lit("2025-2"), "licencia": F.lit("")})
     complete.unionByName(incomplete).write.json(path)
-    stamped = S.provenance_join(T.facts(spark, sf), S.read_manifest(spark, path))
+    odd = F.substring("regionCodigo", 3, 2).cast("int") % 2 == 1
+    rows = T.facts(spark, sf).withColumn("vigencia", F.when(odd, "2025-2").otherwise(F.col("vigencia")))
+    stamped = S.provenance_join(rows, S.read_manifest(spark, path))
     return stamped.select("codigo", "slug", "costoDirecto", "procedencia.fuente", "procedencia.licencia")
 
 

@@ -120,7 +120,7 @@ def test_province_documents(spark, tmp_path):
 def test_manifest_of_workbooks(spark, tmp_path):
     for name in ("APU_0509_ANTIOQUIA__VALLE_2026_1.xlsx", "raro.xlsx", "~$temporal.xlsx", "notas.txt"):
         (tmp_path / name).write_text(name)
-    manifest = S.file_manifest(spark, str(tmp_path))
+    manifest = S.file_manifest(S.hashed_files(spark, str(tmp_path)))
     found = {r.filename: (r.codigo, r.departamento, r.provincia, r.bytes) for r in manifest.collect()}
     assert found == {
         "APU_0509_ANTIOQUIA__VALLE_2026_1.xlsx": ("0509", "ANTIOQUIA", "VALLE", 37),
