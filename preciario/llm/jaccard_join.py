@@ -43,7 +43,7 @@ from preciario.llm.shared import ddl, written
 #: Sets link from this share on, in hundredths.
 SHARE = 90
 WORDS = 3
-BAND_RATIO = 1.2
+BAND_RATIO = 1.35
 SPARE_EMPTY = 2
 #: A segment this many times as costly as its band's median is left out.
 COSTLY = 16
@@ -142,7 +142,7 @@ class Bands:
 
     def segments(self, k: int) -> int:
         h = self.differing(k)
-        return h + 1 + SPARE_EMPTY + h // 16
+        return h + 1 + SPARE_EMPTY + h // 32
 
 
 def allocate(costs: dict[tuple[int, int], float], bands: Bands) -> dict[int, np.ndarray]:
@@ -305,10 +305,16 @@ def differences(stars: DataFrame, texts: DataFrame, share: int, n_words: int) ->
 def difference_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that may link: |A xor B| is the differences they do not share, so of
     ``d(a) + d(b)`` at least ``(d(a) + d(b) - most) / 2`` are shared; with tokens in one order, rarest first, a shared one
-    is among the first ``most / 2 + 1`` of the member with fewer differences and the first ``most + 1`` of the other."""
-    counts = rows.groupBy("b", "token").agg(F.count(F.lit(1)).alias("f"))
-    rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("f", "token"))
-    ranked = rows.join(counts, ["b", "token"]).withColumn("rank", rank).where((F.col("rank") <= F.col("most") + 1) & (F.col("f") > 1))
+    is among the first ``most / 2 + 1`` of the member with fewer differences and the first ``most + 1`` of the other.
+    Differences that one member has alone come first of all and are only counted."""
+    tokens = rows.select("b", "a", "token")
+    shared = tokens.groupBy("b", "token").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
+    member = Window.partitionBy("b", "a")
+    placed = tokens.join(shared, ["b", "token"]).select(
+        "b", "a", "token", F.row_number().over(member.orderBy("f", "token")).alias("place"), F.count(F.lit(1)).over(member).alias("n")
+    )
+    members = rows.select("b", "a", "label", "d", "most").distinct()
+    ranked = placed.join(members, ["b", "a"]).withColumn("rank", F.col("place") + F.col("d") - F.col("n")).where(F.col("rank") <= F.col("most") + 1)
     few = ranked.where(F.col("rank") <= F.floor(F.col("most") / 2) + 1).select("b", "token", F.col("a").alias("x"), F.col("d").alias("dx"), F.col("label").alias("lx"))
     many = ranked.select("b", "token", F.col("a").alias("y"), F.col("d").alias("dy"), F.col("label").alias("ly"), "most")
     met = few.join(many, ["b", "token"]).where(
