@@ -377,7 +377,8 @@ def linked(docs: DataFrame, rows: DataFrame, share: int, n_words: int, key: str,
     stars = members.select("key", F.col("class").alias("a")).join(centres, "key").where(F.col("a") != F.col("b"))
     stars = written(stars.select("a", "b").distinct(), "stars")
     wanted = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "class")
-    texts = rows.where(F.col("blob").isNotNull()).select("class", "blob").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    # the wanted classes grow with the input, so they are never broadcast
+    texts = rows.where(F.col("blob").isNotNull()).select("class", "blob").join(wanted.hint("merge"), "class", "left_semi").dropDuplicates(["class"])
     texts = written(texts, "texts")
     edges = written(verified(stars, texts, share, n_words), "links")
     labels = connected(edges)
