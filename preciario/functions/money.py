@@ -17,18 +17,22 @@ def round_money(value: Column) -> Column:
     return F.floor(value * 100 + 0.5) / 100
 
 
-def exact_units(value: Column) -> Column:
+def exact_units(value: Column, por_peso: int = UNIDADES_POR_PESO) -> Column:
     """Money as a decimal count of ten-thousandths, wide enough never to overflow."""
-    return F.floor(value * UNIDADES_POR_PESO + 0.5).cast("decimal(20,0)")
+    return F.floor(value * por_peso + 0.5).cast("decimal(20,0)")
 
 
-def from_units(units: Column) -> Column:
-    return units.cast("double") / UNIDADES_POR_PESO
+def from_units(units: Column, por_peso: int = UNIDADES_POR_PESO) -> Column:
+    return units.cast("double") / por_peso
 
 
-def sum_money(value: Column) -> Column:
-    """Sum that does not depend on the order of the rows; result is a double."""
-    return from_units(F.sum(exact_units(value)))
+def sum_money(value: Column, por_peso: int = UNIDADES_POR_PESO) -> Column:
+    """Sum that does not depend on the order of the rows; result is a double.
+
+    Addends are rounded to whole ``1 / por_peso``: four decimals, more than costs
+    have; prices that are published unrounded take a larger number.
+    """
+    return from_units(F.sum(exact_units(value, por_peso)), por_peso)
 
 
 def mean_ratio(ratio: Column) -> Column:
