@@ -21,8 +21,8 @@ def known_language(spark, docs, sf_dir):
 
 
 def without_boilerplate(spark, docs, sf_dir):
-    """Line dedup (operator 7): lines that many sites share are taken out of the texts; every document stays."""
-    cleaned = line_dedup.remove_boilerplate(docs)
+    """Line dedup (operator 7): lines that many sites share are taken out of the texts, copies and templates counted once; every document stays."""
+    cleaned = line_dedup.remove_spread_lines(docs)
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 

@@ -9,15 +9,26 @@ Both counts come from HyperLogLog sketches per line hash, which merge in the
 map-side and final aggregation, so a line that holds a third of all rows costs
 no more than any other.  Lines whose estimate lies within ``SIGMAS`` standard errors
 of a threshold are counted exactly before anything is removed.
+
+That is the rule of the SQL statement at the end.  ``remove_spread_lines`` is for corpora with copies and
+templates: occurrences between the same nearest lines count as one, on one site, and lines that still stand on
+``min_sites`` sites go.  Nearest lines are neither blank nor themselves on ``min_sites`` sites, so
+frames of blank lines and the other lines of a block don't matter, and no number of copies or pages of one
+template keeps a line that is boilerplate elsewhere.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from preciario.llm.shared import written
+
 MIN_SITES = 10
 #: Sketches of 2^12 registers: a standard error of 1.04 / 64.
 LOG_REGISTERS = 12
@@ -87,19 +98,70 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str =
     rows of their own.  Every row is kept, also one that has only boilerplate (its text is empty).
     Columns named n_lines or n_removed are replaced.
     """
-    found = boilerplate(docs, min_sites, text, site)
-    place = F.coalesce(F.col(key).cast("string"), F.sha2(text, 256))
-    hits = (
-        docs.select(place.alias("__place"), F.explode(F.split(F.col(text), "\n")).alias("content"))
+    return without(docs, hits(docs, boilerplate(docs, min_sites, text, site), text, key), text, key)
+
+
+def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
+    """As ``remove_boilerplate``, by the sites that are left when occurrences between the same lines count as one."""
+    rows = line_rows(docs, text, site).select("line", "site")
+    wide = rows.groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line")
+    candidates = written(hits(docs, wide, text, key), "lines")
+    spread = (
+        contexts(docs, candidates, text, site, key)
+        .groupBy("line", "context")
+        .agg(F.min("site").alias("site"))
+        .groupBy("line")
+        .agg(F.countDistinct("site").alias("sites"))
+        .where(F.col("sites") >= min_sites)
+        .select("line")
+    )
+    found = candidates.select("__place", F.explode("__hits").alias("line")).join(spread, "line", "left_semi")
+    return without(docs, found.groupBy("__place").agg(F.collect_set("line").alias("__hits")), text, key)
+
+
+def contexts(docs: DataFrame, candidates: DataFrame, text: str, site: str, key: str) -> DataFrame:
+    """line, site and context (hash of the nearest lines that are neither blank nor candidates) of each candidate on a site."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, sites, around = [], [], []
+            for name, hashes, known in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                line = np.array(hashes, np.int64)
+                candidate = np.isin(line, known)
+                plain = np.append(line[~candidate], 0)  # at -1 and behind the last: none
+                place = np.cumsum(~candidate)[candidate]
+                lines.append(line[candidate])
+                sites.append(np.full(len(place), name, np.int64))
+                around.append(plain[place - 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ plain[place].view(np.uint64))
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (lines, sites, around)], ["line", "site", "context"])
+
+    content = F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
+    rows = docs.where(F.col(site).isNotNull() & F.col(text).isNotNull()).select(place_of(text, key).alias("__place"), F.xxhash64(site).alias("site"), F.transform(content, hashed).alias("lines"))
+    return rows.join(candidates, "__place").select("site", "lines", "__hits").mapInArrow(run, "line long, site long, context long")
+
+
+def place_of(text: str, key: str) -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.sha2(text, 256))
+
+
+def hits(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """__place and __hits: the lines of ``found`` in each text that has any."""
+    return (
+        docs.select(place_of(text, key).alias("__place"), F.explode(F.split(F.col(text), "\n")).alias("content"))
         .select("__place", hashed(F.col("content")).alias("line"))
         .join(found, "line", "left_semi")
         .groupBy("__place")
         .agg(F.collect_set("line").alias("__hits"))
     )
+
+
+def without(docs: DataFrame, hits: DataFrame, text: str, key: str) -> DataFrame:
+    """``docs`` without their ``hits``, with n_lines and n_removed."""
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: (F.trim(x, F.lit(BLANKS)) == "") | ~F.array_contains("__hits", hashed(x)))
     return (
-        docs.withColumn("__place", place)
+        docs.withColumn("__place", place_of(text, key))
         .join(hits, "__place", "left")
         .withColumn("__kept", F.when(F.col("__hits").isNotNull(), kept).otherwise(lines))
         .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))

@@ -153,6 +153,27 @@ def test_op7_equals_oracle(spark):
     assert differences(queries.QUERIES["op7_line_dedup"](spark, "/root/testdata/sf0.01"), connect("/root/testdata/sf0.01"), queries.ORACLES["op7_line_dedup"]) == []
 
 
+def test_spread_lines(spark):
+    """Frames of blank lines, blocks, copies around a line and a template of one site; a text copied to many sites stays."""
+    block = "block one\nblock two\nblock three"
+    rows = [(i, f"{prose(i, 5)}\n\nFramed\n\n{prose(i + 50, 5)}\n{block}\n{prose(i + 90, 5)}\nLicence", "en", f"s{i % 12}") for i in range(24)]
+    rows += [(100 + i, f"copied start\nLicence\ncopied end\n{block}", "en", f"s{i % 15}") for i in range(1000)]
+    rows += [(2000 + i, f"{prose(i + 2000, 5)}\ntemplate head\nFramed\ntemplate foot\n{prose(i + 4000, 5)}", "en", "s1") for i in range(300)]
+    rows += [(3000 + i, f"{prose(i + 7000, 5)}\nnine sites only\n{prose(i + 8000, 5)}", "en", f"s{i % 9}") for i in range(27)]
+    rows += [(None, "Licence", "en", None), (None, "Licence", None, "s1"), *AWKWARD]
+    gone = {"Framed", "Licence", *block.split("\n")}
+    want = []
+    for key, text, _, _ in rows:
+        lines = text.split("\n") if text is not None else []
+        left = [x for x in lines if x not in gone]
+        want.append((key, None if text is None else "\n".join(left), len(lines), len(lines) - len(left)))
+    got = line_dedup.remove_spread_lines(documents(spark, rows).repartition(5)).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert line_dedup.remove_spread_lines(documents(spark, [])).count() == 0
+    staged = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, documents(spark, rows), SF).collect()}
+    assert staged[100] == "copied start\ncopied end" and not any("Framed" in (x or "") for x in staged.values())
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
