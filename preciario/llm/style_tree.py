@@ -3,7 +3,7 @@
 All pages of a host are laid over each other: element nodes with the same path
 (tags with their classes) are one style node.  Two things are counted per style node:
 on how many pages it has which sequence of children (presentation), and on how
-many pages it holds which text (content).  Entropies of both, to the base of the
+many pages it holds which text (content).  Copies of a page on its host count as one page.  Entropies of both, to the base of the
 number of pages, say how much a node differs from page to page; what is the same
 everywhere is template.  Each page is then read again: a branch's importance is
 composed from its nodes, and branches of low importance are removed.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from preciario.llm.shared import ddl, written
 
-#: Hosts with fewer pages that have a node say nothing about it.
+#: Hosts with fewer distinct pages that have a node say nothing about it.
 MIN_PAGES = 4
 LOW = 0.25
 #: Weight of a node's own presentation falls as GAMMA ** children, as published for style trees.
@@ -216,23 +216,39 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def site_styles(pages: DataFrame) -> DataFrame:
-    """host and model: an array of (style, look, content) for each style node below full importance."""
+def page_features(pages: DataFrame) -> DataFrame:
+    """host and features (style, look, feature) of every distinct page of a host."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            hosts, rows = [], []
+            hosts, digests, styles, looks, found = [], [], [], [], []
             for name, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = list(features(page or ""))
-                hosts += [name] * len(found)
-                rows += found
-            signed = lambda x: x - (1 << 64) if x >> 63 else x
+                digest = xxhash.xxh3_128_digest(page or "")
+                if (name, digest) in seen:
+                    continue
+                if len(seen) < 1_000_000:  # beyond, copies in one task are only repeated rows
+                    seen.add((name, digest))
+                rows = list(features(page or ""))
+                hosts.append(name)
+                digests.append(digest)
+                styles.append([signed(r[0]) for r in rows])
+                looks.append([r[1] for r in rows])
+                found.append([signed(r[2]) for r in rows])
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array([signed(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([signed(r[2]) for r in rows], pa.int64())],
-                ["host", "style", "look", "feature"],
+                [pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(styles, longs), pa.array(looks, pa.list_(pa.bool_())), pa.array(found, longs)],
+                ["host", "digest", "style", "look", "feature"],
             )
 
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, style long, look boolean, feature long")
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digest binary, style array<long>, look array<boolean>, feature array<long>")
+    return rows.dropDuplicates(["host", "digest"]).select("host", F.arrays_zip("style", "look", "feature").alias("features"))
+
+
+def site_styles(pages: DataFrame) -> DataFrame:
+    """host and model: an array of (style, look, content) for each style node below full importance."""
+    rows = page_features(pages).select("host", F.inline("features"))
     counted = rows.groupBy("host", "style", "look", "feature").agg(F.count(F.lit(1)).cast("double").alias("n"))
     look, n = F.col("look"), F.col("n")
     sums = counted.groupBy("host", "style").agg(

@@ -65,6 +65,18 @@ def test_same_article_on_every_page_stays(spark):
     assert {r.text for r in style_tree.extract(pages(spark, rows)).collect()} == {"T\nsame"}
 
 
+def test_copies_are_no_template(spark):
+    """Copies of one page, alone on their host or among other pages; the box of the varied pages still goes."""
+    box = "<div class='box'><p>Fixed words of the site</p></div>"
+    copy = "<div class='w'>{}<div class='t'><p>Copied story</p><table class='x'><tr><td>cell</table></div></div>"
+    rows = [(i, "http://only", copy.format("")) for i in range(9)]
+    rows += [(100 + i, "http://some", copy.format(box)) for i in range(9)]
+    rows += [(200 + i, "http://some", f"<div class='w'>{box}<div class='t'><p>Story {i} told {i * 7}</p></div></div>") for i in range(12)]
+    got = {r.page_id: r.text for r in style_tree.extract(pages(spark, rows).repartition(5)).collect()}
+    want = {i: "Copied story\ncell" for i in (*range(9), *range(100, 109))} | {200 + i: f"Story {i} told {i * 7}" for i in range(12)}
+    assert got == want
+
+
 def test_op2_whole_table(spark):
     got = {r.page_id: r.text for r in queries.QUERIES["op2_html"](spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
