@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -51,13 +52,14 @@ ARTICLE = frozenset(("article", "main"))
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: An open element of this kind is not searched beyond.
 SCOPE = frozenset("table ul ol dl article section div body main td th blockquote".split())
-#: Words in class, id or role that mark what isn't article.
-NOISE = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|related|recommended|share|sharing|social|"
-    r"comments?|replies|respond|footer|header|masthead|topbar|toolbar|search|complementary|contentinfo|pagination|tags)(?:$|[-_ ])",
-    re.I,
+#: Names (class, id or role) that consist of these words mark what isn't article; has-sidebar and category-social don't.
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice alert popup modal overlay newsletter "
+    "subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget related recommended share sharing social "
+    "comment comments replies respond footer header masthead topbar toolbar search complementary contentinfo pagination tags".split()
 )
+#: Elements that no name makes noise.
+NAMELESS = frozenset(("html", "body", *ARTICLE))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)", re.S
@@ -66,16 +68,30 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 
 
 class Node:
-    __slots__ = ("children", "depth", "noise", "parent", "style", "tag")
+    __slots__ = ("children", "depth", "named", "noise", "parent", "style", "tag")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.depth = parent.depth + 1 if parent else 0
-        self.noise = tag in NEVER or bool(names and NOISE.search(names)) or (tag == "header" and not inside_article(parent))
+        self.named = bool(names) and tag not in NAMELESS and noisy(names, parent)
+        self.noise = tag in NEVER or self.named or (tag == "header" and not inside_article(parent))
         base = parent.style if parent else 0
         self.style = xxhash.xxh3_64_intdigest(f"{tag}.{names}", base) if self.depth < DEPTH else base
 
 
+@lru_cache(maxsize=65536)
+def kinds(names: str) -> tuple[bool, bool]:
+    """Whether one of the names consists of words of noise: any, and any but header."""
+    found = [words for words in (set(re.split("[-_]+", name.strip("-_").lower())) for name in names.split()) if words <= NOISE]
+    return bool(found), any(words != {"header"} for words in found)
+
+
+def noisy(names: str, parent: Node | None) -> bool:
+    """An article has a header of its own."""
+    anywhere, inside = kinds(names)
+    return inside or anywhere and not inside_article(parent)
+
+
 def inside_article(node: Node | None) -> bool:
     while node is not None:
         if node.tag in ARTICLE:
@@ -131,6 +147,22 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def spare(nodes: list[Node]) -> None:
+    """Takes the mark of noise off branches that hold at least half of the page's text that isn't noise otherwise:
+    forms, and names around an article if no article is outside of such branches."""
+    articles = [n for n in nodes if n.tag in ARTICLE]
+    around = {p for n in articles for p in ancestors(n)} if all(any(p.noise for p in ancestors(n)) for n in articles) else ()
+    marked = {n for n in nodes if n.noise and (n.tag == "form" and not n.named or n in around and (n.tag == "form" or n.tag not in NEVER and n.named))}
+    if not marked:
+        return
+    sizes: dict[Node, int] = {}
+    for node in reversed(nodes):
+        sizes[node] = 0 if node.noise and node not in marked else sum(len(c.strip()) if isinstance(c, str) else sizes[c] for c in node.children)
+    for node in marked:
+        if sizes[node] and 2 * sizes[node] >= sizes[nodes[0]]:
+            node.noise = False
+
+
 def closed(at: Node, tags: tuple[str, ...], scope: frozenset) -> Node:
     """The place after ending the nearest open element of ``tags``, if it is in scope."""
     node = at
@@ -179,6 +211,7 @@ def importances(nodes: list[Node], model: dict[int, tuple[float, float]]) -> dic
 def main_text(page: str | None, model: dict[int, tuple[float, float]]) -> str:
     """Blocks of the page without branches of low importance."""
     nodes = parse(page or "")
+    spare(nodes)
     importance = importances(nodes, model)
     articles = [n for n in nodes if n.tag in ARTICLE and not n.noise and not any(p.noise for p in ancestors(n))]
     roots = [n for n in articles if not any(p in articles for p in ancestors(n))] if articles else [nodes[0]]

@@ -45,6 +45,28 @@ def test_pages(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body class='has-sidebar'><p>a</p></body>", "a"),
+        ("<body class='sidebar'><p>a</p></body>", "a"),
+        ("<div class='content with-sidebar'><p>a</p></div><div class='sidebar'>b</div><div id='nav-menu'>c</div>", "a"),
+        ("<div>x</div><article class='post category-social'>a</article>", "a"),
+        ("<article class='related'>a</article>", "a"),
+        ("<article><header class='entry-header'><h1>T</h1></header>a</article>", "T\na"),
+        ("<article><div class='header'><h1>T</h1></div>a<div class='share'>s</div></article><div class='header'>h</div>", "T\na"),
+        ("<div class='page-header'><h1>T</h1></div><p>a</p>", "T\na"),
+        ("<div class='modal'><article><p>the text</p></article></div><p>b</p>", "the text"),
+        ("<div class='related'><article>t</article></div><p>the text</p>", "the text"),
+        ("<form><nav>n</nav><p>the text</p><label>l</label></form>", "the text"),
+        ("<form class='search'><article>a</article><aside>b</aside></form>", "a"),
+        ("<p>the text of the page</p><form><p>send</p></form>", "the text of the page"),
+    ],
+)
+def test_names_and_forms_around_the_article(page, text):
+    assert text_of(page) == text
+
+
 def test_deep_page():
     assert text_of("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
