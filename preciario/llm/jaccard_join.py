@@ -12,7 +12,7 @@ only pairs that share one are verified, on the whole sets.
   segment (pairs its buckets would make): segments far above the rest are left out, first as far as spare segments
   go, then each against a one-deletion segment among the cheapest.
 * **Empty segments** are equal for no good reason; a set with at most ``SPARE_EMPTY`` of them need
-  not index them.
+  not index those of value 0; one of value 1 counts for two and is always indexed.
 * **Equal sets** are one class from the start, so copies never meet in pairs.
 * **Stars, then differences.**  Members of a bucket are verified against its most central class (the one
   that shares the most signatures with others) and links are closed into components.  Where a star still
@@ -184,11 +184,12 @@ def signatures(tokens: np.ndarray, bands: Bands, values: dict[int, np.ndarray] |
         starts = np.flatnonzero(np.diff(segment, prepend=-1))
         sums, used = np.add.reduceat(part, starts), segment[starts]
         numbers, found = [used], [sums]
-        if m - len(used) > SPARE_EMPTY:
-            empty = np.setdiff1d(np.arange(m), used)
-            numbers.append(empty)
-            found.append(np.zeros(len(empty), np.uint64))
         own = None if values is None else values.get(k)
+        empty = np.setdiff1d(np.arange(m), used)
+        if len(empty) <= SPARE_EMPTY:
+            empty = empty[:0] if own is None else empty[own[empty] == 1]
+        numbers.append(empty)
+        found.append(np.zeros(len(empty), np.uint64))
         if own is not None:
             ones = own[segment] == 1
             numbers.append(segment[ones])

@@ -105,6 +105,31 @@ def test_every_linked_pair_shares_a_signature(dear):
             assert keys[0] & keys[1], (size, trial)
 
 
+def test_empty_one_deletion_segments_are_indexed():
+    """Costs that leave out the equal segments and give value 1 to the empty ones."""
+    rng, checked = np.random.default_rng(3), 0
+    for size in [*range(9, 14)] * 100:
+        bands = jaccard_join.Bands()
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        most = 2 * len(a) * 10 // 190
+        b = np.unique(np.concatenate([a[most // 2 :], rng.integers(0, 2**63, most - most // 2).astype(np.uint64)]))
+        if not jaccard_join.links(a, b) or np.array_equal(a, b):
+            continue
+        costs = {}
+        for k in set(bands.schemes(len(a))) & set(bands.schemes(len(b))):
+            m = bands.segments(k)
+            parts = []
+            for x in (a, b):
+                segment = ((jaccard_join.mixed(x ^ jaccard_join._C) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+                parts.append([set(x[segment == i].tolist()) for i in range(m)])
+            costs |= {(k, i): 0.0 if not x and not y else 1e9 if x == y else 1.0 for i, (x, y) in enumerate(zip(*parts, strict=True))}
+        values = jaccard_join.allocate(costs, bands)
+        keys = [set(np.concatenate([s for _, _, s in jaccard_join.signatures(x, bands, values)]).tolist()) for x in (a, b)]
+        assert keys[0] & keys[1], (a, b)
+        checked += 1
+    assert checked > 300
+
+
 def test_allocation_uses_all_three_values():
     bands = jaccard_join.Bands()
     k = bands.schemes(400)[0]
