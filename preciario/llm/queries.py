@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from preciario.llm import bpe, jaccard_join, language, line_dedup, neighbours, packing, style_tree, token_counts, topk, warc
+from preciario.llm import bpe, jaccard_join, language, line_dedup, merkle, neighbours, packing, style_tree, token_counts, topk, warc
 from preciario.llm.shared import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,13 @@ RANKS_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SPECIAL_50K = (("<|endoftext|>", 50256),)
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit, in DuckDB's dialect."""
+    return f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, len({text}) + 1),
+        lambda i: [CAST(ascii(substring({text}, CAST(i AS INTEGER), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a // 2, (a % 2) * 3988292384) END), 4294967295)"""
+
+
 def query(function: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[function.__name__] = function
     if oracle:
@@ -96,3 +103,50 @@ FROM p LEFT JOIN f USING (d)""",
 )
 def op10_warc(spark, sf):
     return warc.round_trip(table(spark, sf, "pages"), scratch_path(spark, "warc"))
+
+
+def _packed_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _tree_sql(name: str, leaves: str, group: str) -> str:
+    """Levels (name: grp, lvl, pos, n, h) over ``leaves`` (grp, pos, n, h), and the runs of siblings (name_runs)."""
+    return f"""{name} AS (
+  SELECT grp, 0 AS lvl, pos, n, h FROM {leaves}
+  UNION ALL
+  SELECT grp, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY grp, lvl, pos // 3, n
+), {name}_runs AS (SELECT grp, lvl, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM {name} WHERE n > 1 GROUP BY grp, lvl, pos // 3
+), {name}_climb AS (
+  SELECT grp, member, 0 AS lvl, pos, h, proof FROM {group}
+  UNION ALL
+  SELECT c.grp, c.member, c.lvl + 1, c.pos // 3,
+         sha256(array_to_string(list_transform(range(1, len(hs) + 1), lambda i: CASE WHEN i = c.pos % 3 + 1 THEN c.h ELSE hs[i] END), '')),
+         c.proof || array_to_string(list_filter(list_transform(range(1, len(hs) + 1), lambda i: CASE WHEN i <> c.pos % 3 + 1 THEN hs[i] END), lambda x: x IS NOT NULL), '')
+  FROM {name}_climb c JOIN {name}_runs r ON r.grp = c.grp AND r.lvl = c.lvl AND r.run = c.pos // 3
+), {name}_top AS (SELECT grp, member, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM {name}_climb GROUP BY grp, member)"""
+
+
+@partial(
+    query,
+    oracle=f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS member, doc_id, coalesce('=' || source, '-') AS grp, CAST(doc_id AS VARCHAR) AS id, text,
+         {" || ".join(_packed_sql(x) for x in ("doc_id", "source", "lang", "n_chars"))} AS head FROM documents
+), h AS (
+  SELECT member, doc_id, grp, sha256(head || {_packed_sql("text")}) AS leaf,
+         CASE WHEN id IS NOT NULL AND {crc32_sql("id")} % 2 = 0 THEN sha256(head || {_packed_sql("replace(text, chr(10), '')")}) END AS altered FROM d
+), leaves AS (
+  SELECT *, leaf AS h, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM h
+), starts AS (SELECT grp, member, pos, coalesce(altered, leaf) AS h, '' AS proof FROM leaves),
+{_tree_sql("t", "leaves", "starts")},
+subroots AS (SELECT '' AS grp, grp AS member, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n, h FROM t WHERE n = 1),
+tops AS (SELECT '' AS grp, t_top.member, s.pos, t_top.h, t_top.proof FROM t_top JOIN subroots s ON s.member = t_top.grp),
+{_tree_sql("u", "subroots", "tops")}
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(u_top.proof) AS proof_sha256, u_top.h AS folded_root, u_top.h = r.h AS verified
+FROM leaves JOIN subroots s ON s.member = leaves.grp JOIN u_top ON u_top.member = leaves.member JOIN u r ON r.n = 1""",
+)
+def op13_merkle(spark, sf):
+    docs = table(spark, sf, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    altered = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.checked(docs, altered).select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
