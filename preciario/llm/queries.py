@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from preciario.llm import bpe, jaccard_join, language, line_dedup, merkle, neighbours, packing, style_tree, token_counts, topk, warc
-from preciario.llm.shared import scratch_path, table
+from preciario.llm import bpe, jaccard_join, language, line_dedup, merkle, neighbours, packing, quality_classifier, style_tree, token_counts, topk, trie, warc
+from preciario.llm.shared import discard, scratch_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,6 +105,52 @@ def op10_warc(spark, sf):
     return warc.round_trip(table(spark, sf, "pages"), scratch_path(spark, "warc"))
 
 
+@query
+def op11_quality(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, sf, "labels"))
+    rows = docs.withColumn("held_out", quality_classifier.held_out(F.col("doc_id")))
+    return quality_classifier.scored(rows, model, keep=("doc_id", "held_out"))
+
+
+@partial(
+    query,
+    oracle=f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM t
+), r AS (
+  SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos < h
+  UNION ALL
+  SELECT c.conv_id, t.pos - h + least(h, coalesce(b.n, 0)), t.role, t.text
+  FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= h LEFT JOIN (SELECT DISTINCT conv_id, n FROM t) b ON b.conv_id = c.base
+), s AS (
+  SELECT c.conv_id, coalesce(list(sha256(strlen(role) || ':' || role || text) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS turns,
+         list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY pos) FILTER (WHERE pos IS NOT NULL) AS words
+  FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+), p AS (SELECT conv_id, turns, words, unnest(range(0, len(turns) + 1)) AS depth FROM s
+), n AS (
+  SELECT array_to_string(turns[:depth], '/') AS path, depth, any_value(turns[:depth]) AS turns, min(conv_id) AS conv_id, count(*) AS n_convs,
+         max(CASE WHEN depth > 0 THEN words[depth] ELSE 0 END) AS w,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '')) AS ends_sha256 FROM p GROUP BY ALL
+), k AS (SELECT array_to_string(turns[:depth - 1], '/') AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path AND k.depth = n.depth
+), a AS (SELECT turns, n_convs, n_children, w, unnest(range(0, depth + 1)) AS d FROM f
+), g AS (SELECT array_to_string(turns[:d], '/') AS path, d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens FROM a GROUP BY ALL)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN g ON g.path = f.path AND g.d = f.depth LEFT JOIN f u ON u.path = array_to_string(f.turns[:f.depth - 1], '/') AND u.depth = f.depth - 1""",
+)
+def op12_trie(spark, sf):
+    own = written(trie.conversations_of(table(spark, sf, "conversations")), "trie-conversations")
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    rebuilt = written(trie.with_heads(own, F.col("conv_id") - F.col("conv_id") % 20, heads, 3), "trie-rebuilt")
+    out = trie.prefix_trie(rebuilt)
+    discard(own, rebuilt)
+    return out
+
+
 def _packed_sql(value: str) -> str:
     return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
 
