@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from preciario.llm.jaccard_join import mixed, word_hashes
-from preciario.llm.shared import ddl
+from preciario.llm.shared import ddl, discard, written
 
 FEATURES = 1 << 17
 ORDERS = (1, 2, 3, 4)
@@ -173,7 +173,8 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     votes = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg((F.col(label) == 1).cast("double")).alias("share"))
     votes = votes.where(F.col("share") != 0.5).select(F.col(key).alias("__key"), (F.col("share") > 0.5).alias("good"))
     rows = docs.where(~held_out(F.col(key))).select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.join(votes, "__key").select(F.xxhash64(F.col("__key").cast("string"), F.lit(42)).alias("at"), "text", "good")
+    # texts move once, at every size: labels grow with the input and are never broadcast
+    return rows.join(votes.hint("merge"), "__key").select(F.xxhash64(F.col("__key").cast("string"), F.lit(42)).alias("at"), "text", "good")
 
 
 def class_counts(rows: DataFrame) -> np.ndarray:
@@ -196,7 +197,14 @@ def class_counts(rows: DataFrame) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """A model of ``label`` (1 against the rest) from the rows that are not held out."""
-    rows = labelled(docs, labels, key, text, label)
+    rows = written(labelled(docs, labels, key, text, label), "labelled")
+    try:
+        return _trained(rows)
+    finally:
+        discard(rows)
+
+
+def _trained(rows: DataFrame) -> Model:
     sizes = {r.good: r.n for r in rows.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_good, n_bad = sizes.get(True, 0), sizes.get(False, 0)
     nothing = np.zeros(FEATURES)
