@@ -68,9 +68,9 @@ def build(spark, sf_dir: str) -> dict[str, str]:
     apus = S.sink_apus(S.scan_staging(spark, f"{out}/staging-apus", schemas.APUS), f"{out}/apus")
     facts = spark.read.parquet(apus)
     S.sink_item_docs(A.item_document(facts), _provenance(), f"{out}/items")
-    S.sink_province_docs(A.province_document(facts), _provenance(), f"{out}/provincias")
+    S.sink_province_docs(A.province_summary(facts), A.province_items(facts), _provenance(), f"{out}/provincias")
     S.sink_catalog(A.catalog(facts), f"{out}/catalogo")
-    unresolved = X.unresolved_lines(T.line_cells(spark, sf_dir), SECCIONES_ANCHAS)
+    unresolved = X.unresolved_lines(T.cells(spark, sf_dir), SECCIONES_ANCHAS)
     tables = (spark.read.parquet(lineas), spark.read.parquet(f"{out}/insumos"), unresolved)
     document = A.stats_document(facts, *(t.agg(F.count(F.lit(1)).alias("n")).scalar() for t in tables))
     S.sink_stats(document.select(*S.header(_provenance(), F.lit(VIGENCIA)), *document.columns), f"{out}/stats")

@@ -51,12 +51,16 @@ def positions(
     return joined.select(*df.columns, position.alias(name))
 
 
-def value_bucket(value: Column, per_octave: int = 128) -> Column:
-    """Monotone bucket of a number: a fixed count of buckets per power of two."""
+#: Buckets of an octave, how often the middle bucket is cut again, into how many, and over how many tasks its values are dealt.
+PER_OCTAVE, REFINEMENTS, CUTS, SALTS = 128, 2, 1024, 16
+
+
+def value_bucket(value: Column, per_octave: int = PER_OCTAVE) -> Column:
+    """Monotone bucket of a number: a fixed count of buckets per power of two, and finer ones inside coarser ones."""
     return (
         F.when(value > 0, F.floor(F.log2(value) * per_octave))
-        .when(value == 0, F.lit(-1_000_000))
-        .otherwise(-2_000_000 - F.floor(F.log2(-value) * per_octave))
+        .when(value == 0, F.lit(-1100 * per_octave))
+        .otherwise(-2200 * per_octave - F.floor(F.log2(-value) * per_octave))
         .cast("long")
     )
 
@@ -67,23 +71,34 @@ def group_median(
     value: str,
     name: str = "mediana",
     count: str = "n",
-    per_octave: int = 128,
+    per_octave: int = PER_OCTAVE,
+    refinements: int = REFINEMENTS,
 ) -> DataFrame:
     """Exact interpolated median and row count per group, nulls left out.
 
-    Distinct values are counted first (map-side combine), a histogram per group
-    finds the one or two buckets that hold the middle, and only those buckets
-    are sorted.  The histogram has at most ``2098 * per_octave`` rows a group.
+    Distinct values are counted first (map-side combine), and a histogram per group finds the one or two buckets that
+    hold the middle.  These are cut ``CUTS``-fold again, ``refinements`` times, so that wherever values crowd the last
+    buckets, the only ones that are sorted, hold few distinct ones (an octave has 2 ** 27 of them).  A histogram has at most
+    ``4200 * per_octave`` rows a group, one of a refinement ``2 * CUTS``; the values of a bucket are read by ``SALTS`` tasks.
     """
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", value_bucket(F.col("_v"), per_octave))
     )
+    salt = F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")
+    widths = [per_octave * CUTS**i for i in range(refinements + 1)]
+
+    def inside_middle(middle: DataFrame, width: int) -> DataFrame:
+        """The counted values of the middle buckets."""
+        dealt = middle.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        at = [*keys, "_b", "_s"]
+        rows = counted.withColumns({"_b": value_bucket(F.col("_v"), width), "_s": salt})
+        return rows.join(_right(dealt, at), _same(at)).select(*keys, "_b", "_v", "_c", "_start", "_n", "_lo", "_hi")
+
     running = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     histogram = (
-        counted.groupBy(*keys, "_b")
+        counted.groupBy(*keys, value_bucket(F.col("_v"), widths[0]).alias("_b"))
         .agg(F.sum("_c").alias("_bc"))
         .withColumn("_upto", F.sum("_bc").over(running))
         .withColumn("_n", F.sum("_bc").over(W.partitionBy(*keys)))
@@ -91,14 +106,19 @@ def group_median(
         .withColumn("_hi", F.expr("_n div 2"))
     )
     start = F.col("_upto") - F.col("_bc")
-    middle = histogram.where((start <= F.col("_hi")) & (F.col("_upto") > F.col("_lo"))).select(
-        *keys, "_b", start.alias("_start"), "_n", "_lo", "_hi"
-    )
-    joined = counted.join(_right(middle, [*keys, "_b"]), _same([*keys, "_b"])).select(
-        *keys, "_b", "_v", "_c", "_start", "_n", "_lo", "_hi"
-    )
+    holding = (start <= F.col("_hi")) & (F.col("_upto") > F.col("_lo"))
+    middle = histogram.where(holding).select(*keys, "_b", start.alias("_start"), "_n", "_lo", "_hi")
+    for before, width in zip(widths, widths[1:]):
+        cut = W.partitionBy(*keys, "_a").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+        finer = (
+            inside_middle(middle, before)
+            .groupBy(*keys, F.col("_b").alias("_a"), value_bucket(F.col("_v"), width).alias("_b"), "_start", "_n", "_lo", "_hi")
+            .agg(F.sum("_c").alias("_bc"))
+            .withColumn("_upto", F.col("_start") + F.sum("_bc").over(cut))
+        )
+        middle = finer.where(holding).select(*keys, "_b", start.alias("_start"), "_n", "_lo", "_hi")
     inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = joined.withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
+    placed = inside_middle(middle, widths[-1]).withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
 
     def holds(rank: str) -> Column:
         return (F.col("_end") > F.col(rank)) & (F.col("_end") - F.col("_c") <= F.col(rank))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from preciario.constants import COMPONENTES
 from preciario.functions.codes import chapter_name, chapter_number, component_order, natural_key
 from preciario.functions.money import mean_ratio, round_money, sum_money
-from preciario.functions.ordering import group_median
+from preciario.functions.ordering import group_median, positions
 from preciario.functions.text import title
 from preciario.operators.extract import department_name
 from preciario.sources.schemas import COLUMNAS_DESGLOSE
@@ -149,6 +149,13 @@ def province_document(facts: DataFrame) -> DataFrame:
     return province_summary(facts).join(items, "slug")
 
 
+def province_items(facts: DataFrame) -> DataFrame:
+    """The items of every province with their place (``posicion``) in natural code order."""
+    chapter = F.coalesce(F.split_part(F.col("codigo"), F.lit("."), F.lit(1)).try_cast("long"), F.lit(-1))
+    placed = positions(facts, ["slug"], [natural_key(F.col("codigo"))], chapter, name="posicion")
+    return placed.select("slug", "posicion", "codigo", title(F.col("descripcion")).alias("titulo"), "unidad", "capitulo", "costoDirecto")
+
+
 def stats_counts(facts: DataFrame, n_lines: Column, n_supplies: Column, n_unresolved: Column) -> DataFrame:
     """Row counts and distinct keys, in one pass over the facts."""
     return facts.agg(

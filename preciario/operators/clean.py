@@ -129,16 +129,6 @@ def nested_apu(facts: DataFrame, lineas: Column) -> DataFrame:
     )
 
 
-def nested_lines(lines: DataFrame) -> DataFrame:
-    """The lines of each item and region as one array in sheet order: what a
-    nested document holds, so it is as long as the document."""
-    line = F.struct(
-        "orden", "componente", F.col("codigoInsumo").alias("codigo"), "descripcion", "unidad", "unidadCruda", "cantidad", "precioUnitario",
-        "subtotal", "porcentaje", "base", "distancia", "jornal", "factorPrestacional",
-    )
-    return lines.groupBy("codigo", "slug").agg(F.array_sort(F.collect_list(line)).alias("lineas"))
-
-
 def flatten_apu(nested: DataFrame) -> DataFrame:
     """Nested item document -> the flat 22-column row, money rounded."""
     label = codes.chapter_label(F.col("capitulo"))
@@ -165,17 +155,25 @@ def flatten_apu(nested: DataFrame) -> DataFrame:
     )
 
 
+def _region(struct: str) -> list[Column]:
+    return [F.col(f"{struct}.codigo").alias("regionCodigo"), *(F.col(f"{struct}.{c}") for c in ("slug", "departamento", "provincia"))]
+
+
 def explode_lines(nested: DataFrame) -> DataFrame:
-    """One row per line, numbered from 1 in document order."""
-    flat = nested.select("vigencia", "region", "codigo", F.posexplode("lineas").alias("pos", "linea"))
-    return flat.select(
+    """One row per line, numbered from 1 in document order.
+
+    ``nested`` has documents with an array ``lineas``, or one row per line as read from streamed documents
+    (documento, posicion, elemento), which hold any number of them.
+    """
+    if "elemento" in nested.columns:
+        rows = nested.where(F.col("elemento").isNotNull()).select("documento.vigencia", "documento.region", "documento.codigo", F.col("posicion").cast("int").alias("orden"), F.col("elemento").alias("linea"))
+    else:
+        rows = nested.select("vigencia", "region", "codigo", F.posexplode("lineas").alias("pos", "linea")).withColumn("orden", F.col("pos") + 1)
+    return rows.select(
         "vigencia",
-        F.col("region.codigo").alias("regionCodigo"),
-        "region.slug",
-        "region.departamento",
-        "region.provincia",
+        *_region("region"),
         "codigo",
-        (F.col("pos") + 1).alias("orden"),
+        "orden",
         "linea.componente",
         F.col("linea.codigo").alias("codigoInsumo"),
         "linea.descripcion",
@@ -193,13 +191,17 @@ def explode_lines(nested: DataFrame) -> DataFrame:
 
 
 def explode_supplies(lists: DataFrame) -> DataFrame:
-    """One row per supply of a nested list."""
-    return lists.select("procedencia.vigencia", F.explode("insumos").alias("i")).select(
+    """One row per supply of nested lists, or of streamed ones (documento, posicion, elemento)."""
+    if "elemento" in lists.columns:
+        rows = lists.where(F.col("elemento").isNotNull()).select("documento.vigencia", *_region("documento.region"), F.col("elemento").alias("i"))
+    else:
+        rows = lists.select("procedencia.vigencia", F.explode("insumos").alias("i")).select("vigencia", *_region("i.region"), "i")
+    return rows.select(
         "vigencia",
-        F.col("i.region.codigo").alias("regionCodigo"),
-        "i.region.slug",
-        "i.region.departamento",
-        "i.region.provincia",
+        "regionCodigo",
+        "slug",
+        "departamento",
+        "provincia",
         F.col("i.codigo").alias("codigoInsumo"),
         "i.componente",
         "i.descripcion",

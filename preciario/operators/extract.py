@@ -47,11 +47,27 @@ _TEXT_FIELDS = {
 }
 
 
+#: Whole numbers below this are written without an exponent.
+_EXACT = float(2**53)
+
+
+def number_text(number: Column) -> Column:
+    """A number as the digits a reader sees: whole ones without a point, none with an exponent above a millionth."""
+    plain = number.cast("string")
+    wide = F.when(F.abs(number) < 1, plain.cast("decimal(38,23)").cast("string")).otherwise(plain.cast("decimal(38,17)").cast("string"))
+    wide = F.regexp_replace(wide, r"\.?0+$", "")
+    return (
+        F.when((number == F.floor(number)) & (F.abs(number) < _EXACT), number.cast("long").cast("string"))
+        .when(plain.contains("E") & (F.abs(number) >= 1e-6) & (F.abs(number) < 1e20), wide)
+        .otherwise(F.regexp_replace(plain, r"\.0$", ""))
+    )
+
+
 def _value(field: str) -> Column:
     """Cell value by the type of the field; a number may stand where text is read."""
     if field not in _TEXT_FIELDS:
         return F.col("numero")
-    return F.coalesce(F.col("texto"), F.regexp_replace(F.col("numero").cast("string"), r"\.0$", ""))
+    return F.coalesce(F.col("texto"), number_text(F.col("numero")))
 
 
 def _pick(condition: Column, field: str) -> Column:
@@ -83,34 +99,96 @@ def header_pivot(cells: DataFrame) -> DataFrame:
     return wanted.groupBy(*SHEET).agg(*(_pick(_at(*spot), field) for field, spot in spots.items()))
 
 
-def contiguous_rows(rows: DataFrame, keys: list[str], first_row: Column) -> DataFrame:
+#: Kinds of sheets that are read by row; listings follow in the order of the layout.
+ITEM, INDEX, LISTING = 0, 1, 2
+_ITEM_COLUMNS = sorted(
+    {c for x in L.SECCIONES for c in x.columns.values()}
+    | {c for _, c in (*L.CELDAS_ITEM.values(), L.ETIQUETA_COSTO, *L.CELDAS_AIU)}
+    | set(L.HERRAMIENTA.values())
+)
+
+
+def sheet_rows(cells: DataFrame, *kinds: int) -> DataFrame:
+    """One row per row of an item, index or listing sheet: archivo, hoja, tipo, renglon and celdas.
+
+    This is the one exchange of extraction.  Header, sections, tools, index and listings are read from ``celdas`` (columna,
+    texto, numero), and since kind and row number are aggregates too, no reader's filter changes the exchange below:
+    all of them share it, and the cells are read once.  ``kinds`` limits the sheets from the start.
+    """
+    hoja = F.col("hoja")
+    kind = F.when(hoja.rlike(PATRON_HOJA_ITEM), ITEM).when(hoja == L.HOJA_INDICE, INDEX)
+    columns = {ITEM: _ITEM_COLUMNS, INDEX: sorted(L.INDICE_COLUMNAS.values())}
+    for i, listing in enumerate(L.LISTADOS, LISTING):
+        kind = kind.when(hoja == listing.hoja, i)
+        columns[i] = sorted(listing.columns.values())
+    wanted = {k: c for k, c in columns.items() if not kinds or k in kinds}
+    used = cells.where(F.col("archivo").isNotNull() & hoja.isNotNull() & F.col("fila").isNotNull()).withColumn("_k", kind)
+    used = used.where(_any([(F.col("_k") == k) & F.col("columna").isin(c) for k, c in wanted.items()]))
+    return (
+        used.groupBy(*SHEET, "fila")
+        .agg(F.max("_k").alias("tipo"), F.max("fila").alias("renglon"), F.collect_list(F.struct("columna", "texto", "numero")).alias("celdas"))
+        .select(*SHEET, "tipo", "renglon", "celdas")
+    )
+
+
+def _read(field: str, column: str) -> Column:
+    """Value of a row's cell by the type of the field; of repeated addresses the largest."""
+    own = F.filter("celdas", lambda c: c["columna"] == column)
+    if field not in _TEXT_FIELDS:
+        return F.array_max(F.transform(own, lambda c: c["numero"]))
+    return F.array_max(F.transform(own, lambda c: F.coalesce(c["texto"], number_text(c["numero"]))))
+
+
+def _printed(column: str) -> Column:
+    """Text of a row's cell; a number is none."""
+    return F.array_max(F.transform(F.filter("celdas", lambda c: c["columna"] == column), lambda c: c["texto"]))
+
+
+#: Rows of a tile in ``contiguous_rows``, one bit each, and the levels of tiles: more rows than a sheet can have.
+RUN_TILE, RUN_LEVELS = 60, 4
+
+
+def contiguous_rows(rows: DataFrame, keys: list[str], first_row: Column, row: str = "fila") -> DataFrame:
     """Rows from ``first_row`` up to the first missing row number.
 
-    A row whose successor is absent ends a run; the earliest such end bounds the
-    list.  That is an anti join on the full address, so a single long list is
-    spread over all tasks.
+    A tile of row numbers is summarised by one bit a row, tiles of tiles by one bit a tile and the first number
+    that is missing inside; all of it merges map-side, so a single long list is spread over all tasks.
     """
-    numbered = rows.where(F.col("fila") >= first_row)
-    address = [*keys, "fila"]
-    successor = numbered.select(*keys, (F.col("fila") - 1).alias("fila"))
-    ends = numbered.select(*address).join(successor, address, "left_anti")
-    ends = ends.groupBy(*keys).agg(F.min("fila").alias("_fin"))
-    started = numbered.where(F.col("fila") == first_row).select(*keys)
-    return numbered.join(ends.join(started, keys, "left_semi"), keys).where(F.col("fila") <= F.col("_fin")).drop("_fin")
+    full = (1 << RUN_TILE) - 1
+    started = rows.withColumn("_x", (F.col(row) - first_row).cast("long")).where(F.col("_x") >= 0)
+    at, lacking, size = F.col("_x"), F.lit(None).cast("long"), 1
+    runs = started.select(*keys, at.alias("_b"), lacking.alias("_falta"))
+    for _ in range(RUN_LEVELS):
+        bit = F.expr(f"shiftleft(1L, int(_b % {RUN_TILE}))")
+        runs = runs.groupBy(*keys, F.expr(f"_b div {RUN_TILE}").alias("_t")).agg(F.bit_or(bit).alias("_p"), F.min("_falta").alias("_falta"))
+        present = F.col("_p")
+        ones = F.bit_count(F.bitwise_not(present).bitwiseAND(present + 1) - 1)
+        absent = F.when(present != full, (F.col("_t") * RUN_TILE + ones) * size)
+        runs = runs.select(*keys, F.col("_t").alias("_b"), F.least("_falta", absent).alias("_falta"))
+        size *= RUN_TILE
+    return started.join(runs.drop("_b"), keys).where(F.coalesce(at < F.col("_falta"), F.lit(True))).drop("_x", "_falta")
+
+
+def _index_of(rows: DataFrame) -> DataFrame:
+    """Index rows (archivo, fila, hoja and the fields as printed) until the first blank code."""
+    found = rows.where(F.col("tipo") == INDEX).select(
+        "archivo", F.col("renglon").alias("fila"), *(_read(f, c).alias(f) for f, c in L.INDICE_COLUMNAS.items())
+    )
+    found = found.withColumn("hoja", with_commas(F.col("codigo"))).where(F.col("hoja").isNotNull())
+    return contiguous_rows(found, ["archivo"], F.lit(L.INDICE_PRIMERA_FILA))
 
 
 def _index_sheet(cells: DataFrame) -> DataFrame:
-    columns = L.INDICE_COLUMNAS
-    sheet = cells.where((F.col("hoja") == L.HOJA_INDICE) & F.col("columna").isin(*columns.values()))
-    rows = sheet.groupBy("archivo", "fila").agg(*(_pick(F.col("columna") == c, f) for f, c in columns.items()))
-    rows = rows.withColumn("hoja", with_commas(F.col("codigo"))).where(F.col("hoja").isNotNull())
-    return contiguous_rows(rows, ["archivo"], F.lit(L.INDICE_PRIMERA_FILA))
+    return _index_of(sheet_rows(cells, INDEX))
 
 
 def index_rows(cells: DataFrame) -> DataFrame:
     """Rows of the index sheet until the first blank code; see ``index_faults``
     for those that reject their workbook."""
-    rows = _index_sheet(cells)
+    return _index_fields(_index_sheet(cells))
+
+
+def _index_fields(rows: DataFrame) -> DataFrame:
     raw = clean_text(F.col("unidad"))
     return rows.select(
         "archivo",
@@ -144,24 +222,38 @@ def _in_section(section: L.Seccion) -> Column:
 def section_rows(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES) -> DataFrame:
     """Sheet rows that carry a supply code, assigned to the section whose row
     range holds them, with the columns of that section read by field."""
-    used = item_cells(cells).where(
-        _any([_in_section(s) & F.col("columna").isin(*s.columns.values()) for s in sections])
-    )
-    componente = reduce(
-        lambda chain, s: chain.when(_in_section(s), s.componente),
-        sections[1:],
-        F.when(_in_section(sections[0]), sections[0].componente),
-    )
-    fields = sorted({f for s in sections for f in s.columns})
+    used = cells.where(_any([_in_section(s) & F.col("columna").isin(*s.columns.values()) for s in sections]))
+    return _sections_of(sheet_rows(used, ITEM), sections)
+
 
-    def spot(field: str) -> Column:
-        return _any([_in_section(s) & (F.col("columna") == s.columns[field]) for s in sections if field in s.columns])
+def _sections_of(rows: DataFrame, sections: tuple[L.Seccion, ...]) -> DataFrame:
+    def inside(section: L.Seccion) -> Column:
+        return F.col("renglon").between(section.first_row, section.last_row)
 
-    rows = used.groupBy(*SHEET, "fila").agg(F.first(componente).alias("componente"), *(_pick(spot(f), f) for f in fields))
-    cleaned = rows.withColumns({c: clean_text(F.col(c)) for c in ("codigo", "descripcion", "unidad")})
+    componente = reduce(lambda chain, s: chain.when(inside(s), s.componente), sections[1:], F.when(inside(sections[0]), sections[0].componente))
+    fields = sorted({f for s in sections for f in s.columns})
+    own = rows.where((F.col("tipo") == ITEM) & _any([inside(s) for s in sections]))
+    found = own.select(
+        *SHEET,
+        F.col("renglon").alias("fila"),
+        componente.alias("componente"),
+        *(_by_column(f, sections, inside).alias(f) for f in fields),
+    )
+    cleaned = found.withColumns({c: clean_text(F.col(c)) for c in ("codigo", "descripcion", "unidad")})
     return cleaned.where(F.col("codigo").isNotNull())
 
 
+def _by_column(field: str, sections: tuple[L.Seccion, ...], inside) -> Column:
+    """A field's value, from one column where all sections print it in the same."""
+    columns = {s.componente: s.columns[field] for s in sections if field in s.columns}
+    if len(columns) == len(sections) and len(set(columns.values())) == 1:
+        return _read(field, next(iter(columns.values())))
+    value = F.lit(None)
+    for column in sorted(set(columns.values())):
+        value = F.when(_any([inside(s) for s in sections if columns.get(s.componente) == column]), _read(field, column)).otherwise(value)
+    return value
+
+
 def section_lines(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES) -> DataFrame:
     """Lines with a code and a numeric amount."""
     return section_rows(cells, sections).where(F.col("subtotal").isNotNull())
@@ -209,10 +301,9 @@ def section_subtotals(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECC
     return long.withColumn("motivo", F.when(F.col("subtotal").isNull(), "subtotal no numérico"))
 
 
-def _minor_tools(cells: DataFrame) -> DataFrame:
-    columns = L.HERRAMIENTA
-    row = item_cells(cells).where((F.col("fila") == L.FILA_HERRAMIENTA) & F.col("columna").isin(*columns.values()))
-    wide = row.groupBy(*SHEET).agg(*(_pick(F.col("columna") == c, f) for f, c in columns.items()))
+def _minor_tools(rows: DataFrame) -> DataFrame:
+    found = rows.where((F.col("tipo") == ITEM) & (F.col("renglon") == L.FILA_HERRAMIENTA))
+    wide = found.select(*SHEET, *(_read(f, c).alias(f) for f, c in L.HERRAMIENTA.items()))
     wide = wide.withColumns({c: clean_text(F.col(c)) for c in ("codigo", "descripcion", "tipo")}).where(F.col("codigo").isNotNull())
     motivo = F.when(F.col("descripcion").isNull(), "herramienta menor: sin descripción")
     motivo = motivo.when(F.col("codigo") != CODIGO_HERRAMIENTA_MENOR, "herramienta menor: código inesperado")
@@ -225,7 +316,11 @@ def _minor_tools(cells: DataFrame) -> DataFrame:
 def minor_tools_line(cells: DataFrame) -> DataFrame:
     """The percentage-of-labour row, as an equipment line.  A row that breaks a
     rule is no line; ``reject_rows`` rejects its sheet for it."""
-    return _minor_tools(cells).where(F.col("motivo").isNull()).select(
+    return _tools_of(sheet_rows(cells.where(F.col("fila") == L.FILA_HERRAMIENTA), ITEM))
+
+
+def _tools_of(rows: DataFrame) -> DataFrame:
+    return _minor_tools(rows).where(F.col("motivo").isNull()).select(
         *SHEET,
         F.lit(L.FILA_HERRAMIENTA).cast("long").alias("fila"),
         F.lit("equipo").alias("componente"),
@@ -247,8 +342,12 @@ def sheet_lines(cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES)
 
 def equipment_units(cells: DataFrame) -> DataFrame:
     """Unit of each equipment code in its workbook; the last mention wins."""
+    return _units_of(sheet_rows(cells, LISTING + [x.hoja for x in L.LISTADOS].index("EQUIPO")))
+
+
+def _units_of(rows: DataFrame) -> DataFrame:
     listing = next(x for x in L.LISTADOS if x.hoja == "EQUIPO")
-    rows = listing_rows(cells, (listing,)).where(F.col("unidad").isNotNull())
+    rows = _listings_of(rows, (listing,)).where(F.col("unidad").isNotNull())
     return rows.groupBy("archivo", "codigo").agg(F.max_by("unidad", "fila").alias("unidadListado"))
 
 
@@ -266,9 +365,15 @@ def resolve_unit(lines: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
+def last_of_each_code(index: DataFrame) -> DataFrame:
+    """The last index row of each sheet."""
+    fields = [c for c in index.columns if c not in SHEET]
+    return index.groupBy(*SHEET).agg(F.max_by(F.struct(*fields), "fila").alias("_r")).select(*SHEET, "_r.*")
+
+
 def item_index_xref(headers: DataFrame, index: DataFrame) -> DataFrame:
-    """Fill chapter, article, class and missing text of a sheet from the index."""
-    side = index.select(
+    """Fill chapter, article, class and missing text of a sheet from the index; of a code listed twice the last row counts."""
+    side = last_of_each_code(index).select(
         *SHEET, "capitulo", "articulo", "clasificacion", F.col("descripcion").alias("_d"), F.col("unidad").alias("_u"),
         F.col("unidadCruda").alias("_c"), F.col("costoDirecto").alias("costoIndice"),
     )
@@ -351,30 +456,26 @@ def structure_violations(
 
 def listing_rows(cells: DataFrame, listings: tuple[L.Listado, ...] = L.LISTADOS) -> DataFrame:
     """Rows of the supply listings until the first blank code of each."""
-    used = cells.where(
-        _any([(F.col("hoja") == x.hoja) & (F.col("fila") >= x.first_row) & F.col("columna").isin(*x.columns.values()) for x in listings])
-    )
-    fields = ("codigo", "descripcion", "unidad", "categoria", "precio", "factorPrestacional")
+    return _listings_of(sheet_rows(cells, *(LISTING + L.LISTADOS.index(x) for x in listings)), listings)
 
-    def spot(field: str) -> Column:
-        found = [(F.col("hoja") == x.hoja) & (F.col("columna") == x.columns[field]) for x in listings if field in x.columns]
-        return _any(found) if found else F.lit(False)
 
-    rows = used.groupBy(*SHEET, "fila").agg(*(_pick(spot(f), f) for f in fields))
-    rows = rows.withColumns({c: clean_text(F.col(c)) for c in fields[:4]}).where(F.col("codigo").isNotNull())
+def _listings_of(rows: DataFrame, listings: tuple[L.Listado, ...] = L.LISTADOS) -> DataFrame:
+    kinds = {LISTING + L.LISTADOS.index(x): x for x in listings}
+    fields = ("codigo", "descripcion", "unidad", "categoria", "precio", "factorPrestacional")
 
-    def per_listing(attribute: str) -> Column:
-        return reduce(
-            lambda chain, x: chain.when(F.col("hoja") == x.hoja, F.lit(getattr(x, attribute))),
-            listings[1:],
-            F.when(F.col("hoja") == listings[0].hoja, F.lit(getattr(listings[0], attribute))),
-        )
+    def by_kind(value) -> Column:
+        return reduce(lambda chain, k: chain.when(F.col("tipo") == k, value(kinds[k])), list(kinds)[1:], F.when(F.col("tipo") == next(iter(kinds)), value(kinds[next(iter(kinds))])))
 
-    first = rows.withColumn("_primera", per_listing("first_row"))
-    listed = contiguous_rows(first, SHEET, F.col("_primera")).drop("_primera")
-    return listed.withColumns(
-        {"componente": per_listing("componente"), "unidad": F.coalesce("unidad", per_listing("default_unit").cast("string"))}
-    )
+    def field(name: str) -> Column:
+        return by_kind(lambda x: _read(name, x.columns[name]) if name in x.columns else F.lit(None).cast("string" if name in _TEXT_FIELDS else "double"))
+
+    found = rows.where(F.col("tipo").isin(*kinds)).select(
+        *SHEET, F.col("renglon").alias("fila"), by_kind(lambda x: F.lit(x.componente)).alias("componente"), by_kind(lambda x: F.lit(x.first_row)).alias("_primera"),
+        by_kind(lambda x: F.lit(x.default_unit).cast("string")).alias("_unidad"), *(field(f).alias(f) for f in fields),
+    )
+    found = found.withColumns({c: clean_text(F.col(c)) for c in fields[:4]}).where(F.col("codigo").isNotNull())
+    listed = contiguous_rows(found, SHEET, F.col("_primera"))
+    return listed.withColumn("unidad", F.coalesce("unidad", "_unidad")).drop("_primera", "_unidad")
 
 
 def supply_listing(cells: DataFrame, hojas: list[str] | None = None) -> DataFrame:
@@ -469,18 +570,18 @@ def region_resolve(named: DataFrame) -> DataFrame:
     )
 
 
-def _line_sums(cells: DataFrame, sections: tuple[L.Seccion, ...]) -> DataFrame:
-    """For each sheet and section: sum and number of its lines, and how many
-    lack a text or number they must have or hold a negative one."""
-    lines = section_lines(cells, sections)
+def _line_sums(rows: DataFrame, sections: tuple[L.Seccion, ...]) -> DataFrame:
+    """For each item sheet and section: sum and number of its lines, how many lack a text or number they must have or
+    hold a negative one; ``u``: the codes without an amount."""
+    lines = _sections_of(rows, sections)
+    priced = F.col("subtotal").isNotNull()
 
     def numbers(section: L.Seccion) -> list[Column]:
-        names = [f for f in section.columns if f not in _TEXT_FIELDS]
-        return [F.col(f) for f in names]
+        return [F.col(f) for f in section.columns if f not in _TEXT_FIELDS]
 
-    out = []
+    out = [F.count_if(~priced).alias("u")]
     for i, section in enumerate(sections):
-        own = F.col("componente") == section.componente
+        own = priced & (F.col("componente") == section.componente)
         lacking = F.col("descripcion").isNull() | _any([c.isNull() for c in numbers(section)])
         negative = _any([c < 0 for c in numbers(section)])
         out += [
@@ -492,28 +593,31 @@ def _line_sums(cells: DataFrame, sections: tuple[L.Seccion, ...]) -> DataFrame:
     return lines.groupBy(*SHEET).agg(*out)
 
 
-def reject_rows(
-    cells: DataFrame, index: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES, tolerance: float = TOLERANCIA_ESTRICTA
-) -> DataFrame:
-    """Every item sheet once: accepted (``motivo`` null) or rejected with the
-    first reason that applies.  One failure rejects its sheet, never its file.
-
-    In order: form, code, description, unit; for each section its subtotal and its
-    lines, after equipment the minor tools; direct cost; at least one line; no
-    negative value; sections that add up to their subtotals and subtotals that
-    add up to the cost; the cost of the index.  ``index`` is the result of
-    :func:`index_rows`.
-    """
+def _judged(rows: DataFrame, index: DataFrame, sections: tuple[L.Seccion, ...], tolerance: float) -> DataFrame:
+    """Every item sheet once with ``motivo``, its header, subtotals (``s0`` ...), unresolved lines (``u``) and index fields."""
     checks = _layout_checks(sections)
     spots = L.CELDAS_ITEM
-    subtotals = [F.max(F.when(_at(s.subtotal_row, s.columns["subtotal"]), F.col("numero"))).alias(f"s{i}") for i, s in enumerate(sections)]
-    wide = item_cells(cells).groupBy(*SHEET).agg(
-        *_check_cells(checks), *(_pick(_at(*spot), field) for field, spot in spots.items()), *subtotals
-    )
-    side = index.select(*SHEET, F.col("descripcion").alias("_d"), F.col("unidad").alias("_u"), F.col("costoDirecto").alias("_i"))
-    tools = _minor_tools(cells).select(*SHEET, F.col("motivo").alias("_h"), F.col("subtotal").alias("_m"))
-    joined = wide.withColumn("_v", _found_violations(checks)).join(side, SHEET, "left")
-    joined = joined.join(_line_sums(cells, sections), SHEET, "left").join(tools, SHEET, "left")
+
+    def fixed(row: int, value: Column) -> Column:
+        return F.max(F.when(F.col("renglon") == row, value))
+
+    wanted = [
+        *(fixed(row, _printed(c) if expected else _read("codigo", c)).alias(f"c{i}") for i, (_, row, c, expected) in enumerate(checks)),
+        *(fixed(row, _read(field, c)).alias(field) for field, (row, c) in spots.items()),
+        *(fixed(s.subtotal_row, _read("subtotal", s.columns["subtotal"])).alias(f"s{i}") for i, s in enumerate(sections)),
+    ]
+    items = rows.where(F.col("tipo") == ITEM)
+    at = sorted({row for _, row, _, _ in checks} | {row for row, _ in spots.values()} | {s.subtotal_row for s in sections})
+    wide = items.where(F.col("renglon").isin(at)).groupBy(*SHEET).agg(*wanted)
+    tools = _minor_tools(rows).select(*SHEET, F.col("motivo").alias("_h"), F.col("subtotal").alias("_m"))
+    side = last_of_each_code(index).select(
+        *SHEET, F.col("descripcion").alias("_d"), F.col("unidad").alias("_u"), F.col("unidadCruda").alias("_c"), F.col("costoDirecto").alias("_i"),
+        "capitulo", "articulo", "clasificacion",
+    )
+    # asks for what the others read, so that all share an exchange; every row has it
+    sheets = items.where((F.size("celdas") > 0) & F.col("renglon").isNotNull()).select(*SHEET).distinct()
+    joined = sheets.join(wide, SHEET, "left").join(_line_sums(rows, sections), SHEET, "left").join(tools, SHEET, "left")
+    joined = joined.withColumn("_v", _found_violations(checks)).join(side, SHEET, "left")
 
     def sums(letter: str) -> list[Column]:
         return [F.coalesce(F.col(f"{letter}{i}"), F.lit(0)) for i in range(len(sections))]
@@ -543,7 +647,57 @@ def reject_rows(
         .when(F.abs(total(declared) - F.col("costoDirecto")) > tolerance, "aritmética: costo directo")
         .when(F.abs(F.col("_i") - F.col("costoDirecto")) > tolerance, "costo distinto del índice")
     )
-    return joined.select(*SHEET, motivo.alias("motivo"))
+    return joined.withColumn("motivo", motivo)
+
+
+def reject_rows(
+    cells: DataFrame, index: DataFrame | None = None, sections: tuple[L.Seccion, ...] = L.SECCIONES, tolerance: float = TOLERANCIA_ESTRICTA
+) -> DataFrame:
+    """Every item sheet once: accepted (``motivo`` null) or rejected with the
+    first reason that applies.  One failure rejects its sheet, never its file.
+
+    In order: form, code, description, unit; for each section its subtotal and its
+    lines, after equipment the minor tools; direct cost; at least one line; no
+    negative value; sections that add up to their subtotals and subtotals that
+    add up to the cost; the cost of the index.  ``index`` is the result of
+    :func:`index_rows`, by default that of the same cells, read with them.
+    """
+    rows = sheet_rows(cells)
+    own = _index_fields(_index_of(rows)) if index is None else index
+    return _judged(rows, own, sections, tolerance).select(*SHEET, "motivo")
+
+
+def accepted_tables(
+    cells: DataFrame, sections: tuple[L.Seccion, ...] = L.SECCIONES, tolerance: float = TOLERANCIA_ESTRICTA, rejected_files: DataFrame | None = None
+) -> DataFrame:
+    """Facts, lines and rejects of all item sheets as one table, told apart by ``tabla``.
+
+    Every sheet is one row of ``apus`` or of ``rechazos``, never of both; ``lineas`` are the lines of the former, with their
+    units resolved.  All rows leave one exchange of the cells together.  ``rejected_files`` (archivo, motivo, as from :func:`reject_files`)
+    rejects all sheets of a workbook with a reason.  A row has nulls where its table has no such column.
+    """
+    rows = sheet_rows(cells)
+    judged = _judged(rows, _index_fields(_index_of(rows)), sections, tolerance)
+    if rejected_files is not None:
+        files = rejected_files.where(F.col("motivo").isNotNull()).select("archivo", F.concat(F.lit("libro: "), "motivo").alias("_libro"))
+        judged = judged.join(files, "archivo", "left").withColumn("motivo", F.coalesce("_libro", "motivo"))
+    raw = clean_text(F.col("unidad"))
+    own = canonical_unit(raw)
+    facts = judged.where(F.col("motivo").isNull()).select(
+        F.lit("apus").alias("tabla"), *SHEET, with_dots(F.col("hoja")).alias("codigo"), F.coalesce(clean_text(F.col("descripcion")), F.col("_d")).alias("descripcion"),
+        F.coalesce(own, F.col("_u")).alias("unidad"), F.when(own.isNotNull(), raw_when_different(raw, own)).otherwise(F.col("_c")).alias("unidadCruda"),
+        "capitulo", "articulo", "clasificacion", *(F.col(f"s{i}").alias(s.componente) for i, s in enumerate(sections)), "costoDirecto",
+        F.coalesce("u", F.lit(0)).alias("sinResolver"),
+    )
+    rejects = judged.where(F.col("motivo").isNotNull()).select(F.lit("rechazos").alias("tabla"), *SHEET, "motivo")
+    priced = _sections_of(rows, sections).where(F.col("subtotal").isNotNull())
+    lines = resolve_unit(priced.unionByName(_tools_of(rows), allowMissingColumns=True), _units_of(rows))
+    good = judged.where(F.col("motivo").isNull()).select(*SHEET)
+    lines = lines.join(good, SHEET, "left_semi").select(
+        F.lit("lineas").alias("tabla"), *SHEET, with_dots(F.col("hoja")).alias("codigo"), "fila", "componente", F.col("codigo").alias("codigoInsumo"), "descripcion", "unidad", "unidadCruda",
+        "cantidad", "precioUnitario", "subtotal", "porcentaje", "base", "distancia", "jornal", "factorPrestacional",
+    )
+    return facts.unionByName(lines, allowMissingColumns=True).unionByName(rejects, allowMissingColumns=True)
 
 
 def reject_files(

@@ -75,7 +75,7 @@ def stats_counts(spark, sf):
     def count(df):
         return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
-    unresolved = extract.unresolved_lines(T.line_cells(spark, sf), SECCIONES_ANCHAS)
+    unresolved = extract.unresolved_lines(T.cells(spark, sf), SECCIONES_ANCHAS)
     return A.stats_counts(T.facts(spark, sf), count(T.priced_lines(spark, sf)), count(T.supplies(spark, sf)), count(unresolved))
 
 
@@ -272,7 +272,7 @@ def breakdown(spark, sf):
 
 @query("unresolved_by_item", sql("SELECT hoja, count(*) AS n FROM filas WHERE l_tax>0 AND NOT l_discount>0 GROUP BY hoja", "filas"))
 def unresolved_by_item(spark, sf):
-    return A.unresolved_by_item(extract.unresolved_lines(T.line_cells(spark, sf), SECCIONES_ANCHAS))
+    return A.unresolved_by_item(extract.unresolved_lines(T.cells(spark, sf), SECCIONES_ANCHAS))
 
 
 @query(

@@ -11,16 +11,13 @@ from preciario.operators import clean, markup as M
 from preciario.plans.analytics import NUMERO
 from preciario.plans.oracle import money as rounded, sql
 from preciario.plans.registry import query
+from preciario.session import scratch_path
+from preciario.sources import storage as S
 from preciario.sources import tables as T
 
 COMPONENTES = ("equipo", "materiales", "transporte", "manoDeObra")
 
 
-def _nested(spark, sf):
-    lines = clean.nested_lines(T.with_order(T.lines(spark, sf)))
-    return clean.nested_apu(T.facts(spark, sf).join(lines, ["codigo", "slug"]), F.col("lineas"))
-
-
 @query(
     "flatten_apu",
     sql(
@@ -32,7 +29,8 @@ def _nested(spark, sf):
     ),
 )
 def flatten_apu(spark, sf):
-    return clean.flatten_apu(_nested(spark, sf))
+    """Documents without their lines, which the flat row has no place for."""
+    return clean.flatten_apu(clean.nested_apu(T.facts(spark, sf), F.lit(None)))
 
 
 @query(
@@ -44,7 +42,9 @@ def flatten_apu(spark, sf):
     ),
 )
 def explode_lines(spark, sf):
-    return clean.explode_lines(_nested(spark, sf))
+    """The lines of documents as written: streamed out, streamed in."""
+    path = S.sink_apu_docs(T.facts(spark, sf), T.with_order(T.lines(spark, sf)), scratch_path(spark, "apus-json"))
+    return clean.explode_lines(S.scan_apu_docs(spark, path))
 
 
 @query(
@@ -56,13 +56,8 @@ def explode_lines(spark, sf):
 )
 def explode_supplies(spark, sf):
     """One list per region, as published."""
-    entry = F.struct(
-        F.col("codigoInsumo").alias("codigo"),
-        *("componente", "descripcion", "unidad", "unidadCruda", "categoria", "precio", "factorPrestacional"),
-        F.struct(F.col("regionCodigo").alias("codigo"), "slug", "departamento", "provincia").alias("region"),
-    )
-    lists = T.supplies(spark, sf).groupBy("vigencia", "slug").agg(F.collect_list(entry).alias("insumos"))
-    return clean.explode_supplies(lists.select(F.struct("vigencia").alias("procedencia"), "insumos"))
+    path = S.sink_supply_lists(T.supplies(spark, sf), scratch_path(spark, "insumos-json"))
+    return clean.explode_supplies(S.scan_supply_lists(spark, path))
 
 
 #: The driver's texts with the defects cleaning must undo.
@@ -179,11 +174,11 @@ def text_equivalent(spark, sf):
 
 @query(
     "slugify",
-    "SELECT doc_id, trim(regexp_replace(lower(strip_accents(lang||' '||string_split(text, chr(10))[1])), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents",
+    "SELECT doc_id, trim(regexp_replace(lower(strip_accents(lang||' '||text)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents",
 )
 def slugify(spark, sf):
-    docs = T.documents(spark, sf).select("doc_id", "lang", text.first_line(F.col("text")).alias("titulo"))
-    return clean.slugs(docs, "slug", "lang", "titulo").select("doc_id", "slug")
+    docs = T.documents(spark, sf).select("doc_id", "lang", "text")
+    return clean.slugs(docs, "slug", "lang", "text").select("doc_id", "slug")
 
 
 @query(

@@ -127,13 +127,18 @@ def minor_tools_line(spark, sf):
 _CANON = "CASE {x} WHEN 'm3 - Km' THEN 'm3-km' WHEN 'Kg' THEN 'kg' WHEN 'm³' THEN 'm3' WHEN 'HA' THEN 'ha' ELSE {x} END"
 
 
+EQUIPMENT = (
+    "SELECT 'LIBRO_'||CAST(p_partkey//100 AS VARCHAR) AS archivo, 'P'||CAST(p_partkey AS VARCHAR) AS codigo, "
+    f"{UNIT_RAW} AS u FROM part WHERE p_partkey%4=0 AND p_partkey%100<88"
+)
+
+
 @query(
     "resolve_unit",
     sql(
         f"SELECT archivo, hoja, fila, componente, codigo, {_CANON.format(x='c')} AS unidad, CASE WHEN c<>{_CANON.format(x='c')} THEN c END AS unidadCruda FROM ("
         "SELECT s.*, coalesce(s.unidad, CASE WHEN s.componente='manoDeObra' THEN 'jornal' END, e.u, 'h') AS c FROM "
-        f"({SECTION}) s LEFT JOIN (SELECT 'LIBRO_'||CAST(p_partkey//100 AS VARCHAR) AS archivo, 'P'||CAST(p_partkey AS VARCHAR) AS codigo, "
-        f"{UNIT_RAW} AS u FROM part WHERE p_partkey%4=0 AND p_partkey%100<88) e ON e.archivo=s.archivo AND e.codigo=s.codigo)",
+        f"({SECTION}) s LEFT JOIN ({EQUIPMENT}) e ON e.archivo=s.archivo AND e.codigo=s.codigo)",
         "filas",
     ),
 )
@@ -145,11 +150,11 @@ def resolve_unit(spark, sf):
 
 XREF = (
     "SELECT h.archivo, h.hoja, replace(h.hoja,',','.') AS codigo, h.descripcion, coalesce(CASE h.unidad WHEN 'm3 - Km' THEN 'm3-km' WHEN 'Kg' THEN 'kg' END, i.unidad) AS unidad, "
-    f"CASE WHEN h.unidad IN ('m3 - Km','Kg') THEN h.unidad ELSE i.unidadCruda END AS unidadCruda, h.costoDirecto, i.capitulo, i.articulo, i.clasificacion, i.pr*4 AS costoIndice FROM ({HEADER}) h LEFT JOIN indice i ON i.archivo=h.archivo AND i.hoja=h.hoja"
+    f"CASE WHEN h.unidad IN ('m3 - Km','Kg') THEN h.unidad ELSE i.unidadCruda END AS unidadCruda, h.costoDirecto, i.capitulo, i.articulo, i.clasificacion, i.pr*4 AS costoIndice FROM ({HEADER}) h LEFT JOIN listado i ON i.archivo=h.archivo AND i.hoja=h.hoja"
 )
 
 
-@query("item_index_xref", sql(XREF, "hojas", "indice"))
+@query("item_index_xref", sql(XREF, "hojas", "listado"))
 def item_index_xref(spark, sf):
     headers = X.header_pivot(T.cells(spark, sf))
     return X.item_index_xref(headers, X.index_rows(T.cells(spark, sf)))
@@ -270,24 +275,67 @@ def _defective(cells):
     )
 
 
+VERDICT = (
+    "SELECT h.archivo, h.hoja, CASE WHEN v.regla IS NOT NULL THEN 'formato: '||v.regla WHEN h.k%23=0 THEN 'código distinto del nombre de la hoja' "
+    "WHEN h.k%2<>0 AND h.k%3<>0 AND i.unidad IS NULL THEN 'sin unidad' WHEN d='4' AND s.segunda THEN 'línea incompleta' "
+    "WHEN h.k%3=0 AND d='7' THEN 'herramienta menor: código inesperado' WHEN h.k%3=0 AND d='8' THEN 'herramienta menor: base no numérica' "
+    "WHEN h.k%19=0 THEN 'subtotal no numérico' WHEN coalesce(s.n,0)=0 AND h.k%3<>0 THEN 'sin líneas' "
+    "WHEN h.k%3=0 AND floor(manoDeObra*0.05::DOUBLE*100+0.5)/100>0.011 THEN 'aritmética: secciones' WHEN d='5' THEN 'aritmética: costo directo' "
+    "WHEN abs(i.pr*4-h.total)>0.011 THEN 'costo distinto del índice' END AS motivo FROM (SELECT *, right(hoja,1) AS d FROM hojas) h LEFT JOIN "
+    f"(SELECT archivo, hoja, arg_min(regla, orden) AS regla FROM ({VIOLATIONS}) GROUP BY ALL) v ON v.archivo=h.archivo AND v.hoja=h.hoja "
+    "LEFT JOIN listado i ON i.archivo=h.archivo AND i.hoja=h.hoja "
+    "LEFT JOIN (SELECT archivo, hoja, count(*) AS n, bool_or(fila=1002) AS segunda FROM filas WHERE l_tax>0 AND l_discount>0 GROUP BY ALL) s ON s.archivo=h.archivo AND s.hoja=h.hoja"
+)
+
+
 @query(
     "reject_rows",
-    sql(
-        "SELECT h.archivo, h.hoja, CASE WHEN v.regla IS NOT NULL THEN 'formato: '||v.regla WHEN h.k%23=0 THEN 'código distinto del nombre de la hoja' "
-        "WHEN h.k%2<>0 AND h.k%3<>0 AND i.unidad IS NULL THEN 'sin unidad' WHEN d='4' AND s.segunda THEN 'línea incompleta' "
-        "WHEN h.k%3=0 AND d='7' THEN 'herramienta menor: código inesperado' WHEN h.k%3=0 AND d='8' THEN 'herramienta menor: base no numérica' "
-        "WHEN h.k%19=0 THEN 'subtotal no numérico' WHEN coalesce(s.n,0)=0 AND h.k%3<>0 THEN 'sin líneas' "
-        "WHEN h.k%3=0 AND floor(manoDeObra*0.05::DOUBLE*100+0.5)/100>0.011 THEN 'aritmética: secciones' WHEN d='5' THEN 'aritmética: costo directo' "
-        "WHEN abs(i.pr*4-h.total)>0.011 THEN 'costo distinto del índice' END AS motivo FROM (SELECT *, right(hoja,1) AS d FROM hojas) h LEFT JOIN "
-        f"(SELECT archivo, hoja, arg_min(regla, orden) AS regla FROM ({VIOLATIONS}) GROUP BY ALL) v ON v.archivo=h.archivo AND v.hoja=h.hoja "
-        "LEFT JOIN indice i ON i.archivo=h.archivo AND i.hoja=h.hoja "
-        "LEFT JOIN (SELECT archivo, hoja, count(*) AS n, bool_or(fila=1002) AS segunda FROM filas WHERE l_tax>0 AND l_discount>0 GROUP BY ALL) s ON s.archivo=h.archivo AND s.hoja=h.hoja",
-        "hojas", "indice",
-    ),
+    sql(VERDICT, "hojas", "listado"),
 )
 def reject_rows(spark, sf):
     cells = _defective(T.cells(spark, sf))
-    return X.reject_rows(cells, X.index_rows(cells), WIDE)
+    return X.reject_rows(cells, sections=WIDE)
+
+
+_GOOD = f"(SELECT archivo, hoja FROM ({VERDICT}) WHERE motivo IS NULL)"
+_NONE = {"t": "NULL::VARCHAR", "d": "NULL::DOUBLE", "n": "NULL::BIGINT"}
+
+
+def _row(tabla: str, **own: str) -> str:
+    """A select list with all columns of the three tables."""
+    kinds = {
+        **dict.fromkeys(("descripcion", "codigo", "unidad", "unidadCruda", "capitulo", "articulo", "clasificacion", "motivo", "componente", "codigoInsumo"), "t"),
+        **dict.fromkeys((*COMPONENTES, "costoDirecto", "cantidad", "precioUnitario", "subtotal", "porcentaje", "base", "distancia", "jornal", "factorPrestacional"), "d"),
+        "sinResolver": "n", "fila": "n",
+    }
+    return f"'{tabla}' AS tabla, archivo, hoja, " + ", ".join(f"{own.get(c, _NONE[k])} AS {c}" for c, k in kinds.items())
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+_LINES = (
+    f"SELECT s.*, NULL::DOUBLE AS porcentaje, NULL::DOUBLE AS base FROM ({SECTION}) s UNION ALL "
+    f"SELECT archivo, hoja, fila, componente, codigo, 'HERRAMIENTA MENOR', unidad, cantidad, precioUnitario, NULL, NULL, NULL, subtotal, porcentaje, base FROM ({MINOR})"
+)
+
+
+@query(
+    "accepted_tables",
+    sql(
+        "SELECT " + _row("apus", codigo="x.codigo", sinResolver="coalesce(u.n, 0)", **_same("descripcion", "unidad", "unidadCruda", "capitulo", "articulo", "clasificacion", *COMPONENTES, "costoDirecto"))
+        + f" FROM ({XREF}) x JOIN (SELECT archivo, hoja, {', '.join(COMPONENTES)} FROM hojas) t USING (archivo, hoja) JOIN {_GOOD} g USING (archivo, hoja) "
+        f"LEFT JOIN (SELECT archivo, hoja, count(*) AS n FROM ({UNRESOLVED}) GROUP BY ALL) u USING (archivo, hoja) UNION ALL SELECT "
+        + _row("lineas", codigo="replace(hoja,',','.')", codigoInsumo="codigo", unidad=_CANON.format(x="c"), unidadCruda=f"CASE WHEN c<>{_CANON.format(x='c')} THEN c END",
+               **_same("descripcion", "fila", "componente", "cantidad", "precioUnitario", "subtotal", "porcentaje", "base", "distancia", "jornal", "factorPrestacional"))
+        + f" FROM (SELECT s.*, coalesce(s.unidad, CASE WHEN s.componente='manoDeObra' THEN 'jornal' END, e.u, 'h') AS c FROM ({_LINES}) s LEFT JOIN ({EQUIPMENT}) e ON e.archivo=s.archivo AND e.codigo=s.codigo) "
+        f"JOIN {_GOOD} g USING (archivo, hoja) UNION ALL SELECT " + _row("rechazos", motivo="motivo") + f" FROM ({VERDICT}) WHERE motivo IS NOT NULL",
+        "hojas", "listado",
+    ),
+)
+def accepted_tables(spark, sf):
+    return X.accepted_tables(_defective(T.cells(spark, sf)), WIDE)
 
 
 @query(

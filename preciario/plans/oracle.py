@@ -134,7 +134,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "filas": (
         ("pos",),
         "SELECT *, 1000+p AS fila, CASE WHEN p<=2 THEN 'equipo' WHEN p<=4 THEN 'materiales' WHEN p<=6 THEN 'transporte' ELSE 'manoDeObra' END AS componente, "
-        "CASE WHEN ls='F' THEN 'm3 - Km' WHEN q>10 THEN 'Kg' END AS u, 'P'||CAST(l_suppkey AS VARCHAR) AS codigo FROM pos",
+        "CASE WHEN ls='F' THEN 'm3 - Km' WHEN q>10 THEN 'Kg' END AS u, CASE WHEN l_suppkey%4=0 THEN CAST(10000000+l_suppkey AS VARCHAR) ELSE 'P'||CAST(l_suppkey AS VARCHAR) END AS codigo FROM pos",
     ),
     "hojas": (
         ("filas",),
@@ -146,11 +146,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "indice": (
         (),
-        "SELECT p_partkey AS k, " + _address("p_partkey") + ", 5+p_partkey%100 AS fila, p_partkey%100+1 AS consecutivo, p_name AS descripcion, "
+        "SELECT p_partkey AS k, " + _address("(p_partkey-CASE WHEN p_partkey%100=30 THEN 1 ELSE 0 END)") + ", 5+p_partkey%100 AS fila, p_partkey%100+1 AS consecutivo, p_name AS descripcion, "
         f"{UNIT} AS unidad, {UNIT_DIFF} AS unidadCruda, 'Capitulo '||CAST(p_size%8+2 AS VARCHAR)||chr(10)||'Grupo '||p_type AS capitulo, "
         "'Artículo '||p_brand AS articulo, CASE WHEN p_partkey%4<>0 THEN 'GENERAL' END AS clasificacion, p_retailprice AS pr "
         "FROM part WHERE p_partkey%100<37",
     ),
+    "listado": (("indice",), "SELECT * FROM indice QUALIFY row_number() OVER (PARTITION BY archivo, hoja ORDER BY fila DESC)=1"),
 }
 
 

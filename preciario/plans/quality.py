@@ -273,11 +273,12 @@ def dq_coherence(spark, sf):
     "dq_cost_vs_index",
     sql(
         f"SELECT archivo, hoja, costoDirecto, costoIndice, abs(costoIndice-costoDirecto) AS desvio FROM ({XREF}) WHERE abs(costoIndice-costoDirecto)>0.011",
-        "hojas", "indice",
+        "hojas", "listado",
     ),
 )
 def dq_cost_vs_index(spark, sf):
-    headers = X.item_index_xref(X.header_pivot(S.header_cells(spark, sf)), X.index_rows(S.index_cells(spark, sf)))
+    cells = S.cells(spark, sf)
+    headers = X.item_index_xref(X.header_pivot(cells), X.index_rows(cells))
     return Q.cost_vs_index(headers).select("archivo", "hoja", "costoDirecto", "costoIndice", "desvio")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from preciario.functions.money import sum_money
 from preciario.operators import aggregates as A, extract as X
-from preciario.plans.oracle import sql, stats
+from preciario.plans.oracle import natural, sql, stats
 from preciario.plans.registry import query
 from preciario.session import scratch_path
 from preciario.sources import schemas, storage as S
@@ -168,25 +168,41 @@ def sink_item_docs(spark, sf):
     )
 
 
-@query(
-    "sink_province_docs",
-    sql(
-        "SELECT p.slug, p.departamento, p.mediana, p.conDato AS itemsConDato, a.codigo, string_split(a.descripcion,chr(10))[1] AS titulo, a.costoDirecto FROM prov p JOIN apus a USING (slug)",
-        "prov",
-    ),
+def _province_docs(spark, sf):
+    facts = T.facts(spark, sf)
+    return S.sink_province_docs(A.province_summary(facts), A.province_items(facts), _provenance(), scratch_path(spark, "provincias"))
+
+
+PROVINCE_DOCS = (
+    "SELECT p.slug, p.departamento, p.mediana, p.conDato AS itemsConDato, 'Abierta' AS licencia, "
+    f"row_number() OVER (PARTITION BY slug ORDER BY {natural('codigo')}) AS posicion, a.codigo, string_split(a.descripcion,chr(10))[1] AS titulo, a.costoDirecto FROM prov p JOIN apus a USING (slug)"
 )
+
+
+def _province_rows(rows):
+    return rows.select(
+        "documento.region.slug", "documento.region.departamento", "documento.agregados.mediana", "documento.itemsConDato", "documento.procedencia.licencia",
+        "posicion", "elemento.codigo", "elemento.titulo", "elemento.costoDirecto",
+    )
+
+
+@query("sink_province_docs", sql(PROVINCE_DOCS, "prov"))
 def sink_province_docs(spark, sf):
-    documents = A.province_document(T.facts(spark, sf))
-    path = S.sink_province_docs(documents, _provenance(), scratch_path(spark, "provincias"))
-    docs = S.scan_docs(spark, path, schemas.DOC_PROVINCIA)
-    return docs.select("region.slug", "region.departamento", "agregados.mediana", "itemsConDato", F.explode("items").alias("i")).select(
-        "slug", "departamento", "mediana", "itemsConDato", "i.codigo", "i.titulo", "i.costoDirecto"
-    )
+    return _province_rows(S.scan_province_docs(spark, _province_docs(spark, sf)))
+
+
+@query("docs_by_key", sql(f"SELECT * FROM ({PROVINCE_DOCS}) WHERE slug='{LOOKUP[1]}' UNION ALL SELECT DISTINCT NULL, NULL, NULL, NULL, NULL, NULL, codigo, NULL, NULL FROM apus WHERE codigo='{LOOKUP[0]}'", "prov"))
+def docs_by_key(spark, sf):
+    """One province and one item by key; absent and malformed keys give no rows."""
+    path, items = _province_docs(spark, sf), S.scan_docs(spark, _item_docs(spark, sf), schemas.DOC_ITEM)
+    found = [_province_rows(S.province_doc(spark, path, key)) for key in (LOOKUP[1], "nation-99", "../x", "Nation-3")]
+    found += [S.item_doc(items, key).select("codigo") for key in (LOOKUP[0], "999.1", "564,35", "../x")]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
 def _stats(spark, sf):
     """The statistics document with real counts, written below the shared folder."""
-    unresolved = X.unresolved_lines(T.line_cells(spark, sf), SECCIONES_ANCHAS)
+    unresolved = X.unresolved_lines(T.cells(spark, sf), SECCIONES_ANCHAS)
     counts = [df.agg(F.count(F.lit(1)).alias("n")).scalar() for df in (T.lines(spark, sf), T.supplies(spark, sf), unresolved)]
     document = A.stats_document(T.facts(spark, sf), *counts)
     return S.sink_stats(document.select(*S.header(_provenance(), F.lit("2026-1")), *document.columns), scratch_path(spark, "stats"))

@@ -143,6 +143,24 @@ DOC_PROVINCIA = _struct(
     ),
 )
 
+
+
+def province_parts() -> tuple[T.StructType, T.StructType]:
+    """Schemas of a province document without its items, and of an item."""
+    fixed = [f for f in DOC_PROVINCIA.fields if f.name not in ("parte", "items")]
+    return T.StructType(fixed), DOC_PROVINCIA["items"].dataType.elementType
+
+
+LINEA = _struct(
+    ("componente", _S), ("codigo", _S), ("descripcion", _S), ("unidad", _S), ("unidadCruda", _S), ("cantidad", _D), ("precioUnitario", _D), ("subtotal", _D),
+    ("porcentaje", _D), ("base", _D), ("distancia", _D), ("jornal", _D), ("factorPrestacional", _D),
+)
+DOC_APU = _struct(("vigencia", _S), ("region", REGION), ("codigo", _S), ("totales", TOTALES), ("costoDirecto", _D))
+INSUMO = _struct(
+    ("codigo", _S), ("componente", _S), ("descripcion", _S), ("unidad", _S), ("unidadCruda", _S), ("categoria", _S), ("precio", _D), ("factorPrestacional", _D)
+)
+DOC_INSUMOS = _struct(("vigencia", _S), ("region", REGION))
+
 DOC_CATALOGO_ITEM = _struct(
     *_ITEM, ("clasificacion", _S), ("costoDirecto", AGREGADOS), ("provinciasConDato", _L)
 )

@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from preciario import constants as C
 from preciario.functions.codes import chapter_prefix, natural_key
+from preciario.functions.ordering import positions
 from preciario.functions.text import trim_all
+from preciario.sources import documents as D
 from preciario.sources import schemas as S
 
 #: Remark in the head of every document; any wording will do.
@@ -174,15 +176,49 @@ def sink_item_docs(documents: DataFrame, procedencia: Column, path: str) -> str:
     return _write_documents(documents.select(*header(procedencia, F.col("vigencia")), *body), chapter_prefix(F.col("codigo")), path)
 
 
-def sink_province_docs(documents: DataFrame, procedencia: Column, path: str) -> str:
-    region = F.struct(
-        F.col("regionCodigo").alias("codigo"), F.col("regionCodigoDane").alias("codigoDane"), "departamento", "provincia", "slug"
-    )
-    docs = documents.select(
-        *header(procedencia, F.col("vigencia")), region.alias("region"), F.struct("min", "max", "mediana", "promedio").alias("agregados"),
-        "itemsConDato", "parte", "items",
-    )
-    return _write_documents(docs, F.col("region.codigoDane"), path)
+def sink_province_docs(summary: DataFrame, items: DataFrame, procedencia: Column, path: str) -> str:
+    """One document per province, named by its slug, with all its items in order.
+
+    ``summary`` and ``items`` are those of the province operators; items are streamed, never gathered.
+    """
+    head = F.struct(*header(procedencia, F.col("vigencia")), _placed(), F.struct("min", "max", "mediana", "promedio").alias("agregados"), "itemsConDato")
+    item = F.struct("codigo", "titulo", "unidad", "capitulo", "costoDirecto")
+    return D.write_documents(summary, D.fragments(items, ["slug"], "posicion", item), ["slug"], head, "items", path, F.col("slug"))
+
+
+def _placed() -> Column:
+    return F.struct(F.col("regionCodigo").alias("codigo"), F.col("regionCodigoDane").alias("codigoDane"), "departamento", "provincia", "slug").alias("region")
+
+
+def sink_apu_docs(facts: DataFrame, lines: DataFrame, path: str) -> str:
+    """A document per item and region with its lines in order of ``orden``; many to a file, their lines streamed."""
+    head = F.struct("vigencia", _placed(), "codigo", F.struct(*C.COMPONENTES).alias("totales"), "costoDirecto")
+    line = F.struct(*(F.col("codigoInsumo" if f.name == "codigo" else f.name).alias(f.name) for f in S.LINEA))
+    return D.write_documents(facts, D.fragments(lines, ["codigo", "slug"], "orden", line), ["codigo", "slug"], head, "lineas", path)
+
+
+def scan_apu_docs(spark: SparkSession, path: str) -> DataFrame:
+    return D.read_documents(spark, path, S.DOC_APU, S.LINEA)
+
+
+def sink_supply_lists(supplies: DataFrame, path: str) -> str:
+    """A document per region with all its supplies, those of one code together."""
+    # dealt by a hash, so a region with most supplies is not numbered in one task
+    tile = F.pmod(F.xxhash64("codigoInsumo"), F.lit(1024))
+    placed = positions(supplies, ["slug"], [tile, "codigoInsumo", "componente"], tile, name="posicion")
+    head = F.struct("vigencia", F.struct(F.col("regionCodigo").alias("codigo"), "departamento", "provincia", "slug").alias("region"))
+    heads = supplies.groupBy("slug").agg(*(F.min(c).alias(c) for c in ("vigencia", "regionCodigo", "departamento", "provincia")))
+    item = F.struct(*(F.col("codigoInsumo" if f.name == "codigo" else f.name).alias(f.name) for f in S.INSUMO))
+    return D.write_documents(heads, D.fragments(placed, ["slug"], "posicion", item), ["slug"], head, "insumos", path, F.col("slug"))
+
+
+def scan_supply_lists(spark: SparkSession, path: str) -> DataFrame:
+    return D.read_documents(spark, path, S.DOC_INSUMOS, S.INSUMO)
+
+
+def scan_province_docs(spark: SparkSession, path: str) -> DataFrame:
+    """documento, posicion and elemento of every item of the province documents."""
+    return D.read_documents(spark, path, *S.province_parts())
 
 
 def sink_catalog(catalog: DataFrame, path: str) -> str:
@@ -216,9 +252,16 @@ def item_doc(docs: DataFrame, codigo: str) -> DataFrame:
     )
 
 
-def province_doc(docs: DataFrame, slug: str) -> DataFrame:
-    """One province document, or no rows."""
-    return docs.where((F.col("region.slug") == slug) & F.lit(slug).rlike(C.PATRON_SLUG))
+def province_doc(spark: SparkSession, path: str, slug: str) -> DataFrame:
+    """The items of one province document: its file by name.  No file, or a malformed slug, gives no rows."""
+    found = bool(re.fullmatch(C.PATRON_SLUG.removesuffix(r"\z"), slug)) and _exists(spark, f"{path}/{slug}.json")
+    rows = scan_province_docs(spark, f"{path}/{slug}.json" if found else path)
+    return rows if found else rows.where(F.lit(False))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 # ---------------------------------------------------------------- files

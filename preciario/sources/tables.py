@@ -314,7 +314,8 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the line rows; a code is blank without tax, an amount without discount."""
+    """Cells of the line rows; a code is blank without tax, an amount without discount.  Every fourth supplier's code is a long number."""
+    numeric = F.col("l_suppkey") % 4 == 0
     fila = F.col("posicion") + (WIDE_FIRST_ROW - 1)
     kind = F.col("componente")
     unit = F.when(F.col("l_linestatus") == "F", "m3 - Km").when(F.col("l_quantity") > 10, "Kg")
@@ -329,7 +330,9 @@ def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _emit(
         rows,
         [
-            _cell(fila, "B", F.when(F.col("l_tax") > 0, F.concat(F.lit("P"), F.col("l_suppkey").cast("string")))),
+            _cell(
+                fila, "B", F.when((F.col("l_tax") > 0) & ~numeric, F.concat(F.lit("P"), F.col("l_suppkey").cast("string"))), F.when((F.col("l_tax") > 0) & numeric, F.col("l_suppkey") + 10_000_000)
+            ),
             _cell(fila, "C", F.concat(F.lit("INSUMO "), F.col("l_suppkey").cast("string"))),
             _cell(fila, "I", transporte(unit), labour(price)),
             _cell(fila, "J", materiales(unit), F.coalesce(transporte(quantity), labour(F.lit(1.0) + F.col("l_tax")))),
@@ -402,9 +405,10 @@ def header_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index sheet of each workbook: one row per part; row 5 + 37 has no code."""
+    """Index sheet of each workbook: one row per part; row 5 + 37 has no code, row 5 + 30 lists the code before it once more."""
     key = F.col("p_partkey")
-    rows = read(spark, sf_dir, "part").withColumns(_address("p_partkey")).withColumnRenamed("hoja", "sheet").withColumn("hoja", F.lit("ÍNDICE"))
+    listed = read(spark, sf_dir, "part").withColumn("listed", F.when(key % 100 == 30, key - 1).otherwise(key))
+    rows = listed.withColumns(_address("listed")).withColumnRenamed("hoja", "sheet").withColumn("hoja", F.lit("ÍNDICE"))
     fila = F.lit(5) + key % 100
     price = F.col("p_retailprice")
     return _emit(

@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from preciario.functions.ordering import group_median, positions
+from preciario.functions.ordering import CUTS, PER_OCTAVE, REFINEMENTS, group_median, positions, value_bucket
 from preciario.operators import joins as J, ranking as R
 
 
@@ -47,6 +47,20 @@ def test_group_median_keeps_null_keys_and_repeats(spark):
     assert found == {None: 2.0, "a": 2.0}
 
 
+def test_crowded_median(spark):
+    """Nine in ten values in one bucket of the first histogram: what is sorted at last are a few distinct ones."""
+    rng = random.Random(8)
+    values = [1.0 + rng.randrange(10**7) * 1e-9 / 10 for _ in range(18000)] + [rng.uniform(0.1, 9) for _ in range(2000)] + [1.0] * 500
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", -v) for v in values[:999]], "k string, v double").repartition(5)
+    found = {r.k: (r.mediana, r.n) for r in group_median(df, ["k"], "v").collect()}
+    assert found == {"a": (statistics.median(values), len(values)), "b": (-statistics.median(values[:999]), 999)}
+
+    def largest(width):
+        return df.where("k = 'a'").select("v").distinct().groupBy(value_bucket(F.col("v"), width).alias("b")).count().agg(F.max("count")).first()[0]
+
+    assert largest(PER_OCTAVE) > 8000 and largest(PER_OCTAVE * CUTS**REFINEMENTS) < 600
+
+
 @pytest.mark.parametrize("width", [1, 7, 1000, 10**9])
 def test_positions(spark, width):
     rng = random.Random(width)

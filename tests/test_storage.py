@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from preciario.operators import aggregates as A
+from preciario.sources import documents as D
 from preciario.sources import schemas
 from preciario.sources import storage as S
 from preciario.sources import tables as T
@@ -110,11 +111,40 @@ def test_documents(spark, tmp_path):
 def test_province_documents(spark, tmp_path):
     path = str(tmp_path / "provincias")
     provenance = F.struct(F.lit("f").alias("fuente"))
-    S.sink_province_docs(A.province_document(T.facts(spark, SF)), provenance, path)
-    parts = S.province_doc(S.scan_docs(spark, path, schemas.DOC_PROVINCIA), "nation-3").orderBy("parte").collect()
-    codes = [i.codigo for p in parts for i in p["items"]]
+    facts = T.facts(spark, SF)
+    S.sink_province_docs(A.province_summary(facts), A.province_items(facts), provenance, path)
+    rows = S.province_doc(spark, path, "nation-3").orderBy("posicion").collect()
+    codes = [r.elemento.codigo for r in rows]
     assert codes == sorted(codes, key=lambda c: [int(x) for x in c.split(".")]) and len(codes) > 100
-    assert len({(p.agregados, p.itemsConDato) for p in parts}) == 1
+    assert [r.posicion for r in rows] == list(range(1, len(rows) + 1)) and len({(r.documento.agregados, r.documento.itemsConDato) for r in rows}) == 1
+    files = glob.glob(f"{path}/*")
+    assert len(files) == facts.select("slug").distinct().count() and all(f.endswith(".json") for f in files)
+    document = json.load(open(f"{path}/nation-3.json"))  # one whole JSON document
+    assert [i["codigo"] for i in document["items"]] == codes and document["procedencia"] == {"fuente": "f"}
+    for key in ("nation-99", "../x", "Nation-3", ""):
+        assert S.province_doc(spark, path, key).count() == 0
+
+
+def test_streamed_documents_of_any_length(spark, tmp_path):
+    """One key with most elements, one without any, awkward texts; written again over itself."""
+    path = str(tmp_path / "docs")
+    heads = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, n int")
+    texts = ["x", None, "two\nlines", 'quote " and ]}', "[", "ñ\u2028"]
+    rows = [("a", i, texts[i % 6]) for i in range(1, 5001)] + [("c", 1, "only")]
+    elements = spark.createDataFrame(rows, "k string, place long, t string").repartition(7)
+    head, element = F.struct("k", "n"), F.struct("t")
+    for name in (F.col("k"), None):
+        where = f"{path}-{name is None}"
+        for _ in range(2):
+            D.write_documents(heads, D.fragments(elements, ["k"], "place", element), ["k"], head, "xs", where, name)
+        schema = (heads.schema, elements.select("t").schema)
+        found = sorted((r.documento.k, r.documento.n, r.posicion, r.elemento.t if r.elemento else None) for r in D.read_documents(spark, where, *schema).collect() if r.posicion)
+        assert found == sorted((k, {"a": 1, "c": 3}[k], i, t) for k, i, t in rows)
+        assert [r.documento.k for r in D.read_documents(spark, where, *schema).where("posicion IS NULL").collect()] == ["b"]
+    assert len(json.load(open(f"{path}-False/a.json"))["xs"]) == 5000
+    (tmp_path / "docs-False" / "d.json").write_text('{"k": "d", "xs": [\n{"t": "cut')
+    with pytest.raises(Exception, match="unfinished"):
+        D.read_documents(spark, f"{path}-False", *schema).collect()
 
 
 def test_manifest_of_workbooks(spark, tmp_path):
