@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -52,49 +52,78 @@ ARTICLE = frozenset(("article", "main"))
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: An open element of this kind is not searched beyond.
 SCOPE = frozenset("table ul ol dl article section div body main td th blockquote".split())
-#: Names (class, id or role) that consist of these words mark what isn't article; has-sidebar and category-social don't.
+#: Names (class, id or role) that consist of these words, and of words of place, mark what isn't article; has-sidebar and category-social don't.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice alert popup modal overlay newsletter "
     "subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget related recommended share sharing social "
     "comment comments replies respond footer header masthead topbar toolbar search complementary contentinfo pagination tags".split()
 )
+PLACE = frozenset("site main global top bottom left right primary secondary bar box block section container wrapper area list links items posts articles form inner".split())
+#: Names that begin or end with one of the first words mark what readers wrote, unless one of the others says whether they may.
+COMMENTS = frozenset("comment comments commentlist commentbox replies respond disqus".split())
+SWITCHES = frozenset("has no with without open closed is count allow".split())
 #: Elements that no name makes noise.
 NAMELESS = frozenset(("html", "body", *ARTICLE))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)", re.S
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
     __slots__ = ("children", "depth", "named", "noise", "parent", "style", "tag")
 
-    def __init__(self, tag: str, names: str, parent: Node | None):
+    def __init__(self, tag: str, names: str, parent: Node | None, unseen: bool = False):
         self.tag, self.parent, self.children = tag, parent, []
         self.depth = parent.depth + 1 if parent else 0
-        self.named = bool(names) and tag not in NAMELESS and noisy(names, parent)
-        self.noise = tag in NEVER or self.named or (tag == "header" and not inside_article(parent))
+        self.named = unseen or bool(names) and noisy(tag, names, parent)
+        never = tag in NEVER and not (tag == "aside" and inside_article(parent, ("article",)))
+        self.noise = never or self.named or (tag == "header" and not inside_article(parent))
         base = parent.style if parent else 0
         self.style = xxhash.xxh3_64_intdigest(f"{tag}.{names}", base) if self.depth < DEPTH else base
 
 
 @lru_cache(maxsize=65536)
-def kinds(names: str) -> tuple[bool, bool]:
-    """Whether one of the names consists of words of noise: any, and any but header."""
-    found = [words for words in (set(re.split("[-_]+", name.strip("-_").lower())) for name in names.split()) if words <= NOISE]
-    return bool(found), any(words != {"header"} for words in found)
+def attributes_of(text: str) -> tuple[str, bool]:
+    """Names of an element (class, id and role, sorted, digits as one sign) and whether it is never shown."""
+    names, unseen = [], False
+    for name, *values in _ATTRIBUTE.findall(text):
+        name, value = name.lower(), next((v for v in values if v), "")
+        if name in ("class", "id", "role"):
+            names += value.split()
+        elif name == "hidden" and value.lower() != "until-found" or name == "style" and _UNSEEN.search(value):
+            unseen = True
+    return re.sub(r"\d+", "0", " ".join(sorted(names))), unseen
 
 
-def noisy(names: str, parent: Node | None) -> bool:
-    """An article has a header of its own."""
-    anywhere, inside = kinds(names)
-    return inside or anywhere and not inside_article(parent)
-
-
-def inside_article(node: Node | None) -> bool:
+@lru_cache(maxsize=65536)
+def kinds(names: str) -> tuple[bool, bool, bool]:
+    """Whether one of the names marks noise: any, any but header, and readers' comments."""
+    anywhere = inside = comments = False
+    for name in names.split():
+        ordered = [w for w in re.split("[-_:]+", name.lower()) if w]
+        words = set(ordered)
+        strong = words & NOISE
+        if strong and words <= NOISE | PLACE:
+            anywhere, inside = True, inside or strong != {"header"}
+        if ordered and not words & SWITCHES and (ordered[0] in COMMENTS or ordered[-1] in COMMENTS):
+            comments = True
+    return anywhere, inside, comments
+
+
+def noisy(tag: str, names: str, parent: Node | None) -> bool:
+    """An article has a header of its own, and may be a comment, but is nothing else by its name."""
+    anywhere, inside, comments = kinds(names)
+    if tag in NAMELESS:
+        return comments and tag == "article"
+    return comments or inside or anywhere and not inside_article(parent)
+
+
+def inside_article(node: Node | None, tags: Container[str] = ARTICLE) -> bool:
     while node is not None:
-        if node.tag in ARTICLE:
+        if node.tag in tags:
             return True
         node = node.parent
     return False
@@ -138,8 +167,8 @@ def parse(page: str) -> list[Node]:
                 close = page.find(">", stop.start()) if stop else -1
                 position = close + 1 if close >= 0 else end
             continue
-        names = " ".join(sorted(x for found in _NAMES.findall(attributes) for x in found if x)) if attributes else ""
-        node = Node(tag, names, at)
+        names, unseen = attributes_of(attributes) if attributes else ("", False)
+        node = Node(tag, names, at, unseen)
         at.children.append(node)
         nodes.append(node)
         if tag not in VOID and not attributes.endswith("/"):
@@ -147,20 +176,34 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def text_sizes(nodes: list[Node], counted) -> dict[Node, int]:
+    """Characters of text of every branch; one that isn't ``counted`` has none."""
+    sizes: dict[Node, int] = {}
+    for node in reversed(nodes):
+        sizes[node] = sum(len(c.strip()) if isinstance(c, str) else sizes[c] for c in node.children) if counted(node) else 0
+    return sizes
+
+
 def spare(nodes: list[Node]) -> None:
     """Takes the mark of noise off branches that hold at least half of the page's text that isn't noise otherwise:
-    forms, and names around an article if no article is outside of such branches."""
-    articles = [n for n in nodes if n.tag in ARTICLE]
+    forms, and names around an article if no article is outside of such branches.  Puts it on boxes inside an article that
+    are links for the most part."""
+    articles = [n for n in nodes if n.tag in ARTICLE and not n.noise]
     around = {p for n in articles for p in ancestors(n)} if all(any(p.noise for p in ancestors(n)) for n in articles) else ()
     marked = {n for n in nodes if n.noise and (n.tag == "form" and not n.named or n in around and (n.tag == "form" or n.tag not in NEVER and n.named))}
-    if not marked:
-        return
-    sizes: dict[Node, int] = {}
-    for node in reversed(nodes):
-        sizes[node] = 0 if node.noise and node not in marked else sum(len(c.strip()) if isinstance(c, str) else sizes[c] for c in node.children)
-    for node in marked:
-        if sizes[node] and 2 * sizes[node] >= sizes[nodes[0]]:
-            node.noise = False
+    if marked:
+        sizes = text_sizes(nodes, lambda n: not n.noise or n in marked)
+        for node in marked:
+            if sizes[node] and 2 * sizes[node] >= sizes[nodes[0]]:
+                node.noise = False
+    boxes = [n for n in nodes if n.tag == "aside" and not n.noise]
+    if boxes:
+        sizes = text_sizes(nodes, lambda n: not n.noise)
+        linked = text_sizes(nodes, lambda n: not n.noise)
+        for node in reversed(nodes):
+            linked[node] = sizes[node] if node.tag == "a" else sum(linked[c] for c in node.children if not isinstance(c, str))
+        for node in boxes:
+            node.noise = 2 * linked[node] >= sizes[node]
 
 
 def closed(at: Node, tags: tuple[str, ...], scope: frozenset) -> Node:
@@ -209,18 +252,27 @@ def importances(nodes: list[Node], model: dict[int, tuple[float, float]]) -> dic
 
 
 def main_text(page: str | None, model: dict[int, tuple[float, float]]) -> str:
-    """Blocks of the page without branches of low importance."""
+    """Blocks of the page without branches of low importance.
+
+    The roots are the articles of the page if they hold at least half of its important text, else the page: a teaser is no article.
+    """
     nodes = parse(page or "")
     spare(nodes)
     importance = importances(nodes, model)
     articles = [n for n in nodes if n.tag in ARTICLE and not n.noise and not any(p.noise for p in ancestors(n))]
-    roots = [n for n in articles if not any(p in articles for p in ancestors(n))] if articles else [nodes[0]]
+    articles = [n for n in articles if not any(p in articles for p in ancestors(n))]
+    # an article that is the same on every page of its host tells nothing about its own branches
+    steady = {n for n in articles if importance[n] < LOW}
+    inside = steady | {n for n in nodes if any(p in steady for p in ancestors(n))} if steady else steady
+    sizes = text_sizes(nodes, lambda n: not n.noise and (n in inside or n is nodes[0] or importance[n] >= LOW))
+    if not articles or 2 * sum(sizes[n] for n in articles) < sizes[nodes[0]]:
+        roots = [nodes[0]]
+    else:
+        roots = [n for n in articles if sizes[n]]
     blocks: list[list[str]] = [[]]
     for root in roots:
         stack: list = [root]
         blocks.append([])
-        # an article that is the same on every page of its host tells nothing about its own branches
-        varied = not articles or importance[root] >= LOW
         while stack:
             item = stack.pop()
             if item is None:
@@ -229,7 +281,7 @@ def main_text(page: str | None, model: dict[int, tuple[float, float]]) -> str:
                 blocks[-1].append(item)
             elif item.tag == "br":
                 blocks[-1].append(" ")
-            elif not item.noise and (item is root or not varied or importance[item] >= LOW):
+            elif not item.noise and (item is root or item in inside or importance[item] >= LOW):
                 edge = item.tag in BLOCKS
                 if edge:
                     blocks.append([])

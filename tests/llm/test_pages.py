@@ -67,6 +67,59 @@ def test_names_and_forms_around_the_article(page, text):
     assert text_of(page) == text
 
 
+ARTICLE = "<article><h1>T</h1><p>the story of the page</p></article>"
+
+
+@pytest.mark.parametrize(
+    "comments",
+    [
+        "<article class='comment'>I say</article>",
+        "<div class='comment-list'><div>I say</div></div>",
+        "<section id='comments-section'><p>I say</p></section>",
+        "<div class='post-comments'>I say</div>",
+        "<ol class='commentlist'><li>I say</ol>",
+        "<div id='respond'>say</div>",
+    ],
+)
+def test_comments_are_not_the_article(comments):
+    assert text_of(ARTICLE + comments) == text_of(f"<article><h1>T</h1><p>the story of the page</p>{comments}</article>") == "T\nthe story of the page"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<header class='x'>h</header><div class='site-header'>h</div><div class='main-nav'>n</div><p>the text</p><div class='site-footer'>f</div>", "the text"),
+        ("<div class='cookie-bar'>c</div><p>the text</p><div class='newsletter-form'>n</div><p hidden>h</p><p style='color:red;display: none'>d</p>", "the text"),
+        ("<div data-id='share' data-role=\"nav\" data-class='ad'><p>long story</p></div><p>b</p>", "long story\nb"),
+        ("<body class='comments-open'><div class='has-comments'><p>a</p></div></body>", "a"),
+        ("<article class='post has-comments'>a</article>", "a"),
+        ("<article><p>read on</p></article><div><p>a body that is much longer than its teaser</p></div>", "read on\na body that is much longer than its teaser"),
+        ("<article><p>a story</p><aside><p>a quote that was pulled</p></aside><aside><a href=x>more</a> <a href=y>links</a></aside></article>", "a story\na quote that was pulled"),
+    ],
+)
+def test_attributes_teasers_and_quotes(page, text):
+    assert text_of(page) == text
+
+
+def test_long_page():
+    """Megabytes of text, and of one unclosed element after the other."""
+    page = "<nav>m</nav><div>" + "".join(f"<p>word {i} <b>bold</b>" for i in range(60000)) + "</div>"
+    assert text_of(page) == "\n".join(f"word {i} bold" for i in range(60000))
+
+
+def test_importance_decides_without_article_tags(spark):
+    """Pages of the driver with the article tag and all names taken away: the template goes by the style tree alone."""
+    rows, want = [], {}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").where("html IS NOT NULL").collect():
+        inner = re.search("<article>(.*?)</article>", r.html, re.S).group(1)
+        box = "<section><h2>Our promise</h2><p>Fixed words of the site</p></section>"
+        rows.append((r.page_id, "http://one.example/x", f"<html><body><div><div>{box}</div><div>{inner}</div><address><p>All rights kept here</p></address></div></body></html>"))
+        want[r.page_id] = text_of(f"<div>{inner}</div>")
+    found = {r.page_id: r.text for r in style_tree.extract(pages(spark, rows)).collect()}
+    assert sum(found[i] == want[i] for i in want) / len(want) > 0.95
+    assert all("Fixed words" in text_of(h) and "rights kept" in text_of(h) for _, _, h in rows)  # without the model both stay
+
+
 def test_deep_page():
     assert text_of("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
@@ -135,6 +188,13 @@ def test_incomplete_chains(spark):
     assert sorted(((c.response.n if c.response else 0), [x.n for x in c.requests], sorted(x.n for x in c.metadata)) for c in got) == [(0, [], [6]), (0, [5], []), (1, [3], [2, 4]), (7, [], [])]
 
 
+def test_records_with_clashing_columns(spark):
+    names = ("via", "through", "capture_id", "n", "__record")
+    rows = [("response", "a", None, *names), ("request", "r", "a", *names), ("metadata", "m", "r", *names)]
+    got = warc.assemble(spark.createDataFrame(rows, "record_type string, record_id string, concurrent_to string, " + ", ".join(f"`{c}` string" for c in names))).collect()
+    assert [(c.capture_id, c.response.via, c.requests[0].through, c.metadata[0].capture_id) for c in got] == [("a", "via", "through", "capture_id")]
+
+
 def test_cut_archive():
     import io
 

@@ -67,6 +67,23 @@ def test_recall_over_shards(spark, monkeypatch):
     assert hits / sum(map(len, want.values())) > 0.97
 
 
+def test_recall_of_whole_shards(spark):
+    """Over three shards of full size, against brute force."""
+    x = random_vectors(3 * neighbours.SHARD, 48, seed=9)
+    frame = neighbours.usable(vectors(spark, list(enumerate(x.tolist()))), "vec_id", "embedding")
+    index = neighbours.build_index(frame)
+    assert index.agg({"n": "max"}).first()[0] > 0.95 * neighbours.SHARD and index.count() == 3
+    asked = list(range(0, len(x), 500))
+    got = neighbours.search_index(index, frame.where("id % 500 = 0")).collect()
+    wide = x.astype(np.float64)
+    hits = 0
+    for q in asked:
+        off = ((wide - wide[q]) ** 2).sum(axis=1)
+        off[q] = np.inf
+        hits += len(set(np.argsort(off, kind="stable")[:10].tolist()) & {r.id for r in got if r.query_id == q})
+    assert hits / (10 * len(asked)) >= 0.9
+
+
 def test_op1_recall(spark):
     got = queries.QUERIES["op1_neighbours"](spark, SF).collect()
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
