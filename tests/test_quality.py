@@ -103,6 +103,21 @@ def test_golden_diff(spark):
     }
 
 
+def test_differences_of_large_tables(spark):
+    """A few changed, missing and added rows among many equal ones; equal tables leave nothing to join."""
+    base = spark.range(30000).select(F.col("id").cast("string").alias("codigo"), F.when(F.col("id") % 7 != 0, F.col("id") % 100).alias("n"), F.lit("u").alias("unidad"))
+    other = base.where("codigo <> '77'").withColumn("n", F.when(F.col("codigo") == "123", None).otherwise(F.col("n")))
+    other = other.unionByName(spark.createDataFrame([("x", 5, "u")], base.schema)).repartition(5)
+    found = {(r.codigo, r.lado, r.columna, r.esperado, r.hallado) for r in Q.golden_diff(base, other, ["codigo"], ["n", "unidad"]).collect()}
+    assert found == {("77", "sobra", "unidad", None, "u"), ("123", "difiere", "n", None, "23"), ("x", "falta", "n", "5", None), ("x", "falta", "unidad", "u", None)}
+    left, right = Q.differing(base, other, ["codigo"], ["n", "unidad"])
+    assert left.count() <= 4 and right.count() <= 4
+    assert all(side.isEmpty() for side in Q.differing(base, base.repartition(3), ["codigo"], ["n", "unidad"]))
+    swapped = spark.createDataFrame([("a", None, "1"), ("b", "1", None)], "codigo string, p string, q string")
+    turned = spark.createDataFrame([("a", "1", None), ("b", None, "1")], "codigo string, p string, q string")
+    assert Q.golden_diff(swapped, turned, ["codigo"], ["p", "q"]).count() == 4
+
+
 def test_duplicates(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "k string, v int")
     assert [tuple(r) for r in Q.duplicate_keys(rows, "k").collect()] == [("a", 2)]
