@@ -9,8 +9,9 @@ only pairs that share one are verified, on the whole sets.
   indexed; 1, the signatures of its one-deletion neighbourhood as well, which finds
   segments that differ in one token and counts for two; -1, it is left out.  The values
   add up to at least H + 1 + ``SPARE_EMPTY``.  A first count of all signatures gives the cost of every
-  segment (pairs its buckets would make): segments far above the rest are left out, first as far as spare segments
-  go, then each against a one-deletion segment among the cheapest.
+  segment (members of its buckets): segments far above the rest are left out, first as far as spare segments
+  go, then each against a one-deletion segment among the cheapest, if that saves at least ``WORTH`` of all members, for
+  it takes another pass over the texts.
 * **Empty segments** are equal for no good reason; a set with at most ``SPARE_EMPTY`` of them need
   not index those of value 0; one of value 1 counts for two and is always indexed.
 * **Equal sets** are one class from the start, so copies never meet in pairs.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from preciario.llm.components import connected
-from preciario.llm.shared import ddl, written
+from preciario.llm.shared import ddl, discard, free_shuffles, written
 
 #: Sets link from this share on, in hundredths.
 SHARE = 90
@@ -47,6 +48,10 @@ BAND_RATIO = 1.35
 SPARE_EMPTY = 2
 #: A segment this many times as costly as its band's median is left out.
 COSTLY = 16
+#: Share of all members that one-deletion segments must save.
+WORTH = 0.5
+#: Bits of a signature that name its segment.
+CODE_BITS = 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -145,8 +150,9 @@ class Bands:
         return h + 1 + SPARE_EMPTY + h // 32
 
 
-def allocate(costs: dict[tuple[int, int], float], bands: Bands) -> dict[int, np.ndarray]:
-    """For each scheme with costs, the segments' values (-1, 0, 1); see the module's docstring."""
+def allocate(costs: dict[tuple[int, int], float], bands: Bands, deletions: bool = True) -> dict[int, np.ndarray]:
+    """For each scheme with costs, the segments' values (-1, 0, 1); see the module's docstring.  Without ``deletions`` only
+    spare segments are left out."""
     by_scheme: dict[int, dict[int, float]] = {}
     for (k, i), cost in costs.items():
         by_scheme.setdefault(k, {})[i] = cost
@@ -159,7 +165,7 @@ def allocate(costs: dict[tuple[int, int], float], bands: Bands) -> dict[int, np.
         order = np.argsort(-cost, kind="stable")
         cheap = m - 1
         for at, i in enumerate(order.tolist()):
-            if at >= cheap:
+            if at >= cheap or not deletions and at >= spare:
                 break
             if cost[i] <= COSTLY * (np.median(cost) + 1):
                 break
@@ -171,6 +177,14 @@ def allocate(costs: dict[tuple[int, int], float], bands: Bands) -> dict[int, np.
     return out
 
 
+def worthwhile(costs: dict[tuple[int, int], float], bands: Bands) -> dict[int, np.ndarray]:
+    """The allocation, without one-deletion segments where those left out for them hold less than ``WORTH`` of all members."""
+    values = allocate(costs, bands)
+    spare = allocate(costs, bands, deletions=False)
+    saved = sum(cost for (k, i), cost in costs.items() if values[k][i] < 0 <= spare[k][i])
+    return values if saved >= WORTH * sum(costs.values()) > 0 else spare
+
+
 def signatures(tokens: np.ndarray, bands: Bands, values: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(scheme, segment numbers, signatures) of one set, for each scheme it uses."""
     spread = mixed(tokens ^ _C)
@@ -202,15 +216,20 @@ def signatures(tokens: np.ndarray, bands: Bands, values: dict[int, np.ndarray] |
         yield k, number, mixed(signature * _C + salt)
 
 
+def segment_code(k: int, number: np.ndarray) -> np.ndarray:
+    """A segment of a scheme in ``CODE_BITS``; two that share one only add up their costs."""
+    return mixed((np.uint64(k) << np.uint64(32)) + number.astype(np.uint64)) >> np.uint64(64 - CODE_BITS)
+
+
 def sets(docs: DataFrame, values: dict[int, np.ndarray] | None, key: str, text: str, share: int, n_words: int) -> DataFrame:
-    """Of every row: key, n_shingles, class (null for an empty set); and once per task and class its compressed
-    text, signatures and their segments (scheme << 32 | number), null otherwise."""
+    """Of every row: key, n_shingles, class (null for an empty set); and once per task and class its signatures (with their
+    segment's code in front) and, if no ``values`` are given, its compressed text, null otherwise."""
     schema = docs.select(key).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(share), set()
         for batch in batches:
-            n, names, blobs, keys, segments = [], [], [], [], []
+            n, names, blobs, keys = [], [], [], []
             for x in batch.column(1).to_pylist():
                 tokens = shingles(x, n_words)
                 name = class_of(tokens) if len(tokens) else None
@@ -219,35 +238,41 @@ def sets(docs: DataFrame, values: dict[int, np.ndarray] | None, key: str, text:
                 if name is None or name in seen:
                     blobs.append(None)
                     keys.append(None)
-                    segments.append(None)
                     continue
                 if len(seen) < 1_000_000:  # beyond, copies in one task are only repeated rows
                     seen.add(name)
-                found = list(signatures(tokens, bands, values))
-                blobs.append(zlib.compress(x.encode("utf-8", "replace"), 1))
-                keys.append(signed(np.concatenate([f[2] for f in found])) if found else np.zeros(0, np.int64))
-                segments.append(np.concatenate([f[1] + (f[0] << 32) for f in found]) if found else np.zeros(0, np.int64))
+                found = [(segment_code(k, number) << np.uint64(64 - CODE_BITS)) + (sign >> np.uint64(CODE_BITS)) for k, number, sign in signatures(tokens, bands, values)]
+                blobs.append(zlib.compress(x.encode("utf-8", "replace"), 1) if values is None else None)
+                keys.append(signed(np.concatenate(found)) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(segments, pa.list_(pa.int64()))],
-                [key, "n_shingles", "class", "blob", "keys", "segments"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [key, "n_shingles", "class", "blob", "keys"],
             )
 
-    return docs.select(key, text).mapInArrow(run, f"{ddl(schema)}, n_shingles long, class long, blob binary, keys array<long>, segments array<long>")
+    return docs.select(key, text).mapInArrow(run, f"{ddl(schema)}, n_shingles long, class long, blob binary, keys array<long>")
 
 
-def signature_rows(rows: DataFrame) -> DataFrame:
-    """key, segment and class of every signature."""
-    return rows.where(F.col("keys").isNotNull()).select("class", F.explode(F.arrays_zip("keys", "segments")).alias("s")).select(
-        F.col("s.keys").alias("key"), F.col("s.segments").alias("segment"), "class"
-    )
+def bucket_members(rows: DataFrame) -> DataFrame:
+    """key, class and n (rows) of the signatures of at least two classes: one exchange of the signatures finds and counts them."""
+    signs = rows.where(F.col("keys").isNotNull()).select("class", F.explode("keys").alias("key"))
+    same = Window.partitionBy("key")
+    counted = signs.select("key", "class", F.min("class").over(same).alias("low"), F.max("class").over(same).alias("high"), F.count(F.lit(1)).over(same).alias("n"))
+    return counted.where(F.col("low") < F.col("high")).select("key", "class", "n")
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """Signatures of at least two classes: key, segment and n (rows)."""
-    found = rows.groupBy("key").agg(
-        F.min("class").alias("low"), F.max("class").alias("high"), F.min("segment").alias("segment"), F.count(F.lit(1)).alias("n")
-    )
-    return found.where(F.col("low") < F.col("high")).drop("low", "high")
+def segment_costs(members: DataFrame, bands: Bands, most: int) -> dict[tuple[int, int], float]:
+    """What the buckets of each segment cost: their members, which are verified in stars; ``most`` is the size of the largest set.
+
+    An entry per segment of the largest set's bands at most, however many rows there are.
+    """
+    summed = members.groupBy(F.shiftrightunsigned("key", 64 - CODE_BITS).alias("code")).agg(F.count(F.lit(1)).cast("double").alias("cost"))
+    costs = {r.code: r.cost for r in summed.toLocalIterator()}
+    out = {}
+    bands.grown(most)
+    for k in range(len(bands.lows) - 1):
+        numbers = np.arange(bands.segments(k))
+        out |= {(k, int(i)): costs[c] for i, c in zip(numbers, segment_code(k, numbers).tolist(), strict=True) if c in costs}
+    return out
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -332,7 +357,9 @@ def join(docs: DataFrame, share: int = SHARE, n_words: int = WORDS, key: str = "
     no row with a key is in it.  Other columns are not read.
     """
     rows = written(sets(docs, None, key, text, share, n_words), "sets")
-    labels = connected(linked(docs, rows, share, n_words, key, text))
+    narrow, edges = linked(docs, rows, share, n_words, key, text)
+    rows, labels = narrow, connected(edges)
+    discard(edges)
     named = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(key).alias("low"))
     grouped = named.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
     smallest = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -344,43 +371,52 @@ def join(docs: DataFrame, share: int = SHARE, n_words: int = WORDS, key: str = "
 def representatives(docs: DataFrame, share: int = SHARE, n_words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay if one document of each component does: that of the smallest key.
 
-    Texts without words, and rows without a key, all stay; rows that repeat a key are one document.
+    Texts without words, and rows without a key, all stay; rows that repeat a key are one document, whichever of them comes first
+    by its text and then by its other columns.
     """
     kept = join(docs, share, n_words, key, text).where((F.col(key) == F.col("component_id")) | (F.col("n_shingles") == 0))
     kept = kept.where(F.col(key).isNotNull()).select(key).distinct()
-    return docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    rows = docs.where(F.col(key).isNotNull()).join(kept.hint("merge"), key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_first(text), F.xxhash64(*docs.columns)))
+    return rows.withColumn("__first", first).where(F.col("__first") == 1).drop("__first").unionByName(docs.where(F.col(key).isNull()))
 
 
-def linked(docs: DataFrame, rows: DataFrame, share: int, n_words: int, key: str, text: str) -> DataFrame:
-    """Links (a, b) between classes: every link of the join is among them or inside a component that they span.
+def linked(docs: DataFrame, rows: DataFrame, share: int, n_words: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' key, n_shingles and class, and links (a, b) between classes: every link of the join is among them or inside a
+    component that they span.
 
-    ``rows`` are the written ``sets`` of ``docs``.
+    ``rows`` are the written ``sets`` of ``docs``; they and every table between are deleted once their last reader has run.
     """
     bands = Bands(share)
-    signs = signature_rows(rows)
-    found = written(buckets(signs), "buckets")
-    costs = {
-        (r.segment >> 32, r.segment & 0xFFFFFFFF): r.cost
-        for r in found.groupBy("segment").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost")).toLocalIterator()
-    }  # one entry per segment of the longest document's bands
-    values = allocate(costs, bands)
+    members = written(bucket_members(rows), "members")
+    values = worthwhile(segment_costs(members, bands, rows.agg(F.max("n_shingles")).first()[0] or 0), bands)
+    free_shuffles(docs.sparkSession)
     if any((v == 1).any() for v in values.values()):  # one-deletion neighbourhoods are made only where they are wanted
-        signs = signature_rows(written(sets(docs, values, key, text, share, n_words), "sets"))
-        found = written(buckets(signs), "buckets")
-    left_out = [(k << 32) + int(i) for k, v in values.items() for i in np.flatnonzero(v < 0)]
-    if left_out:
-        session = docs.sparkSession
-        dropped = session.createDataFrame([(x,) for x in left_out], "segment long")
-        found = found.join(dropped, "segment", "left_anti")
-    members = written(signs.select("key", "class").join(found.select("key", "n"), "key").distinct(), "members")
+        again = written(sets(docs, values, key, text, share, n_words), "signatures")
+        before, members = members, written(bucket_members(again), "members")
+        discard(before, again)
+    left_out = np.unique(np.concatenate([np.zeros(0, np.uint64), *(segment_code(k, np.flatnonzero(v < 0)) for k, v in values.items() if (v < 0).any())]))
+    kept = {c for k, v in values.items() for c in segment_code(k, np.flatnonzero(v >= 0)).tolist()}
+    dropped = [(int(c),) for c in left_out if int(c) not in kept]  # a code that a kept segment shares stays
+    wanted = members.distinct()
+    if dropped:
+        codes = docs.sparkSession.createDataFrame(dropped, "code long")
+        wanted = wanted.withColumn("code", F.shiftrightunsigned("key", 64 - CODE_BITS)).join(codes, "code", "left_anti").drop("code")
+    before, members = members, written(wanted, "members")
+    discard(before)
+    texts = rows.where(F.col("blob").isNotNull()).select("class", "blob")
+    narrow = written(rows.select(key, "n_shingles", "class"), "classes")
     central = members.groupBy("class").agg(F.sum("n").alias("score"))
     centres = members.join(central, "class").groupBy("key").agg(F.max(F.struct("score", "class")).alias("c")).select("key", F.col("c.class").alias("b"))
     stars = members.select("key", F.col("class").alias("a")).join(centres, "key").where(F.col("a") != F.col("b"))
     stars = written(stars.select("a", "b").distinct(), "stars")
-    wanted = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "class")
+    discard(members)
+    free_shuffles(docs.sparkSession)
+    classes = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "class")
     # the wanted classes grow with the input, so they are never broadcast
-    texts = rows.where(F.col("blob").isNotNull()).select("class", "blob").join(wanted.hint("merge"), "class", "left_semi").dropDuplicates(["class"])
-    texts = written(texts, "texts")
+    texts = written(texts.join(classes.hint("merge"), "class", "left_semi").dropDuplicates(["class"]), "texts")
+    discard(rows)
+    free_shuffles(docs.sparkSession)
     edges = written(verified(stars, texts, share, n_words), "links")
     labels = connected(edges)
     placed = stars.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
@@ -388,6 +424,10 @@ def linked(docs: DataFrame, rows: DataFrame, share: int, n_words: int, key: str,
     # stars with one unlinked member have no pair left to look at
     loose = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("own")).alias("m")).where((F.col("m") > 0) & (F.col("n") > 1))
     apart = written(differences(placed.join(loose.select("b"), "b", "left_semi"), texts, share, n_words), "differences")
+    free_shuffles(docs.sparkSession)
     rest = difference_pairs(apart)
     rest = rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return edges.unionByName(written(verified(rest, texts, share, n_words), "links"))
+    more = written(verified(rest, texts, share, n_words), "links")
+    out = written(edges.unionByName(more), "links")
+    discard(apart, texts, stars, edges, more)
+    return narrow, out

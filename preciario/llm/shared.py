@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from preciario.session import scratch_path
 
-__all__ = ["ddl", "discard", "scratch_path", "table", "written"]
+__all__ = ["ddl", "discard", "free_shuffles", "scratch_path", "table", "written"]
 
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -51,3 +51,11 @@ def discard(*tables: DataFrame) -> None:
         if path:
             where, system = _folder(df.sparkSession, path)
             system.delete(where, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's context cleaner delete the shuffle files of steps that are written: it acts when the driver collects garbage.
+
+    Otherwise the files of all steps of a long job stay on the executors' disks together.
+    """
+    spark.sparkContext._jvm.System.gc()

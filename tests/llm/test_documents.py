@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from preciario.llm import jaccard_join, language, line_dedup, queries
@@ -17,16 +18,16 @@ from tests.llm.test_tokens import packed_well
 SF = "/root/testdata/sf0.001"
 
 
-def sets_of(rows):
+def sets_of(rows, n=3):
     out = []
     for key, text in rows:
         words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
-        out.append((key, {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()))
+        out.append((key, {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()))
     return out
 
 
-def components_of(rows, share=90):
-    sets = sets_of(rows)
+def components_of(rows, share=90, n_words=3):
+    sets = sets_of(rows, n_words)
     parent = list(range(len(sets)))
 
     def root(i):
@@ -83,6 +84,19 @@ def test_join_of_nothing(spark):
     assert [tuple(r) for r in jaccard_join.join(documents(spark, [(3, None, None, None)])).collect()] == [(3, 0, 3)]
 
 
+def test_join_on_five_words(spark):
+    rows = AWKWARD + near_copies()
+    got = sorted(map(tuple, jaccard_join.join(documents(spark, rows), 80, 5).collect()), key=repr)
+    assert got == components_of([r[:2] for r in rows], 80, 5)
+
+
+def test_representatives_of_repeated_keys(spark):
+    rows = [(1, "b c d", "x", "s"), (1, "a c d", "x", "s"), (2, "z", "x", "s"), (2, "z", "x", "t"), (None, "z", None, None)]
+    got = [jaccard_join.representatives(documents(spark, r)).select("doc_id", "text", "source").collect() for r in (rows, rows[::-1])]
+    assert sorted(got[0], key=repr) == sorted(got[1], key=repr)
+    assert {(r.doc_id, r.text) for r in got[0]} == {(1, "a c d"), (2, "z"), (None, "z")} and len(got[0]) == 3
+
+
 @pytest.mark.parametrize("dear", [False, True])
 def test_every_linked_pair_shares_a_signature(dear):
     """Whatever segments the allocation leaves out: pigeonhole and one-deletion neighbourhoods."""
@@ -192,13 +206,35 @@ def test_spread_lines(spark):
         lines = text.split("\n") if text is not None else []
         left = [x for x in lines if x not in gone]
         want.append((key, None if text is None else "\n".join(left), len(lines), len(lines) - len(left)))
-    got = line_dedup.remove_spread_lines(documents(spark, rows).repartition(5)).select("doc_id", "text", "n_lines", "n_removed").collect()
+    got = line_dedup.remove_boilerplate(documents(spark, rows).repartition(5)).select("doc_id", "text", "n_lines", "n_removed").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
-    assert line_dedup.remove_spread_lines(documents(spark, [])).count() == 0
+    assert line_dedup.remove_boilerplate(documents(spark, [])).count() == 0
     staged = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, documents(spark, rows), SF).collect()}
     assert staged[100] == "copied start\ncopied end" and not any("Framed" in (x or "") for x in staged.values())
 
 
+@pytest.mark.parametrize("republisher", [0, 7, 18, 19])
+def test_a_site_that_republishes_all_others_changes_nothing(spark, republisher):
+    """19 sites with a text each; one more site, or one of them, has all of them as well."""
+    rows = [(i, f"{prose(i, 6)}\nAll rights reserved\n{prose(i + 300, 6)}", "en", f"s{i}") for i in range(19)]
+    rows += [(100 + i, text, la, f"s{republisher}") for i, text, la, _ in rows]
+    found = line_dedup.remove_boilerplate(documents(spark, rows)).collect()
+    assert sum(r.n_removed for r in found) == 38 and all("All rights" not in r.text for r in found)
+
+
+def test_copies_on_many_sites_lose_nothing(spark):
+    rows = [(i, "first line here\nsecond line here\nthird line here", "en", f"s{i % 40}") for i in range(200)]
+    found = line_dedup.remove_boilerplate(documents(spark, rows)).collect()
+    assert sum(r.n_removed for r in found) == 0
+
+
+def test_lines_near_the_threshold_are_counted_exactly(spark):
+    rows = [(n, f"line {k}", "en", f"s{n}") for k, sites in enumerate(range(5, 16)) for n in range(sites)]
+    lines = line_dedup.line_rows(documents(spark, rows), "text", "source")
+    want = {r.line for r in lines.groupBy("line").agg(F.count_distinct("site").alias("n")).where("n >= 10").collect()}
+    assert {r.line for r in line_dedup.widespread(lines, "site", 10).collect()} == want and len(want) == 6
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -249,7 +285,7 @@ def test_pipeline_stages(spark):
     assert cleaned.columns == docs.columns and cleaned.count() == len(rows)
     assert not any("Licensed" in (r.text or "") for r in cleaned.collect())
     single = copies(spark, docs, SF)
-    want = {key for key, _, low in components_of([r[:2] for r in rows]) if key == low or key is None}
+    want = {key for key, _, low in components_of([r[:2] for r in rows], corpus_pipeline.COPY_SHARE, corpus_pipeline.COPY_WORDS) if key == low or key is None}
     assert single.columns == docs.columns
     left = [r.doc_id for r in single.collect()]
     assert set(left) == want and len(left) == len(want)
@@ -261,3 +297,16 @@ def test_pipeline_runs(spark):
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert got.select("doc_id").distinct().count() >= len({c for _, _, c in components_of(docs)}) - 5
+
+
+def test_pipeline_as_a_whole(spark, tmp_path):
+    """The packed documents are those that SQL (lines) and brute force (near copies) leave of the known ones, with their texts."""
+    import duckdb
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.known_language(spark, docs, SF).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    cleaned = [(r[0], r[1]) for r in con.execute(f"SELECT doc_id, text FROM ({line_dedup.oracle()})").fetchall()]
+    stays = {key for key, _, low in components_of(cleaned, corpus_pipeline.COPY_SHARE, corpus_pipeline.COPY_WORDS) if key == low}
+    packed_well(corpus_pipeline.run(spark, SF).collect(), [d for d in cleaned if d[0] in stays])
