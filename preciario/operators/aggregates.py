@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from preciario.constants import COMPONENTES
-from preciario.functions.codes import chapter_name, chapter_number, component_order, natural_key
-from preciario.functions.money import mean_ratio, round_money, sum_money
+from preciario.functions.codes import chapter_name, chapter_number, natural_key
+from preciario.functions.money import exact_units, from_units, mean_ratio, round_money, sum_money
 from preciario.functions.ordering import group_median, positions
 from preciario.functions.text import title
 from preciario.operators.extract import department_name
@@ -333,28 +333,36 @@ def distinct_chapters(items: DataFrame) -> DataFrame:
     )
 
 
+def _components(lines: DataFrame) -> DataFrame:
+    """Component subtotals, totals and the place of each present component, by one aggregate of the lines."""
+    sums = [round_money(sum_money(F.when(F.col("componente") == c, F.col("subtotal")))).alias(f"_s{i}") for i, c in enumerate(COMPONENTES)]
+    counts = [F.count_if(F.col("componente") == c).alias(f"_n{i}") for i, c in enumerate(COMPONENTES)]
+    order = range(len(COMPONENTES))
+    parts = F.array(*(F.struct(F.lit(c).alias("componente"), F.col(f"_s{i}").alias("subtotal"), F.col(f"_n{i}").alias("lineas")) for i, c in enumerate(COMPONENTES)))
+    units = reduce(lambda a, b: a + b, (F.coalesce(exact_units(F.col(f"_s{i}")), F.lit(0)) for i in order))
+    some = F.coalesce(*(F.col(f"_s{i}") for i in order)).isNotNull()
+    wide = lines.groupBy("codigo", "slug").agg(*sums, *counts)
+    return wide.select(
+        "codigo",
+        "slug",
+        F.when(some, round_money(from_units(units))).alias("total"),
+        reduce(lambda a, b: a + b, (F.col(f"_n{i}") for i in order)).alias("lineasTotal"),
+        F.posexplode(F.filter(parts, lambda x: x["lineas"] > 0)).alias("_p", "_x"),
+    ).select("codigo", "slug", "_x.*", "total", "lineasTotal", (F.col("_p") + 1).alias("posicion"))
+
+
 def breakdown(lines: DataFrame) -> DataFrame:
     """Component subtotals of each item and region; the total adds the already
     rounded subtotals."""
-    parts = lines.groupBy("codigo", "slug", "componente").agg(
-        round_money(sum_money(F.col("subtotal"))).alias("subtotal"), F.count(F.lit(1)).alias("lineas")
-    )
-    whole = parts.groupBy("codigo", "slug").agg(
-        round_money(sum_money(F.col("subtotal"))).alias("total"), F.sum("lineas").alias("lineasTotal")
-    )
-    return parts.join(whole, ["codigo", "slug"])
+    return _components(lines).drop("posicion")
 
 
-def breakdown_lines(lines: DataFrame) -> DataFrame:
+def breakdown_lines(lines: DataFrame, unnumbered: DataFrame | None = None) -> DataFrame:
     """The whole breakdown of each item and region, one row per line: components
     in the order of the printed form, lines by ``orden``, with the component's
-    subtotal and the total.  ``posicion`` numbers the components that are there."""
-    totals = breakdown(lines)
-    present = totals.groupBy("codigo", "slug").agg(F.array_sort(F.collect_set(component_order(F.col("componente")))).alias("_c"))
-    placed = totals.join(present, ["codigo", "slug"]).withColumn(
-        "posicion", F.array_position("_c", component_order(F.col("componente"))).cast("int")
-    )
-    placed = placed.withColumnRenamed("subtotal", "subtotalComponente").drop("_c", "lineas")
+    subtotal and the total.  ``posicion`` numbers the components that are there.
+    ``unnumbered`` are the same lines before ``orden`` was given, which sums don't need."""
+    placed = _components(lines if unnumbered is None else unnumbered).withColumnRenamed("subtotal", "subtotalComponente").drop("lineas")
     return lines.select(*COLUMNAS_DESGLOSE).join(placed, ["codigo", "slug", "componente"])
 
 

@@ -267,7 +267,8 @@ BREAKDOWN = (
     ),
 )
 def breakdown(spark, sf):
-    return A.breakdown_lines(T.with_order(T.lines(spark, sf)))
+    lines = T.lines(spark, sf)
+    return A.breakdown_lines(T.with_order(lines), lines)
 
 
 @query("unresolved_by_item", sql("SELECT hoja, count(*) AS n FROM filas WHERE l_tax>0 AND NOT l_discount>0 GROUP BY hoja", "filas"))
