@@ -250,20 +250,21 @@ def assemble(records: DataFrame) -> DataFrame:
     """
     own = [c for c in records.columns if c not in ("record_type", "concurrent_to")]
     kind = F.col("record_type")
-    requests = records.where(kind == "request").select(F.col("record_id").alias("via"), F.col("concurrent_to").alias("through")).where(F.col("via").isNotNull())
-    through = requests.groupBy("via").agg(F.min("through").alias("through"))
-    other = records.where(~kind.isin(*PAYLOAD_IN)).join(through, F.col("concurrent_to") == F.col("via"), "left")
-    other = other.withColumn("capture_id", F.coalesce("through", "concurrent_to", "record_id")).select(*records.columns, "capture_id")
-    first = records.where(kind.isin(*PAYLOAD_IN)).withColumn("capture_id", F.col("record_id"))
-    nested = F.struct("record_type", *own)
+    requests = records.where(kind == "request").select(F.col("record_id").alias("__via"), F.col("concurrent_to").alias("__through")).where(F.col("__via").isNotNull())
+    through = requests.groupBy("__via").agg(F.min("__through").alias("__through"))
+    other = records.where(~kind.isin(*PAYLOAD_IN)).join(through, F.col("concurrent_to") == F.col("__via"), "left")
+    nested = F.struct("record_type", *own).alias("__record")
+    other = other.select(F.coalesce("__through", "concurrent_to", "record_id").alias("__capture"), kind.alias("__kind"), nested)
+    first = records.where(kind.isin(*PAYLOAD_IN)).select(F.col("record_id").alias("__capture"), kind.alias("__kind"), nested)
+    kind, record = F.col("__kind"), F.col("__record")
     return (
         first.unionByName(other)
-        .withColumn("capture_id", F.coalesce("capture_id", F.uuid()))
+        .withColumn("capture_id", F.coalesce("__capture", F.uuid()))
         .groupBy("capture_id")
         .agg(
-            F.any_value(F.when(kind.isin(*PAYLOAD_IN), nested), F.lit(True)).alias("response"),
-            F.collect_list(F.when(kind == "request", nested)).alias("requests"),
-            F.collect_list(F.when(kind == "metadata", nested)).alias("metadata"),
+            F.any_value(F.when(kind.isin(*PAYLOAD_IN), record), F.lit(True)).alias("response"),
+            F.collect_list(F.when(kind == "request", record)).alias("requests"),
+            F.collect_list(F.when(kind == "metadata", record)).alias("metadata"),
         )
     )
 
@@ -271,7 +272,8 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, path: str) -> DataFrame:
     """Write the pages' archives to ``path``, read them back, assemble captures, and give for each page
     page_id, payload_bytes, payload_digest, record_type, refers_to.  For a response both figures are
-    taken from the payload that was read; a revisit has none and brings those that were recorded."""
+    taken from the payload that was read; a revisit has none and brings those that were recorded.  A page_id is a whole number;
+    one that isn't comes back as null."""
     write_archives(pages, path)
     read = read_archives(pages.sparkSession, path)
     narrow = read.select(
