@@ -112,7 +112,7 @@ def test_nodes_are_linked_and_the_row_limit_is_put_back(spark):
     discard(manifest.leaves, manifest.nodes)
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("sf", ["sf0.01"])
 def test_op13_equals_oracle(spark, sf):
     sf = f"/root/testdata/{sf}"
     assert differences(queries.QUERIES["op13_merkle"](spark, sf), connect(sf), queries.ORACLES["op13_merkle"]) == []

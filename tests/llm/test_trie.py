@@ -133,7 +133,7 @@ def test_double_array_of_many_children():
     assert (tries.check >= 0).sum() == len(parent) and len(tries.check) < 2 * len(parent) + 40000
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_op12_equals_oracle(spark, sf):
     sf = f"/root/testdata/{sf}"
     assert differences(queries.QUERIES["op12_trie"](spark, sf), connect(sf), queries.ORACLES["op12_trie"]) == []
