@@ -115,15 +115,14 @@ def sheet_rows(cells: DataFrame, *kinds: int) -> DataFrame:
     texto, numero), and since kind and row number are aggregates too, no reader's filter changes the exchange below:
     all of them share it, and the cells are read once.  ``kinds`` limits the sheets from the start.
     """
-    hoja = F.col("hoja")
-    kind = F.when(hoja.rlike(PATRON_HOJA_ITEM), ITEM).when(hoja == L.HOJA_INDICE, INDEX)
-    columns = {ITEM: _ITEM_COLUMNS, INDEX: sorted(L.INDICE_COLUMNAS.values())}
-    for i, listing in enumerate(L.LISTADOS, LISTING):
-        kind = kind.when(hoja == listing.hoja, i)
-        columns[i] = sorted(listing.columns.values())
-    wanted = {k: c for k, c in columns.items() if not kinds or k in kinds}
-    used = cells.where(F.col("archivo").isNotNull() & hoja.isNotNull() & F.col("fila").isNotNull()).withColumn("_k", kind)
-    used = used.where(_any([(F.col("_k") == k) & F.col("columna").isin(c) for k, c in wanted.items()]))
+    hoja, names = F.col("hoja"), {INDEX: L.HOJA_INDICE, **{i: x.hoja for i, x in enumerate(L.LISTADOS, LISTING)}}
+    columns = {INDEX: sorted(L.INDICE_COLUMNAS.values()), **{i: sorted(x.columns.values()) for i, x in enumerate(L.LISTADOS, LISTING)}}
+    wanted = [(hoja == name) & F.col("columna").isin(columns[k]) for k, name in names.items() if not kinds or k in kinds]
+    if not kinds or ITEM in kinds:  # the pattern comes last and once
+        wanted.append(F.col("columna").isin(_ITEM_COLUMNS) & hoja.rlike(PATRON_HOJA_ITEM))
+    used = cells.where(F.col("archivo").isNotNull() & hoja.isNotNull() & F.col("fila").isNotNull() & _any(wanted))
+    kind = reduce(lambda chain, k: chain.when(hoja == names[k], k), list(names)[1:], F.when(hoja == names[INDEX], INDEX)).otherwise(ITEM)
+    used = used.withColumn("_k", kind)
     return (
         used.groupBy(*SHEET, "fila")
         .agg(F.max("_k").alias("tipo"), F.max("fila").alias("renglon"), F.collect_list(F.struct("columna", "texto", "numero")).alias("celdas"))
