@@ -104,3 +104,22 @@ def test_topk_with_one_large_group(spark):
     ranked = sorted((r for r in rows if r[5] > 0), key=lambda r: (-r[5], r[6]))
     assert [found[i][0] for i in (1, 2, 3)] == [r[3] for r in ranked[:3]]
     assert found[4][1:] == (len(ranked) - 3, sum(r[5] for r in ranked[3:]))
+
+
+def test_positions_exchange_rows_once(spark):
+    """The rows themselves are exchanged and sorted for the window only, not again for the join with the offsets; null keys are groups."""
+    rows = [(k, i, i // 3) for k in ("a", None, "b") for i in range(10)] + [("b", None, None)]
+    df = spark.createDataFrame(rows, "k string, i long, t long").repartition(3)
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "false")
+    spark.conf.set(names[1], "-1")
+    try:
+        found = positions(df, ["k"], ["i"], F.col("t"), "at")
+        text = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.k, r.i): r["at"] for r in found.collect()}
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    assert text.count("Exchange hashpartitioning") == 4
+    assert got == {**{(k, i): i + 1 for k in ("a", None) for i in range(10)}, **{("b", i): i + 2 for i in range(10)}, ("b", None): 1}
