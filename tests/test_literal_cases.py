@@ -325,3 +325,17 @@ def test_published_aggregates(spark):
     rows = [("650.5", f"r{i}", c) for i, c in enumerate(costs + [0.0] * 120)]
     row = values(spark, rows, "codigo string, slug string, costoDirecto double").groupBy("codigo").agg(*A.positive_stats()).first()
     assert (row.min, row.max, row.mediana, row.conDato) == (13.51, 14.49, 13.65, 20)
+
+
+def test_trimming_long_texts_without_patterns(spark):
+    """Ends are trimmed of every blank by their characters, not by a pattern that is tried at each blank of the text."""
+    blanks = "\t\x0b\f         　﻿\r\n"
+    rows = [(i, t) for i, t in enumerate(["a b", blanks + "á  b" + blanks, blanks, "", None, "x​", " a", "a ", "a  b", "Ñ\tb\n\n c"])]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", text.trim_all(F.col("t")).alias("f"), text.clean_text(F.col("t")).alias("c"), text.fold(F.col("t")).alias("l"))
+    found = {r.i: (r.f, r.c) for r in df.collect()}
+    assert found == {
+        0: ("a b", "a b"), 1: ("á  b", "á b"), 2: ("", None), 3: ("", None), 4: (None, None), 5: ("x​", "x​"), 6: ("a", "a"), 7: ("a", "a"), 8: ("a  b", "a b"),
+        9: ("Ñ\tb\n\n c", "Ñ b\n\nc"),
+    }
+    assert "regexp" not in df.select("f")._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.i: r.l for r in df.where("i in (4, 6, 9)").collect()} == {4: None, 6: " a", 9: "n\tb\n\n c"}
