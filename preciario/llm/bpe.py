@@ -3,10 +3,11 @@
 A sequence of tokens is the merge result of its bytes exactly when every two
 neighbours are the merge result of *their* bytes.  So the merges compile to a
 nondeterministic transducer that reads bytes along a trie of the vocabulary and
-may emit a token at its end if the token before it is a fitting neighbour.
-Every prefix has one such reading, so hypotheses die quickly: a token is emitted
-as soon as all hypotheses alive agree on it, which bounds the lookahead by the
-longest token.  Subset construction runs on demand: a state is made when a text
+may end a token there if the token before it is a fitting neighbour.
+Every prefix has one such reading at most, so hypotheses die quickly, and the token
+that ends at a byte follows from the state: states hold no output, a transition names
+that token, and the tokens of a piece are read off backwards from its end.
+Subset construction runs on demand: a state is made when a text
 first reaches it and is kept for later texts (up to a number of states; then the
 table starts anew, which costs time and changes nothing).
 """
@@ -32,6 +33,9 @@ from preciario.llm.shared import ddl
 MOST_STATES = 150_000
 MOST_PIECES = 300_000
 
+#: Tokens below a trie node that are compared one by one.
+FEW_TOKENS = 16
+
 #: Later than any merge.
 NEVER = 1 << 60
 
@@ -73,16 +77,18 @@ class Transducer:
         self.kind_numbers: dict[tuple, int] = {(): 0}
         self.kind_parts: list[list] = [[]]
         self.edges: tuple[dict, dict] = ({}, {})
+        self.few: dict[int, list[int] | None] = {}
+        self.narrowed: dict[int, int] = {}
+        self.alike: dict[tuple, int] = {}
         self.reset()
 
     def reset(self) -> None:
-        #: hypotheses of a state: (kind of the token before, trie node, tokens not emitted yet);
+        #: hypotheses of a state, the earliest begun first: (kind of the token before, trie node);
         #: kind 0 fits everything and also stands for the beginning
         self.states: dict[tuple, int] = {}
         self.subsets: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple]]] = []
-        self.last: list[tuple | None] = []
-        self.state(((0, 0, ()),))
+        self.moves: list[dict[int, tuple[int, int]]] = []
+        self.state(((0, 0),))
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The merges by their definition: lowest rank first, leftmost among equals."""
@@ -163,36 +169,60 @@ class Transducer:
             self.fits[key] = known
         return known
 
+    def below(self, node: int) -> list[int] | None:
+        """The tokens that lie below a node, if they are few."""
+        if node not in self.few:
+            found, todo = [], [node]
+            while todo and len(found) <= FEW_TOKENS:
+                for child in self.children[todo.pop()].values():
+                    todo.append(child)
+                    if self.ends[child] >= 0:
+                        found.append(self.ends[child])
+            self.few[node] = found if len(found) <= FEW_TOKENS else None
+        return self.few[node]
+
+    def narrow(self, kind: int, node: int) -> int:
+        """One kind for all that let the same tokens below a node follow: 0 if all fit, -1 if none does."""
+        key = kind << 32 | node
+        known = self.narrowed.get(key)
+        if known is None:
+            known, tokens = kind, self.below(node)
+            if tokens is not None:
+                fitting = tuple([t for t in tokens if self.neighbours(kind, t)])
+                known = 0 if len(fitting) == len(tokens) else self.alike.setdefault((node, fitting), kind) if fitting else -1
+            if len(self.narrowed) >= 4 * MOST_STATES:
+                self.narrowed.clear()
+            self.narrowed[key] = known
+        return known
+
     def state(self, subset: tuple) -> int:
         number = self.states.get(subset)
         if number is None:
             number = self.states[subset] = len(self.subsets)
             self.subsets.append(subset)
             self.moves.append({})
-            self.last.append(next((pending for _, node, pending in subset if node == 0), None))
         return number
 
-    def move(self, number: int, byte: int) -> tuple[int, tuple]:
-        """A new transition: the state after ``byte`` and what it emits."""
-        alive = []
+    def move(self, number: int, byte: int) -> tuple[int, int]:
+        """A new transition: the state after ``byte`` and the token that ends there, -1 if none does."""
+        alive, ended = [], -1
         children, ends = self.children, self.ends
-        for kind, node, pending in self.subsets[number]:
+        for kind, node in self.subsets[number]:
             child = children[node].get(byte)
             if child is None:
                 continue
             if children[child]:
-                alive.append((kind, child, pending))
+                left = kind and self.narrow(kind, child)
+                if left >= 0:
+                    alive.append((left, child))
             token = ends[child]
-            if token >= 0 and (not kind or self.neighbours(kind, token)):
-                alive.append((self.kind(token), 0, (*pending, token)))
+            if token >= 0 and ended < 0 and (not kind or self.neighbours(kind, token)):
+                ended = token
+        if ended >= 0:
+            alive.append((self.kind(ended), 0))
         if not alive:
             raise ValueError("the vocabulary lacks a byte")
-        shortest = min((pending for _, _, pending in alive), key=len)
-        shared = 0
-        while shared < len(shortest) and all(pending[shared] == shortest[shared] for _, _, pending in alive):
-            shared += 1
-        out = shortest[:shared]
-        found = self.moves[number][byte] = (self.state(tuple([(k, n, p[shared:]) for k, n, p in alive]) if shared else tuple(alive)), out)
+        found = self.moves[number][byte] = (self.state(tuple(alive)), ended)
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -201,16 +231,18 @@ class Transducer:
             return [whole]
         if len(self.subsets) > MOST_STATES:
             self.reset()
-        number, out, moves = 0, [], self.moves
+        number, ended, moves = 0, [], self.moves
         for byte in piece:
-            found = moves[number].get(byte) or self.move(number, byte)
-            number = found[0]
-            if found[1]:
-                out += found[1]
-        rest = self.last[number]
-        if rest is None:
-            return list(self.merge(piece))
-        out += rest
+            number, token = moves[number].get(byte) or self.move(number, byte)
+            ended.append(token)
+        out, at, tokens = [], len(piece), self.tokens
+        while at:
+            token = ended[at - 1]
+            if token < 0:
+                return list(self.merge(piece))
+            out.append(token)
+            at -= len(tokens[token])
+        out.reverse()
         return out
 
 

@@ -53,6 +53,16 @@ def test_states_start_anew(monkeypatch):
     assert len(own.subsets) < 200
 
 
+def test_invented_words_share_states():
+    """A state holds what may follow, not what came before: words no text has twice go through states that are there."""
+    own, rng = bpe.Transducer(bpe.read_ranks(PATHS[0])), random.Random(5)
+    core = library(PATHS[0])._core_bpe
+    parts = sorted(t for t in own.ranks if 2 <= len(t) <= 4 and t.isalpha())[:400]
+    words = [b" " + b"".join(rng.choice(parts) for _ in range(3)) for _ in range(5000)]
+    assert [own.encode(w) for w in words] == [list(core.encode_single_piece(w)) for w in words]
+    assert len(own.subsets) < 2 * len(words)
+
+
 @settings(max_examples=200, deadline=None)
 @given(strategies.text())
 def test_any_text(text):
