@@ -83,6 +83,16 @@ def test_building_a_query_runs_no_job(spark):
         spark.sparkContext.setJobGroup(None, None)
 
 
+def test_sheets_are_judged_once(spark):
+    """Facts, rejects and the lines' filter share one judgement; rows of the driver's sheets come without generators, but for headers."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(QUERIES["accepted_tables"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("Window [row_number") <= 12 and text.count("Generate ") <= 16
+
+
 def test_missing_pairs_and_count_build_no_product(spark, no_broadcast):
     assert "Generate" not in plan(QUERIES["inventory_count"](spark, SF))
     assert plan(QUERIES["missing_pairs"](spark, SF)).count("Generate explode(sequence(0, 15") <= 4
