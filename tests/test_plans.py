@@ -93,6 +93,17 @@ def test_sheets_are_judged_once(spark):
     assert text.count("Window [row_number") <= 12 and text.count("Generate ") <= 16
 
 
+def test_workbooks_take_the_exchange_of_their_sheets(spark):
+    """Structure and workbooks share one exchange of the sheets, whose rows are filtered by no name."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(QUERIES["reject_files"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("Generate ") <= 16
+    assert len(re.findall(r"Exchange hashpartitioning\(archivo#\d+, hoja#\d+, ", text)) - len(re.findall(r"ReusedExchange \[archivo#\d+, hoja#\d+\], Exchange hashpartitioning\(archivo", text)) <= 2
+
+
 def test_missing_pairs_and_count_build_no_product(spark, no_broadcast):
     assert "Generate" not in plan(QUERIES["inventory_count"](spark, SF))
     assert plan(QUERIES["missing_pairs"](spark, SF)).count("Generate explode(sequence(0, 15") <= 4
