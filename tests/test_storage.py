@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from preciario.operators import aggregates as A
+from preciario.plans.registry import QUERIES
 from preciario.sources import documents as D
 from preciario.sources import schemas
 from preciario.sources import storage as S
@@ -147,6 +148,19 @@ def test_streamed_documents_of_any_length(spark, tmp_path):
         D.read_documents(spark, f"{path}-False", *schema).collect()
 
 
+def test_staged_lines_are_compressed(spark, tmp_path):
+    """The query's staged lines lie on disk compressed; the rows are those of plain files."""
+    found = QUERIES["scan_staging_lineas"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and all(f.endswith(".json.gz") for f in found.inputFiles())
+    rows = found.orderBy("codigo", "slug", "orden").limit(500)
+    for kind in ("none", "gzip"):
+        S.sink_staging(rows, str(tmp_path / kind), schemas.LINEAS, compression=kind)
+    plain, packed = ([*(tmp_path / kind).glob("part-*")] for kind in ("none", "gzip"))
+    assert sum(f.stat().st_size for f in packed) * 5 < sum(f.stat().st_size for f in plain)
+    read = [sorted(map(repr, S.scan_staging(spark, str(tmp_path / kind), schemas.LINEAS).collect())) for kind in ("none", "gzip")]
+    assert read[0] == read[1] and len(read[0]) == 500
+
+
 def test_manifest_of_workbooks(spark, tmp_path):
     for name in ("APU_0509_ANTIOQUIA__VALLE_2026_1.xlsx", "raro.xlsx", "~$temporal.xlsx", "notas.txt"):
         (tmp_path / name).write_text(name)
