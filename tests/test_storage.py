@@ -161,6 +161,26 @@ def test_staged_lines_are_compressed(spark, tmp_path):
     assert read[0] == read[1] and len(read[0]) == 500
 
 
+def test_files_of_many_documents_are_compressed(spark, tmp_path):
+    """A task's file is compressed and read back whole; a cut one stops the job."""
+    import pyarrow as pa
+
+    path = str(tmp_path / "docs")
+    heads = spark.createDataFrame([(k,) for k in "abc"], "k string")
+    rows = [("a", i, f"text {i}") for i in range(1, 3001)] + [("c", 1, "only")]
+    elements = spark.createDataFrame(rows, "k string, place long, t string")
+    D.write_documents(heads, D.fragments(elements, ["k"], "place", F.struct("t")), ["k"], F.struct("k"), "xs", path)
+    files = glob.glob(f"{path}/*")
+    assert files and all(f.endswith(D.PACKED) for f in files)
+    schema = (heads.schema, elements.select("t").schema)
+    found = D.read_documents(spark, path, *schema).collect()
+    assert sorted((r.documento.k, r.posicion, r.elemento.t) for r in found if r.posicion) == rows and len(found) == 3002
+    with pa.output_stream(f"{path}/parte-99999{D.PACKED}", compression="zstd") as stream:
+        stream.write(b'{"k": "d", "xs": [\n{"t": "cut')
+    with pytest.raises(Exception, match="unfinished"):
+        D.read_documents(spark, path, *schema).collect()
+
+
 def test_manifest_of_workbooks(spark, tmp_path):
     for name in ("APU_0509_ANTIOQUIA__VALLE_2026_1.xlsx", "raro.xlsx", "~$temporal.xlsx", "notas.txt"):
         (tmp_path / name).write_text(name)
